@@ -1,7 +1,7 @@
 """Recurrences along a series.
 
-Linear recurrences (`decayed`) are solved piecewise with running sums, so they stay in the JVM and
-one long series is spread over many tasks. Recurrences with branches (`fold_rows`) need one pass
+Linear recurrences (`decayed`) are solved piecewise with running sums and so stay in the JVM.
+Recurrences with branches (`fold_rows`) need one pass
 in order: rows are hash partitioned by key, sorted by Spark and streamed batch by batch through a
 small step function, so memory does not grow with the length of a series.
 """
@@ -16,50 +16,35 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-PIECE = 256
+def decayed(df: DataFrame, terms: dict[str, tuple[Column, float]], keys="product", rn: str = "rn") -> DataFrame:
+    """y[t] = q * y[t-1] + x[t] with y[0] = x[0], for each named (x, q); `rn` is the 1-based position.
 
-
-def decayed(df: DataFrame, terms: dict[str, Column], q: float, keys="product", rn: str = "rn") -> DataFrame:
-    """y[t] = q * y[t-1] + x[t] with y[0] = x[0], for each named term x; `rn` is the 1-based position.
-
-    Inside a piece of 256 rows y is q^p times a running sum of x * q^-p, whose terms grow and so
-    lose no precision; before it come the ends of earlier pieces, weighted by powers of q^256 until
-    those fall below 1e-18.
+    A term's series is cut where q^len falls below 1e-18. Inside a piece y is q^p times a running
+    sum of x * q^-p, whose terms grow and so lose no precision; of what came before a piece only
+    the end of the piece right before it still counts. All terms share the one partitioning by key.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
-    piece_len = min(PIECE, max(1, int(280 / max(1e-12, -math.log10(q)))))
-    pos = (F.col(rn) - 1) % piece_len
-    x = df.withColumns({"_pc": F.floor((F.col(rn) - 1) / piece_len), "_pos": pos})
-    run = W.partitionBy(*keys, "_pc").orderBy(rn).rowsBetween(W.unboundedPreceding, 0)
-    for name, term in terms.items():
-        x = x.withColumn(f"_l_{name}", F.pow(F.lit(q), F.col("_pos"))
-                         * F.sum(term * F.pow(F.lit(q), -F.col("_pos"))).over(run))
-    ends = x.groupBy(*keys, "_pc").agg(*[F.max_by(f"_l_{n}", rn).alias(f"_e_{n}") for n in terms])
-    big = q ** piece_len
-    lags = max(1, math.ceil(18 * math.log(10) / -math.log(big))) if big > 0 else 1
-    w = W.partitionBy(*keys).orderBy("_pc")
-
-    def before(n):
-        acc = F.coalesce(F.lag(f"_e_{n}", 1).over(w), F.lit(0.0))
-        for j in range(2, lags + 1):
-            acc = acc + F.coalesce(F.lag(f"_e_{n}", j).over(w), F.lit(0.0)) * big ** (j - 1)
-        return acc
-
-    carry = ends.select(*keys, "_pc", *[before(n).alias(f"_b_{n}") for n in terms])
-    y = x.join(carry, keys + ["_pc"])
-    return y.select(*df.columns, *[(F.col(f"_l_{n}") + F.pow(F.lit(q), F.col("_pos") + 1)
-                                    * F.col(f"_b_{n}")).alias(n) for n in terms])
+    order = W.partitionBy(*keys).orderBy(rn)
+    out = df
+    for name, (x, q) in terms.items():
+        size = math.ceil(18 / -math.log10(q))
+        pc, pos = F.floor((F.col(rn) - 1) / size), (F.col(rn) - 1) % size
+        out = out.withColumns({"_pc": pc, "_q": F.pow(F.lit(q), pos)})
+        run = W.partitionBy(*keys, "_pc").orderBy(rn).rowsBetween(W.unboundedPreceding, 0)
+        out = out.withColumn("_l", F.col("_q") * F.sum(x / F.col("_q")).over(run))
+        end = F.last(F.when(pos == size - 1, F.col("_l")), ignorenulls=True).over(
+            order.rowsBetween(W.unboundedPreceding, -1))
+        out = out.withColumn(name, F.col("_l") + F.coalesce(end, F.lit(0.0)) * F.col("_q") * q)
+    return out.drop("_pc", "_q", "_l")
 
 
 def ema_series(bars: DataFrame, c: str, spans: dict[str, int], keys="product", ts="ts") -> DataFrame:
     """Full-history EMA seeded with the first value."""
     part = [keys] if isinstance(keys, str) else list(keys)
     x = bars.withColumn("_n", F.row_number().over(W.partitionBy(*part).orderBy(ts)))
-    for name, n in spans.items():
-        k = 2 / (n + 1)
-        x = decayed(x, {name: F.when(F.col("_n") == 1, F.col(c)).otherwise(F.col(c) * k)}, 1 - k,
-                    keys, "_n")
-    return x.drop("_n")
+    first = F.col("_n") == 1
+    return decayed(x, {name: (F.when(first, F.col(c)).otherwise(F.col(c) * (2 / (n + 1))), 1 - 2 / (n + 1))
+                       for name, n in spans.items()}, part, "_n").drop("_n")
 
 
 def wilder_rsi(bars: DataFrame, c="close", n: int = 14, keys="product", ts="ts", name="rsi_wilder") -> DataFrame:
@@ -75,7 +60,7 @@ def wilder_rsi(bars: DataFrame, c="close", n: int = 14, keys="product", ts="ts",
                 .when(F.col("_n") > n + 1, F.col(v) / n).otherwise(0.0))
 
     x = x.withColumns({"_tg": term("_g"), "_ts": term("_s")})
-    x = decayed(x, {"_ag": F.col("_tg"), "_al": F.col("_ts")}, 1 - 1 / n, keys, "_n")
+    x = decayed(x, {"_ag": (F.col("_tg"), 1 - 1 / n), "_al": (F.col("_ts"), 1 - 1 / n)}, part, "_n")
     rs = F.when(F.col("_al") > 1e-12, F.col("_ag") / F.col("_al")).otherwise(999.0)
     return (x.withColumn(name, F.when(F.col("_n") > n, 100 - 100 / (1 + rs)).otherwise(50.0))
             .drop("_n", "_d", "_g", "_s", "_tg", "_ts", "_ag", "_al"))
