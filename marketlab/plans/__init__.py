@@ -1,6 +1,6 @@
 """Queries over the given tables, one module per domain."""
 
-from marketlab.plans import chart, decision, price  # noqa: F401
+from marketlab.plans import chart, decision, price, timejoins  # noqa: F401
 from marketlab.plans.registry import ORACLES, QUERIES, SURVEY_IDS
 
 __all__ = ["ORACLES", "QUERIES", "SURVEY_IDS"]
