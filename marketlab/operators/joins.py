@@ -36,14 +36,14 @@ def asof(left: DataFrame, right: DataFrame, key="product", ts: str = "ts", paylo
     right_first = not strict
     lside, rside = ((1, 0) if right_first != forward else (0, 1))
     ties = [f"_tie{i}" for i in range(len(tie))]
-    r = right.select(*keys, F.col(ts).alias("_at"), F.lit(rside).alias("_side"), hit.alias("_r"),
+    r = right.select(*keys, F.col(ts).alias("_at"), F.lit(rside).alias("_side"), hit.alias("_hit"),
                      *[F.col(c).alias(a) for c, a in zip(tie, ties)])
     lt = left.select(*keys, (F.col(ts) if at is None else at).alias("_at"), F.lit(lside).alias("_side"),
                      F.struct(*left.columns).alias("_row"))
     both = lt.unionByName(r, allowMissingColumns=True)
     chunks = [f"_chunk{i}" for i in range(len(slices))]
     both = both.withColumns({c: time_chunk("_at", w) for c, w in zip(chunks, slices)})
-    out = running(both, ["_at", "_side", *ties], [Run(name, "last", "_r")], keys, chunks, reverse=forward)
+    out = running(both, ["_at", "_side", *ties], [Run(name, "last", "_hit")], keys, chunks, reverse=forward)
     return out.where(F.col("_side") == lside).select("_row.*", name)
 
 

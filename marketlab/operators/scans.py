@@ -133,3 +133,14 @@ def trailing_chunks(df: DataFrame, keys, ts: str, lookback: int, size: int = 100
     both = F.when(lead, F.array(piece, piece + 1)).otherwise(F.array(piece))
     return (rows.withColumn("_own", piece).withColumn("_piece", F.explode(both))
             .withColumn("_warm", F.col("_piece") != F.col("_own")).drop("_day", "_own"))
+
+
+def time_pieces(df: DataFrame, ts: str, lookback_sec: int, width_sec: int = DAY) -> DataFrame:
+    """Cut a time line into pieces of `width_sec`, each led by the rows of the piece before it.
+
+    RANGE frames of at most `lookback_sec` may then be partitioned by `_piece`; drop `_warm` rows after.
+    """
+    width = max(width_sec, lookback_sec)
+    own = time_chunk(ts, width)
+    return (df.withColumn("_own", own).withColumn("_piece", F.explode(F.array(F.col("_own"), F.col("_own") + 1)))
+            .withColumn("_warm", F.col("_piece") != F.col("_own")).drop("_own"))

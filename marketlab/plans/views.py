@@ -14,7 +14,7 @@ VIEWS = {
     "trades": ((), """SELECT 'P' || CAST(l_suppkey % 20 AS VARCHAR) AS product,
         CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END AS side, l_quantity AS qty,
         l_extendedprice / l_quantity AS entry, l_extendedprice * l_tax * 0.1 AS fees,
-        round(l_extendedprice * (l_discount - l_tax), 2) AS pnl, o_orderdate AS opened,
+        CAST(CAST(l_extendedprice AS DECIMAL(14, 2)) * CAST(l_discount - l_tax AS DECIMAL(6, 2)) AS DOUBLE) AS pnl, o_orderdate AS opened,
         o_orderdate + to_hours(CAST(1 + l_partkey % 72 AS INT)) AS closed,
         o_orderpriority AS regime_at_entry,
         CASE WHEN l_linestatus = 'O' THEN 'take-profit' ELSE 'stop-loss/trail' END AS exit_reason,

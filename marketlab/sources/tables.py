@@ -35,7 +35,7 @@ TRADE_ORDER = ["closed", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
 
 
 def trades(spark, d) -> DataFrame:
-    """Closed trades; `day` / `hour` / `piece` are chunk columns that follow TRADE_ORDER."""
+    """Closed trades, pnl exact to four decimals; `day` / `hour` / `piece` are chunk columns that follow TRADE_ORDER."""
     li = load(spark, d, "lineitem")
     o = load(spark, d, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority")
     closed = F.timestamp_micros(F.unix_micros("o_orderdate")
@@ -46,7 +46,8 @@ def trades(spark, d) -> DataFrame:
         F.col("l_quantity").alias("qty"),
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("entry"),
         (F.col("l_extendedprice") * F.col("l_tax") * 0.1).alias("fees"),
-        F.round(F.col("l_extendedprice") * (F.col("l_discount") - F.col("l_tax")), 2).alias("pnl"),
+        (F.col("l_extendedprice").cast("decimal(14,2)") * (F.col("l_discount") - F.col("l_tax")).cast("decimal(6,2)"))
+        .cast("double").alias("pnl"),
         F.col("o_orderdate").alias("opened"), closed.alias("closed"),
         F.col("o_orderpriority").alias("regime_at_entry"),
         F.when(F.col("l_linestatus") == "O", "take-profit").otherwise("stop-loss/trail")
