@@ -10,11 +10,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketlab.operators.scans import DAY, Run, micros, running, time_chunk
+from marketlab.operators.scans import DAY, Run, micros, pin, running, time_chunk
 
 
 def as_list(x) -> list[str]:
@@ -176,7 +175,7 @@ def skyline(df: DataFrame, ids: str, objs: Sequence[str], block: int = 20_000) -
     Local pruning leaves few candidates; they are then compared block by block, one equi-join on
     the block number, so no side is broadcast whatever its size.
     """
-    c = pareto_prune(df.select(ids, *objs), objs).persist(StorageLevel.MEMORY_AND_DISK)
+    c = pin(pareto_prune(df.select(ids, *objs), objs))
     m = max(1, -(-c.count() // block))
     a = c.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
     b = c.select(*[F.col(o).alias(f"_o_{o}") for o in objs], F.pmod(F.xxhash64(ids), F.lit(m)).cast("int").alias("_b"))
@@ -192,9 +191,10 @@ def pareto_ranks(df: DataFrame, ids: str, objs: Sequence[str], fronts: int) -> D
     """Peel up to `fronts` fronts; what is left keeps a null front."""
     rest, out = df, None
     for k in range(1, fronts + 1):
-        top = skyline(rest, ids, objs).withColumn("front", F.lit(k)).checkpoint()
+        top = skyline(rest, ids, objs).withColumn("front", F.lit(k))
+        top = pin(top)
         out = top if out is None else out.unionByName(top)
-        rest = rest.join(top.select(ids), ids, "left_anti").checkpoint()
+        rest = pin(rest.join(top.select(ids), ids, "left_anti"))
         if rest.isEmpty():
             return out
     return out.unionByName(rest.withColumn("front", F.lit(None).cast("int")))

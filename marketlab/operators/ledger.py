@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from marketlab.functions.mathx import wilson
 from marketlab.operators.folds import fold_rows
 from marketlab.operators.joins import asof
-from marketlab.operators.scans import DAY, Run, micros, running, seconds, time_chunk, time_pieces
+from marketlab.operators.scans import DAY, Run, micros, pin, running, seconds, time_chunk, time_pieces
 
 YEAR_SEC = 365.25 * 86400
 
@@ -23,7 +23,8 @@ def trade_return() -> Column:
 
 
 def equity_path(df: DataFrame, value: str, order: Sequence[str], keys=(), chunks=(), start: float = 0.0) -> DataFrame:
-    """Cumulative equity, running peak (start included), drawdown and new-high flag per row.
+    """Cumulative equity, running peak (start included), drawdown and new-high flag per row, and `pos`,
+    its place inside its chunk.
 
     The flag allows for the last digits of floating sums.
 
@@ -33,7 +34,7 @@ def equity_path(df: DataFrame, value: str, order: Sequence[str], keys=(), chunks
     keys, chunks = list(keys), list(chunks)
     part = keys + chunks
     w = (W.partitionBy(*part) if part else W.partitionBy(F.lit(0))).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    local = df.withColumn("_s", F.sum(value).over(w)).withColumn("_m", F.max("_s").over(w))
+    local = df.withColumns({"_s": F.sum(value).over(w), "pos": F.row_number().over(w)}).withColumn("_m", F.max("_s").over(w))
     if chunks:
         total = local.groupBy(*part).agg(F.sum(value).alias("_sum"), F.max("_m").alias("_top"))
         c = running(total, chunks, [Run("_base", "sum", "_sum", strict=True)], keys, chunks[:-1])
@@ -107,6 +108,7 @@ def tearsheet(trades: DataFrame, order, chunks=(), start_cash: float = 10_000.0)
     """A2: one row of performance figures for a whole ledger, drawdown path included."""
     r = trade_return()
     x = equity_path(trades.withColumn("_r", r), "pnl", order, (), chunks, start_cash)
+    x = pin(x.select("pos", *chunks, "closed", "pnl", "fees", "_r", "drawdown", "at_peak"))
     ret = F.col("_r")
     a = x.agg(F.count(F.lit(1)).alias("n"), F.sum("pnl").alias("net_pnl"), F.sum((F.col("pnl") > 0).cast("int")).alias("wins"),
               *[c.alias(k) for k, c in win_loss(ret).items()], sharpe(ret).alias("sharpe_per_trade"),
@@ -114,8 +116,7 @@ def tearsheet(trades: DataFrame, order, chunks=(), start_cash: float = 10_000.0)
               F.greatest(F.lit(0.0), F.max("drawdown")).alias("max_drawdown"), F.max("pnl").alias("best_trade_pnl"),
               F.min("pnl").alias("worst_trade_pnl"), F.sum("fees").alias("gross_entry_fees"),
               F.min("closed").alias("_first"), F.max("closed").alias("_last"))
-    path = x.select(*order, *[c for c in chunks if c not in order], "at_peak")
-    a = a.crossJoin(longest_runs(path, {"max_dd_duration_trades": ~F.col("at_peak")}, order, (), chunks))
+    a = a.crossJoin(longest_runs(x.select("pos", *chunks, "at_peak"), {"max_dd_duration_trades": ~F.col("at_peak")}, ["pos"], (), chunks))
     years = (seconds("_last") - seconds("_first")) / YEAR_SEC
     end = F.lit(start_cash) + F.col("net_pnl")
     ann = F.when((years > 0) & (end > 0), F.pow(end / start_cash, 1 / years) - 1)
@@ -142,6 +143,7 @@ def tearsheet_slices(trades: DataFrame) -> DataFrame:
 def trade_analytics(trades: DataFrame, order, chunks=()) -> DataFrame:
     """A4: profit factor, payoff, sample deviation, streaks and currency drawdown; a loss is pnl <= 0."""
     x = equity_path(trades, "pnl", order, (), chunks, 0.0)
+    x = pin(x.select("pos", *chunks, "opened", "closed", "pnl", "peak", "equity"))
     p = F.col("pnl")
     a = x.agg(F.count(F.lit(1)).alias("trades"), F.sum((p > 0).cast("int")).alias("wins"), F.sum((p <= 0).cast("int")).alias("losses"),
               F.sum(p).alias("total_pnl"), F.coalesce(F.sum(F.when(p > 0, p)), F.lit(0.0)).alias("gross_profit"),
@@ -149,8 +151,7 @@ def trade_analytics(trades: DataFrame, order, chunks=()) -> DataFrame:
               F.stddev_samp(p).alias("pnl_stdev"), F.stddev_samp(F.least(F.lit(0.0), p)).alias("_down"),
               F.max(F.col("peak") - F.col("equity")).alias("max_drawdown_realized"),
               F.avg(seconds("closed") - seconds("opened")).alias("avg_hold_sec"))
-    runs = longest_runs(trades.select(*order, *[c for c in chunks if c not in order], "pnl"),
-                        {"best_win_streak": p > 0, "worst_loss_streak": p <= 0}, order, (), chunks)
+    runs = longest_runs(x.select("pos", *chunks, "pnl"), {"best_win_streak": p > 0, "worst_loss_streak": p <= 0}, ["pos"], (), chunks)
     a = a.crossJoin(runs)
     avg, loss = F.col("total_pnl") / F.col("trades"), -F.col("gross_loss")
     return a.withColumns({

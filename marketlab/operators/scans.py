@@ -9,6 +9,7 @@ to fine, the totals are themselves scanned in chunks, so no level has to hold a
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -19,6 +20,22 @@ from pyspark.sql import functions as F
 DAY, HOUR = 86400, 3600
 
 
+def pin(df: DataFrame) -> DataFrame:
+    """Materialise `df` once and cut its lineage, in the folder `spark.checkpoint.dir` names.
+
+    Only a local session without that setting gets a folder of its own.
+    """
+    sc = df.sparkSession.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+            folder = tempfile.mkdtemp(prefix="marketlab-")
+        sc.setCheckpointDir(folder)
+    return df.checkpoint()
+
+
 @dataclass(frozen=True)
 class Run:
     """One running aggregate: `kind` is sum, max, min or last (last non-null value so far).
