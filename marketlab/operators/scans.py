@@ -20,19 +20,22 @@ from pyspark.sql import functions as F
 DAY, HOUR = 86400, 3600
 
 
-def pin(df: DataFrame) -> DataFrame:
-    """Materialise `df` once and cut its lineage, in the folder `spark.checkpoint.dir` names.
+def shared_folder(spark) -> str:
+    """The folder `spark.checkpoint.dir` names; only a local session without it gets one of its own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+        folder = tempfile.mkdtemp(prefix="marketlab-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
 
-    Only a local session without that setting gets a folder of its own.
-    """
+
+def pin(df: DataFrame) -> DataFrame:
+    """Materialise `df` once and cut its lineage, by a checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-            folder = tempfile.mkdtemp(prefix="marketlab-")
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 

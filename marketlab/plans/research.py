@@ -201,7 +201,7 @@ MK = f"""WITH e AS (SELECT *, {K} AS k FROM events), m AS (SELECT event_id, user
   (event_id % 5 - 2) / 2.0 AS research, (user_id % 7 - 3) / 3.0 AS llm FROM e),
 l AS (SELECT *, greatest(-1, least(1, (0.5 * mom_1h + 0.5 * mom_1d) * 6)) AS momentum, CASE WHEN abs(mom_1h) > 0.05 THEN greatest(-1, least(1, -mom_1h * 8)) ELSE 0 END AS mean_revert,
   CASE WHEN abs(p0 - 0.5) > 0.15 THEN sign(p0 - 0.5) * least(abs(p0 - 0.5) * 2, 1) ELSE 0 END AS longshot_fade, greatest(-1, least(1, (lt - p0) * 10)) AS microstructure FROM m),
-n AS (SELECT *, greatest(-1, least(1, (momentum + mean_revert + longshot_fade + microstructure + 2.5 * llm + CASE WHEN abs(research) > 1e-6 THEN 1.5 * research ELSE 0 END) / (6.5 + CASE WHEN abs(research) > 1e-6 THEN 1.5 ELSE 0 END))) AS net FROM l),
+n AS (SELECT *, greatest(-1, least(1, (momentum + mean_revert + longshot_fade + microstructure + 2.3 * llm + CASE WHEN abs(research) > 1e-6 THEN 1.5 * research ELSE 0 END) / (6.3 + CASE WHEN abs(research) > 1e-6 THEN 1.5 ELSE 0 END))) AS net FROM l),
 a AS (SELECT *, {' + '.join(f'CAST(abs({c}) > 1e-6 AS INT)' for c in FC.ARMS)} AS act, {' + '.join(f'CAST(abs({c}) > 1e-6 AND ({c} > 0) = (net > 0) AS INT)' for c in FC.ARMS)} AS same, greatest(0.001, least(0.999, p0 + net * 0.06)) AS fair0 FROM n),
 mv AS (SELECT *, CASE WHEN act > 0 AND abs(net) > 1e-6 THEN same / act ELSE 0 END AS agreement, abs(net) * CASE WHEN act > 0 AND abs(net) > 1e-6 THEN same / act ELSE 0 END AS confidence, CASE WHEN net >= 0 THEN p0 ELSE 1 - p0 END AS price,
   CASE WHEN net >= 0 THEN fair0 ELSE greatest(0.001, least(0.999, 1 - fair0)) END AS fair, CASE WHEN abs(net) > 1e-6 THEN CASE WHEN net >= 0 THEN 0 ELSE 1 END END AS oi FROM a)
@@ -213,13 +213,13 @@ def market_votes(spark, d):
     p0 = F.least(F.lit(0.99), F.greatest(F.lit(0.01), (F.col("k") + 1) / 101))
     m = e.select("event_id", "user_id", p0.alias("p0"), (1 - p0).alias("p1"), ((F.col("value") - 50) / 400).alias("mom_1h"), ((F.col("k") - 50) / 300).alias("mom_1d"),
                  (p0 + (F.col("user_id") % 9 - 4) / 100).alias("last_trade"), ((F.col("event_id") % 5 - 2) / 2.0).alias("research_lean"), ((F.col("user_id") % 7 - 3) / 3.0).alias("llm_lean"))
-    return FC.market_vote(FC.market_leans(m), boost={"llm": 2.5, "research": 1.5})
+    return FC.market_vote(FC.market_leans(m), boost={"llm": 2.3, "research": 1.5})
 
 
-@query("A47", MK + "SELECT event_id, oi AS outcome_index, round(net, 9) AS net_lean, round(agreement, 9) AS agreement, round(confidence, 9) AS confidence, round(fair, 9) AS fair, round(fair - price, 9) AS edge FROM mv")
+@query("A47", MK + "SELECT event_id, oi AS outcome_index, round(net, 6) AS net_lean, round(agreement, 6) AS agreement, round(confidence, 6) AS confidence, round(fair, 6) AS fair, round(fair - price, 6) AS edge FROM mv")
 def market_vote(spark, d):
     x = market_votes(spark, d)
-    return x.select("event_id", "outcome_index", *[r6(F.col(c), 9).alias(c) for c in ("net_lean", "agreement", "confidence", "fair", "edge")])
+    return x.select("event_id", "outcome_index", *[r6(F.col(c)).alias(c) for c in ("net_lean", "agreement", "confidence", "fair", "edge")])
 
 
 KELLY = MK + """, z AS (SELECT *, fair - price AS edge, 10000 * 0.25 * ((greatest(0.001, least(0.999, fair)) - greatest(0.001, least(0.999, price))) / (1 - greatest(0.001, least(0.999, price)))) * (0.5 + confidence / 2) AS st FROM mv),
