@@ -61,20 +61,24 @@ def signed(pos: dict[str, float], neg: dict[str, float]) -> dict[str, float]:
 def lexicon_score(text, lexicon: dict[str, float], negators=()) -> Column:
     """F1 / F2: summed word weights over max(3, 0.35 n), clamped; a negator before a word flips it.
 
-    Words are first cut down to the lexicon's by a hash test, so only hits reach the weight lookup.
+    Words pass a hash test against the lexicon first, so only hits reach the weight lookup.
     """
     table = F.create_map(*[x for w, v in lexicon.items() for x in (F.lit(w), F.lit(float(v)))])
     keys, negs = list(lexicon), list(negators)
-    ws = words(text)
-    pairs = F.zip_with(ws, F.concat(F.array(F.lit("")), ws), lambda w, p: F.struct(w.alias("w"), p.alias("p")))
-    hits = F.filter(pairs, lambda s: s["w"].isin(*keys))
 
-    def weight(s):
-        v = F.try_element_at(table, s["w"])
-        return F.when(s["p"].isin(*negs), -v).otherwise(v) if negs else v
+    def step(a, w):
+        v = F.when(w.isin(*keys), F.try_element_at(table, w) * F.when(a["neg"], -1.0).otherwise(1.0)).otherwise(0.0)
+        return F.struct((a["sum"] + v).alias("sum"), w.isin(*negs).alias("neg"))
 
-    total = F.aggregate(hits, F.lit(0.0), lambda a, s: a + weight(s))
-    return clip(total / F.greatest(F.lit(3.0), F.size(ws) * 0.35))
+    def score(ws):
+        if negs:
+            total = F.aggregate(ws, F.struct(F.lit(0.0).alias("sum"), F.lit(False).alias("neg")), step, lambda a: a["sum"])
+        else:
+            total = F.aggregate(F.filter(ws, lambda w: w.isin(*keys)), F.lit(0.0), lambda a, w: a + F.try_element_at(table, w))
+        return clip(total / F.greatest(F.lit(3.0), F.size(ws) * 0.35))
+
+    # the one-element array binds the words to a name, so the text is split once
+    return F.transform(F.array(words(text)), score)[0]
 
 
 def unescape(c) -> Column:
