@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -34,6 +36,11 @@ def tag_assets(df: DataFrame, text: str, keywords: dict[str, list[str]]) -> Data
     return df.withColumn("assets", F.array_compact(F.array(*hits)))
 
 
+def score_documents(df: DataFrame, text: str, scorer: Callable[[Column], Column], name: str = "score") -> DataFrame:
+    """Score texts with any column function: the lexicon expression or a user's pandas UDF, kept in [-1, 1]."""
+    return df.withColumn(name, clip(scorer(F.col(text))))
+
+
 def doc_sentiment(docs: DataFrame, fear_greed: float | None = None) -> DataFrame:
     """Per asset score and document count, shrunk toward the market mood below five documents.
 

@@ -283,16 +283,21 @@ def decimate(df: DataFrame, order, points: int = 800, chunks=()) -> DataFrame:
     return x.where(keep).drop("_rn", "_n")
 
 
-def order_vwap(fills: DataFrame, orders: DataFrame, arrival: Sequence[str], chunks=()) -> DataFrame:
+def order_vwap(fills: DataFrame, orders: DataFrame, arrival: Sequence[str], ts: str = "ts", hot_rows: int = 1_000_000) -> DataFrame:
     """Fills once per exec_id, ignored after the order is full; VWAP, fees and status.
 
-    `orders` has intent_id and order_qty.
+    `orders` has intent_id and order_qty; `arrival` starts with `ts`. Only orders with more than
+    `hot_rows` fills have their time line cut by hours; all others stay whole.
     """
     cols = [c for c in fills.columns if c not in ("intent_id", "exec_id")]
     once = (fills.groupBy("intent_id", "exec_id").agg(F.min_by(F.struct(*cols), F.struct(*arrival)).alias("_f"))
             .select("intent_id", "exec_id", "_f.*"))
-    x = once.join(orders, "intent_id")
-    x = running(x, [*arrival, "exec_id"], [Run("_before", "sum", "qty", strict=True)], ["intent_id"], chunks)
+    sizes = fills.groupBy("intent_id").agg(F.count(F.lit(1)).alias("_n"))
+    x = once.join(orders.join(sizes, "intent_id"), "intent_id")
+    before, way = [Run("_before", "sum", "qty", strict=True)], [*arrival, "exec_id"]
+    cold = running(x.where(F.col("_n") <= hot_rows), way, before, ["intent_id"])
+    hot = x.where(F.col("_n") > hot_rows).withColumn("_slice", time_chunk(ts, 3600))
+    x = cold.unionByName(running(hot, way, before, ["intent_id"], ["_slice"]).drop("_slice"))
     x = x.where(F.coalesce("_before", F.lit(0.0)) + 1e-12 < F.col("order_qty"))
     g = x.groupBy("intent_id").agg(F.sum("qty").alias("filled_qty"), (F.sum(F.col("qty") * F.col("price")) / F.sum("qty")).alias("vwap"),
                                    F.sum("fee").alias("fees"), F.first("order_qty").alias("order_qty"), F.count(F.lit(1)).alias("n_fills"))

@@ -3,7 +3,7 @@
 A window without partitioning, or partitioned by a key that may hold a third of all rows, sorts
 that group in one task. `running` cuts the ordered group into chunks instead: every chunk is
 scanned by its own task, the chunk totals (a map-side combined aggregate) are scanned one level
-up, and what came before a chunk is joined back to its rows. With several chunk columns, coarse
+up, and what came before a chunk is handed to it as one leading row. With several chunk columns, coarse
 to fine, the totals are themselves scanned in chunks, so no level has to hold a whole group.
 """
 
@@ -62,25 +62,27 @@ def seconds(c) -> Column:
     return micros(c) / F.lit(1e6)
 
 
+def pick_levels(df: DataFrame, levels: Sequence[str], rows_per_task: int = 5_000_000) -> list[str]:
+    """How many of the chunk columns (coarse to fine) an input needs, at least the first.
+
+    Assumes the hottest coarse chunk may hold a third of all rows; finer chunks cost a fixed amount
+    each, so small inputs do without. Pass a plain table scan: its row count comes from file footers.
+    """
+    return list(levels) if df.count() / 3 > rows_per_task else list(levels[:1])
+
+
 def time_chunk(c, width_sec: int) -> Column:
     """Number of the `width_sec` wide time slice a timestamp falls into."""
     return F.floor(micros(c) / F.lit(width_sec * 1_000_000))
 
 
-def _fold(run: Run, v, order: Column, over=None):
-    agg = {"sum": lambda: F.sum(v), "max": lambda: F.max(v), "min": lambda: F.min(v)}
-    if over is None:
-        return F.max_by(v, F.when(v.isNotNull(), order)) if run.kind == "last" else agg[run.kind]()
-    return (F.last(v, ignorenulls=True) if run.kind == "last" else agg[run.kind]()).over(over)
-
-
-def _merge(run: Run, local, carry):
-    if run.kind == "sum":
-        return F.when(local.isNotNull() | carry.isNotNull(),
-                      F.coalesce(carry, F.lit(0)) + F.coalesce(local, F.lit(0)))
+def _fold(run: Run, v, order: Column | None = None, reverse: bool = False, over=None):
     if run.kind == "last":
-        return F.coalesce(local, carry)
-    return (F.greatest if run.kind == "max" else F.least)(local, carry)
+        if over is not None:
+            return F.last(v, ignorenulls=True).over(over)
+        return (F.min_by if reverse else F.max_by)(v, F.when(v.isNotNull(), order))
+    agg = {"sum": F.sum, "max": F.max, "min": F.min}[run.kind](v)
+    return agg if over is None else agg.over(over)
 
 
 def running(df: DataFrame, order: Sequence[str], runs: Sequence[Run], keys: Sequence[str] = (),
@@ -89,39 +91,32 @@ def running(df: DataFrame, order: Sequence[str], runs: Sequence[Run], keys: Sequ
 
     `chunks` names columns, coarse to fine, that never decrease along `order`; with none given a
     plain window is used. `reverse` scans from the end. Ties in `order` are the caller's to break.
+    What came before a chunk enters it as one extra leading row, so the rows themselves are shuffled
+    once and never joined.
     """
     keys, chunks = list(keys), list(chunks)
-    way = (lambda c: F.col(c).desc()) if reverse else (lambda c: F.col(c).asc())
     part = keys + chunks
+    val = {r.name: (F.col(r.value) if isinstance(r.value, str) else r.value) for r in runs}
+    ways = [(F.col(c).desc() if reverse else F.col(c).asc()) for c in order]
     base = W.partitionBy(*part) if part else W.partitionBy(F.lit(0))
-    spec = base.orderBy(*[way(c) for c in order])
 
-    def over(run):
+    def over(run, spec):
         return spec.rowsBetween(W.unboundedPreceding, -1 if run.strict else 0)
 
-    val = {r.name: (F.col(r.value) if isinstance(r.value, str) else r.value) for r in runs}
     if not chunks:
-        return df.select("*", *[_fold(r, val[r.name], None, over(r)).alias(r.name) for r in runs])
+        spec = base.orderBy(*ways)
+        return df.select("*", *[_fold(r, val[r.name], over=over(r, spec)).alias(r.name) for r in runs])
 
     rank = F.struct(*order)
-    totals = df.groupBy(*part).agg(*[
-        (F.min_by(val[r.name], F.when(val[r.name].isNotNull(), rank))
-         if r.kind == "last" and reverse else _fold(r, val[r.name], rank)).alias(f"_t_{r.name}")
-        for r in runs])
-    carry = running(totals, chunks, [Run(f"_c_{r.name}", r.kind, f"_t_{r.name}", strict=True)
-                                     for r in runs], keys, chunks[:-1], reverse)
-    carry = carry.select(*[F.col(c).alias(f"_k_{c}") for c in part],
-                         *[f"_c_{r.name}" for r in runs])
-    local = df.select("*", *[_fold(r, val[r.name], None, over(r)).alias(f"_l_{r.name}")
-                             for r in runs])
-    on = None
-    for c in part:
-        cond = F.col(c).eqNullSafe(F.col(f"_k_{c}"))
-        on = cond if on is None else on & cond
-    out = local.join(carry, on, "left")
-    names = [c for c in df.columns]
-    return out.select(*names, *[_merge(r, F.col(f"_l_{r.name}"), F.col(f"_c_{r.name}"))
-                                .alias(r.name) for r in runs])
+    totals = df.groupBy(*part).agg(*[_fold(r, val[r.name], rank, reverse).alias(f"_t_{r.name}") for r in runs])
+    carry = running(totals, chunks, [Run(f"_c_{r.name}", r.kind, f"_t_{r.name}", strict=True) for r in runs],
+                    keys, chunks[:-1], reverse)
+    carry = carry.select(*part, F.lit(0).alias("_m"), *[F.col(f"_c_{r.name}").alias(f"_v_{r.name}") for r in runs])
+    data = df.select("*", F.lit(1).alias("_m"), *[val[r.name].alias(f"_v_{r.name}") for r in runs])
+    spec = base.orderBy(F.col("_m"), *ways)
+    both = data.unionByName(carry, allowMissingColumns=True)
+    out = both.select("*", *[_fold(r, F.col(f"_v_{r.name}"), over=over(r, spec)).alias(f"_o_{r.name}") for r in runs])
+    return out.where("_m = 1").select(*df.columns, *[F.col(f"_o_{r.name}").alias(r.name) for r in runs])
 
 
 def row_index(df: DataFrame, order, keys=(), chunks=(), name: str = "rn") -> DataFrame:

@@ -51,6 +51,23 @@ def finance_sentiment(spark, d):
     return T.docs(spark, d).select("doc_id", r6(X.lexicon_score(F.col("body"), X.signed(X.BULL, X.BEAR), X.NEGATORS)).alias("score"))
 
 
+@query("X3", DV + lex_sql("mc", MAC) + "SELECT doc_id, round(score, 6) AS score FROM mc")
+def pluggable_scorer(spark, d):
+    import re
+
+    import pandas as pd
+
+    word, weights = re.compile(X.WORD), dict(MAC)
+
+    @F.pandas_udf("double")
+    def scorer(texts: pd.Series) -> pd.Series:
+        found = texts.str.lower().map(word.findall)
+        return found.map(lambda ws: sum(weights.get(w, 0.0) for w in ws) / max(3.0, len(ws) * 0.35))
+
+    x = D.score_documents(T.docs(spark, d), "body", scorer)
+    return x.select("doc_id", r6(F.col("score")).alias("score"))
+
+
 LISTED = ("CI", "OF", "DE", "TO", "AND", "LA", "EN", "IN", "ER", "DER", "WAS", "OU", "THE")
 TICK = DV + f""", tk AS (SELECT doc_id, kind, source, unnest(list_filter(list_distinct(list_concat(regexp_extract_all(body, '\\$([A-Z]{{2,6}})(?:[^A-Za-z0-9_]|$)', 1),
   list_intersect(string_split_regex(body, '[^A-Za-z0-9_]+'), {list(LISTED)!r}))), lambda s: s NOT IN ({', '.join(repr(b) for b in X.TICKER_BLACKLIST)}))) AS sym FROM docs)

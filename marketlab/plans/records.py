@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from marketlab import schemas
@@ -10,6 +12,8 @@ from marketlab.operators import context as C
 from marketlab.operators import indicators as I
 from marketlab.operators import patterns as PT
 from marketlab.operators import signals as SG
+from marketlab.operators.joins import asof
+from marketlab.operators.scans import shared_folder
 from marketlab.plans.decision import COMPOSITE, voted
 from marketlab.plans.price import CANDLES, FEAT, fr
 from marketlab.plans.registry import query
@@ -207,3 +211,33 @@ def performance_heat(spark, d):
     return x.select("product", r6(F.col("heat")).alias("heat"), r6(F.col("heat") * F.col("mult")).alias("eff_heat"))
 
 
+
+
+@query("S11 S10", "SELECT 'events' AS table_name, count(*) AS n, count(DISTINCT date_trunc('day', ts)) AS days FROM events UNION ALL SELECT 'decisions', count(*), count(DISTINCT date_trunc('day', ts)) FROM events WHERE event_id % 3 = 1")
+def append_events(spark, d):
+    root = f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}"
+    e = T.load(spark, d, "events")
+    IO.append(e.select("ts", F.col("event_type").alias("kind"), F.col("props").alias("data")), root, "events")
+    IO.append(T.decisions(spark, d).select("ts", "product", "composite", "confidence", "action"), root, "decisions")
+    out = None
+    for t in ("events", "decisions"):
+        c = IO.read_ledger(spark, root, t).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("day").alias("days")).select(F.lit(t).alias("table_name"), "n", "days")
+        out = c if out is None else out.unionByName(c)
+    return out
+
+
+@query("S14 J1", with_views("signal_scores", "decisions") + "SELECT count(*) AS n_labels, count(d.event_id) AS with_context, round(sum(d.composite), 4) AS composite FROM signal_scores s ASOF LEFT JOIN decisions d ON s.product = d.product AND s.ts >= d.ts")
+def write_dataset(spark, d):
+    path = f"{shared_folder(spark)}/dataset-{uuid.uuid4().hex}"
+    lab = asof(T.signal_scores(spark, d), T.decisions(spark, d).withColumnRenamed("event_id", "decision_id"), payload=["decision_id", "composite"], tie=["decision_id"])
+    IO.write_dataset(T.candles(spark, d), lab.select("event_id", "ts", "product", "strategy", "match.decision_id", "match.composite"), path)
+    return spark.read.parquet(f"{path}/labels").agg(F.count(F.lit(1)).alias("n_labels"), F.count("decision_id").alias("with_context"), r6(F.sum("composite"), 4).alias("composite"))
+
+
+@query("S15", with_views("trades") + "SELECT product, count(*) AS n, round(sum(pnl), 4) AS pnl FROM trades GROUP BY 1")
+def write_report(spark, d):
+    path = f"{shared_folder(spark)}/report-{uuid.uuid4().hex}"
+    t = T.trades(spark, d)
+    by = t.groupBy("product").agg(F.count(F.lit(1)).alias("n"), r6(F.sum("pnl"), 4).alias("pnl"))
+    IO.write_report({"per_product": by, "per_reason": t.groupBy("exit_reason").agg(F.count(F.lit(1)).alias("n"))}, path)
+    return spark.read.schema("product string, n bigint, pnl double").json(f"{path}/per_product")

@@ -15,7 +15,7 @@ from marketlab.plans.views import with_views
 from marketlab.sources import tables as T
 
 TR = with_views("trades")
-ORD, CH = T.TRADE_ORDER, T.TRADE_CHUNKS
+ORD = T.TRADE_ORDER
 OS = ", ".join(ORD)
 RET = "CASE WHEN abs(qty * entry) > 0 THEN pnl / abs(qty * entry) END"
 PATH = TR + f""", e0 AS (SELECT *, {RET} AS r, 10000000 + sum(pnl) OVER (ORDER BY {OS} ROWS UNBOUNDED PRECEDING) AS equity,
@@ -55,7 +55,7 @@ SELECT n, uw AS max_dd_duration_trades, round(net_pnl, 4) AS net_pnl, round(p, 4
   round(best, 4) AS best_trade_pnl, round(worst, 4) AS worst_trade_pnl, round(fees, 5) AS gross_entry_fees, round(span / 86400, 1) AS span_days
 FROM h CROSS JOIN uw""")
 def tearsheet_overall(spark, d):
-    x = G.tearsheet(T.trades(spark, d), ORD, CH, 10_000_000.0)
+    x = G.tearsheet(T.trades(spark, d), ORD, T.trade_chunks(spark, d), 10_000_000.0)
     dig = {"net_pnl": 4, "best_trade_pnl": 4, "worst_trade_pnl": 4, "gross_entry_fees": 5}
     return x.select("n", "max_dd_duration_trades", *[r6(F.col(c), dig.get(c, 6)).alias(c) for c in SHEET])
 
@@ -81,7 +81,7 @@ SELECT trades, wins, losses, ws AS best_win_streak, ls AS worst_loss_streak, rou
   round(tot / trades / sd, 6) AS sharpe_per_trade, round(tot / trades / dsd, 6) AS sortino_per_trade, round(mdd, 4) AS max_drawdown_realized, round(hold, 3) AS avg_hold_sec,
   printf('%.1fd', hold / 86400) AS avg_hold_human FROM g CROSS JOIN ws CROSS JOIN ls""")
 def trade_analytics(spark, d):
-    x = G.trade_analytics(T.trades(spark, d), ORD, CH)
+    x = G.trade_analytics(T.trades(spark, d), ORD, T.trade_chunks(spark, d))
     dig = {"pnl_stdev": 4, "avg_hold_sec": 3, **{c: 4 for c in ("total_pnl", "gross_profit", "gross_loss", "largest_win", "largest_loss", "max_drawdown_realized")}}
     return x.select("trades", "wins", "losses", "best_win_streak", "worst_loss_streak", G.human_duration(F.col("avg_hold_sec")).alias("avg_hold_human"),
                     *[r6(F.col(c), dig.get(c, 6)).alias(c) for c in x.columns if c not in ("trades", "wins", "losses", "best_win_streak", "worst_loss_streak")])

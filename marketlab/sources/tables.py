@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketlab.operators import bars
+from marketlab.operators.scans import pick_levels
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,7 +60,12 @@ def trades(spark, d) -> DataFrame:
                       "piece": F.floor(F.col("l_orderkey") / 1_000_000)}))
 
 
-TRADE_CHUNKS = ["day", "hour", "piece"]
+TRADE_LEVELS = ["day", "hour", "piece"]
+
+
+def trade_chunks(spark, d) -> list[str]:
+    """Chunk columns for scans along TRADE_ORDER, by the size of the table."""
+    return pick_levels(load(spark, d, "lineitem"), TRADE_LEVELS)
 
 
 def signal_scores(spark, d) -> DataFrame:
