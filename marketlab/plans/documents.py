@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import functions as F
 
 from marketlab.functions import text as X
@@ -53,10 +56,6 @@ def finance_sentiment(spark, d):
 
 @query("X3", DV + lex_sql("mc", MAC) + "SELECT doc_id, round(score, 6) AS score FROM mc")
 def pluggable_scorer(spark, d):
-    import re
-
-    import pandas as pd
-
     word, weights = re.compile(X.WORD), dict(MAC)
 
     @F.pandas_udf("double")

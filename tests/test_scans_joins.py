@@ -160,3 +160,25 @@ def test_empty_and_single_rows(spark):
     assert J.asof(one, one.where("false"), "k", "ts", ["v"]).first()["match"] is None
 
 
+
+
+def test_hot_and_cold_orders_agree(spark):
+    r = random.Random(11)
+    f = []
+    for i in range(120):
+        k = 1 if r.random() < 0.5 else r.randrange(2, 9)
+        f.append((k, f"x{r.randrange(0, 80)}", T0 + dt.timedelta(minutes=17 * i), float(r.randrange(1, 5)), r.uniform(9, 11), 0.1))
+    fills = spark.createDataFrame(f, "intent_id int, exec_id string, ts timestamp, qty double, price double, fee double")
+    orders = spark.createDataFrame([(k, 20.0) for k in range(1, 9)], "intent_id int, order_qty double")
+    a, b = ({x["intent_id"]: x for x in G.order_vwap(fills, orders, ["ts"], hot_rows=h).collect()} for h in (3, 10 ** 6))
+    assert a.keys() == b.keys()
+    for k in a:
+        seen, qty, val, n = set(), 0.0, 0.0, 0
+        for kk, e, _, q, p, _ in f:
+            if kk == k and e not in seen:
+                seen.add(e)
+                if qty + 1e-12 < 20.0:
+                    qty, val, n = qty + q, val + q * p, n + 1
+        for got in (a[k], b[k]):
+            assert (got["filled_qty"], got["n_fills"]) == (qty, n) and got["vwap"] == pytest.approx(val / qty)
+            assert got["status"] == ("FILLED" if qty >= 20.0 else "PARTIAL")
