@@ -22,7 +22,7 @@ DAY, HOUR = 86400, 3600
 
 def shared_folder(spark) -> str:
     """The folder `spark.checkpoint.dir` names; only a local session without it gets one of its own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder")
@@ -111,12 +111,12 @@ def running(df: DataFrame, order: Sequence[str], runs: Sequence[Run], keys: Sequ
     totals = df.groupBy(*part).agg(*[_fold(r, val[r.name], rank, reverse).alias(f"_t_{r.name}") for r in runs])
     carry = running(totals, chunks, [Run(f"_c_{r.name}", r.kind, f"_t_{r.name}", strict=True) for r in runs],
                     keys, chunks[:-1], reverse)
-    carry = carry.select(*part, F.lit(0).alias("_m"), *[F.col(f"_c_{r.name}").alias(f"_v_{r.name}") for r in runs])
-    data = df.select("*", F.lit(1).alias("_m"), *[val[r.name].alias(f"_v_{r.name}") for r in runs])
-    spec = base.orderBy(F.col("_m"), *ways)
+    carry = carry.select(*part, F.lit(0).alias("_carried"), *[F.col(f"_c_{r.name}").alias(f"_v_{r.name}") for r in runs])
+    data = df.select("*", F.lit(1).alias("_carried"), *[val[r.name].alias(f"_v_{r.name}") for r in runs])
+    spec = base.orderBy(F.col("_carried"), *ways)
     both = data.unionByName(carry, allowMissingColumns=True)
     out = both.select("*", *[_fold(r, F.col(f"_v_{r.name}"), over=over(r, spec)).alias(f"_o_{r.name}") for r in runs])
-    return out.where("_m = 1").select(*df.columns, *[F.col(f"_o_{r.name}").alias(r.name) for r in runs])
+    return out.where("_carried = 1").select(*df.columns, *[F.col(f"_o_{r.name}").alias(r.name) for r in runs])
 
 
 def row_index(df: DataFrame, order, keys=(), chunks=(), name: str = "rn") -> DataFrame:

@@ -318,7 +318,11 @@ def crowding_distance(spark, d):
     return V.crowding(x, "sid", ["profit", "size"]).select("sid", "front", r6(F.col("crowding")).alias("crowding"))
 
 
-@query("J13 (ranks)", None)
+DOMS = "b.profit >= a.profit AND b.safety >= a.safety AND b.size >= a.size AND (b.profit > a.profit OR b.safety > a.safety OR b.size > a.size)"
+
+
+@query("J13 (ranks)", OBJ + f"""{''.join(f", f{k} AS (SELECT * FROM r{k - 1} a WHERE NOT EXISTS (SELECT 1 FROM r{k - 1} b WHERE {DOMS})), r{k} AS (SELECT * FROM r{k - 1} WHERE sid NOT IN (SELECT sid FROM f{k}))" for k in (1, 2, 3)).replace('r0', 'c')}
+SELECT front, count(*) AS n FROM (SELECT 1 AS front FROM f1 UNION ALL SELECT 2 FROM f2 UNION ALL SELECT 3 FROM f3 UNION ALL SELECT NULL FROM r3) GROUP BY 1""")
 def pareto_ranks(spark, d):
     return J.pareto_ranks(objectives(spark, d), "sid", ["profit", "safety", "size"], 3).groupBy("front").agg(F.count(F.lit(1)).alias("n"))
 

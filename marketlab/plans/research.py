@@ -181,7 +181,12 @@ def cqr_adaptive(spark, d):
     return x.groupBy("product").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("covered")).alias("coverage"), r6(F.max_by("alpha_t", "event_id")).alias("alpha_t"))
 
 
-@query("W36 X5")
+@query("W36 X5", DQ.replace("WITH ", "WITH RECURSIVE ", 1) + """, o AS (SELECT product, row_number() OVER (PARTITION BY product ORDER BY ts, event_id) AS i, abs(composite - confidence) AS e FROM decisions),
+f(product, i, mean, cum, low, stat, hit) AS (SELECT product, i, e, CAST(-0.005 AS DOUBLE), CAST(-0.005 AS DOUBLE), CAST(0 AS DOUBLE), 0 FROM o WHERE i = 1 UNION ALL
+  SELECT product, i, m, CASE WHEN c - lo > 5 THEN 0 ELSE c END, CASE WHEN c - lo > 5 THEN 0 ELSE lo END, c - lo, CASE WHEN c - lo > 5 THEN 1 ELSE 0 END FROM (
+    SELECT product, i, m, c, least(low, c) AS lo FROM (SELECT product, i, low, m, 0.999 * cum + e - m - 0.005 AS c FROM (
+      SELECT o.product, o.i, o.e, f.cum, f.low, 0.999 * f.mean + 0.001 * o.e AS m FROM f JOIN o ON o.product = f.product AND o.i = f.i + 1))))
+SELECT product, count(*) AS n, sum(hit) AS n_events, round(max(stat), 6) AS max_stat FROM f GROUP BY 1""")
 def page_hinkley(spark, d):
     x = T.decisions(spark, d).withColumn("err", F.abs(F.col("composite") - F.col("confidence")))
     y = Y.page_hinkley(x, ["product"], ["ts", "event_id"], "err", lam=5.0)

@@ -81,7 +81,10 @@ def stream_label_maturation(spark, d):
     return x.groupBy("product", "state").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("fwd_return_aligned")).alias("mean_return"))
 
 
-@query("T7")
+@query("T7", with_views("features_long") + """, rf AS (SELECT * FROM features_long WHERE label < 5), cu AS (SELECT * FROM features_long WHERE label >= 5), lm AS (SELECT dim, min(value) AS lo, max(value) AS hi, count(*) AS n FROM rf GROUP BY 1), cn AS (SELECT dim, count(*) AS n FROM cu GROUP BY 1),
+b AS (SELECT dim, least(7, floor((value - lo) / ((hi - lo) / 8))) AS b, label < 5 AS isref FROM features_long JOIN lm USING (dim) WHERE value >= lo), h AS (SELECT dim, b, sum(CAST(isref AS INT)) AS r, sum(1 - CAST(isref AS INT)) AS c FROM b GROUP BY 1, 2),
+g AS (SELECT lm.dim, i AS b, lm.n AS nr, cn.n AS nc FROM lm JOIN cn USING (dim), range(8) t(i)), t AS (SELECT g.dim, greatest(1e-4, coalesce(r, 0) / nr) AS a, greatest(1e-4, coalesce(c, 0) / nc) AS q FROM g LEFT JOIN h ON g.dim = h.dim AND g.b = h.b)
+SELECT 0 AS batch_id, dim, round(sum((q - a) * ln(q / a)), 6) AS psi, sum((q - a) * ln(q / a)) > 0.25 AS drifting FROM t GROUP BY dim""")
 def stream_drift(spark, d):
     f = folder(spark)
     ref = T.features_long(spark, d).where("label < 5")
@@ -90,7 +93,12 @@ def stream_drift(spark, d):
     return spark.read.parquet(f"{f}/data/batch=*").select("batch_id", "dim", r6(F.col("psi")).alias("psi"), "drifting")
 
 
-@query("T8")
+@query("T8", with_views("decisions").replace("WITH ", "WITH RECURSIVE ", 1) + """, o AS (SELECT product, row_number() OVER (PARTITION BY product ORDER BY ts, event_id) AS i, abs(composite - confidence) AS e FROM decisions),
+f(product, i, mean, cum, low, hit) AS (SELECT product, i, e, CAST(-0.005 AS DOUBLE), CAST(-0.005 AS DOUBLE), 0 FROM o WHERE i = 1 UNION ALL
+  SELECT product, i, m, CASE WHEN c - lo > 5 THEN 0 ELSE c END, CASE WHEN c - lo > 5 THEN 0 ELSE lo END, CASE WHEN c - lo > 5 THEN 1 ELSE 0 END FROM (
+    SELECT product, i, m, c, least(low, c) AS lo FROM (SELECT product, i, low, m, 0.999 * cum + e - m - 0.005 AS c FROM (
+      SELECT o.product, o.i, o.e, f.cum, f.low, 0.999 * f.mean + 0.001 * o.e AS m FROM f JOIN o ON o.product = f.product AND o.i = f.i + 1))))
+SELECT product, sum(hit) AS n_events FROM f GROUP BY 1 HAVING sum(hit) > 0""")
 def stream_page_hinkley(spark, d):
     e = events_stream(spark, d).where("event_id % 3 = 1").withColumn("k", T.k_of())
     e = e.select(F.col("event_type").alias("product"), "ts", "event_id", F.abs(F.col("k") / 50 - 1 - F.col("k") / 100).alias("error"))
@@ -112,7 +120,8 @@ def stream_sessions(spark, d):
     return x.select("user_id", F.unix_micros("start").alias("start"), "n")
 
 
-@query("T11")
+@query("T11", f"""SELECT sym, source_kind, sum(n) AS mentions, count(*) AS n_windows FROM (SELECT 'u' || CAST(user_id % 9 AS VARCHAR) AS sym, event_type AS source_kind, date_trunc('hour', ts) AS h, count(*) AS n FROM events GROUP BY 1, 2, 3), {MARK}
+WHERE epoch_ms(h) + 3600000 <= wm GROUP BY 1, 2""")
 def stream_mention_counts(spark, d):
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     e = events_stream(spark, d).select("ts", F.col("event_type").alias("kind"), F.concat(F.lit("u"), F.col("user_id") % 9).alias("sym"))

@@ -265,7 +265,10 @@ def ledger_balance(spark, d):
     return x.select("event_id", r6(F.col("balance"), 4).alias("balance"))
 
 
-@query("A43 X5 (conditional reservations)")
+@query("A43 X5 (conditional reservations)", """WITH RECURSIVE o AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, value - 60 AS a FROM events),
+f(user_id, i, cash, ok) AS (SELECT user_id, CAST(0 AS BIGINT), CAST(50 AS DOUBLE), 0 FROM (SELECT DISTINCT user_id FROM events) UNION ALL
+  SELECT o.user_id, o.i, CASE WHEN o.a < 0 AND f.cash + 1e-9 < -o.a THEN f.cash ELSE f.cash + o.a END, CASE WHEN o.a < 0 AND f.cash + 1e-9 < -o.a THEN 0 ELSE 1 END FROM f JOIN o ON o.user_id = f.user_id AND o.i = f.i + 1)
+SELECT user_id, sum(ok) AS applied, max(i) AS n, round(last(cash ORDER BY i), 4) AS balance FROM f GROUP BY 1""")
 def reserve_cash(spark, d):
     e = T.load(spark, d, "events").select("event_id", "user_id", "ts", (F.col("value") - 60).alias("amount"))
     x = G.reserve_cash(e, 50.0, ["user_id"], ["ts", "event_id"])
