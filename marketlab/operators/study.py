@@ -24,6 +24,19 @@ def net_lean(positions: DataFrame, rank_decay: float = 1.0, use_score: bool = Fa
     return g.where(F.col("_d") > 0).select(*keys, (F.col("_n") / F.col("_d")).alias("lean"))
 
 
+SLICES = [i / 64 for i in range(1, 64)]
+
+
+def value_slices(counts: DataFrame, col: str, keys: Sequence[str]) -> DataFrame:
+    """Adds `_s`, a slice number that never decreases with the value, about equally many distinct
+    values in each however skewed they are: bounds come from a mergeable quantile sketch, exactness
+    does not depend on them."""
+    keys = list(keys)
+    q = F.percentile_approx(col, SLICES, 2000).alias("_q")
+    x = counts.join(counts.groupBy(*keys).agg(q), keys) if keys else counts.crossJoin(F.broadcast(counts.agg(q)))
+    return x.withColumn("_s", F.size(F.filter("_q", lambda b: b <= F.col(col)))).drop("_q")
+
+
 def average_ranks(df: DataFrame, col: str, keys: Sequence[str], name: str) -> DataFrame:
     """Ranks with ties averaged, per key.
 
@@ -32,11 +45,7 @@ def average_ranks(df: DataFrame, col: str, keys: Sequence[str], name: str) -> Da
     """
     keys = list(keys)
     counts = df.groupBy(*keys, col).agg(F.count(F.lit(1)).alias("_c"))
-    lo = counts.groupBy(*keys).agg(F.min(col).alias("_lo"), F.max(col).alias("_hi")) if keys else \
-        counts.agg(F.min(col).alias("_lo"), F.max(col).alias("_hi"))
-    c = counts.join(lo, keys) if keys else counts.crossJoin(F.broadcast(lo))
-    slice_ = F.when(F.col("_hi") > F.col("_lo"), F.floor((F.col(col) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * 256)).otherwise(0)
-    r = running(c.withColumn("_s", slice_), [col], [Run("_before", "sum", "_c", strict=True)], keys, ["_s"])
+    r = running(value_slices(counts, col, keys), [col], [Run("_before", "sum", "_c", strict=True)], keys, ["_s"])
     r = r.select(*keys, F.col(col).alias("_v"), (F.coalesce("_before", F.lit(0)) + (F.col("_c") - 1) / 2).alias(name))
     on = F.col(col) == F.col("_v")
     x = df
@@ -158,10 +167,9 @@ def rank_quantile(df: DataFrame, keys: Sequence[str], value: str, q: Column, nam
     Only the counted distinct values are scanned, in value slices.
     """
     keys = list(keys)
-    n = df.groupBy(*keys).agg(F.count(value).alias("n"), F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    n = df.groupBy(*keys).agg(F.count(value).alias("n"))
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c")).join(n, keys)
-    s = F.when(F.col("_hi") > F.col("_lo"), F.floor((F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * 256)).otherwise(0)
-    r = running(counts.withColumn("_s", s), [value], [Run("_upto", "sum", "_c")], keys, ["_s"])
+    r = running(value_slices(counts, value, keys), [value], [Run("_upto", "sum", "_c")], keys, ["_s"])
     pos = F.greatest(F.lit(0.0), F.least(F.lit(1.0), q)) * (F.col("n") - 1)
     r = r.withColumn("_p", pos)
     first, last = F.col("_upto") - F.col("_c"), F.col("_upto") - 1
