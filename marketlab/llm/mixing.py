@@ -54,7 +54,7 @@ def sampled(docs: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
 
 
 SQL = r"""
-WITH d AS (SELECT doc_id, source, coalesce(len(list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), x -> x <> '')), 0)::BIGINT AS size FROM documents),
+WITH d AS (SELECT doc_id, source, coalesce(len(list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '')), 0)::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 p AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM s),
 w AS (SELECT *, [5.0, 2.0, 1.0][((place - 1) % 3 + 1)::INT]::DOUBLE AS weight, (3 * source_size)::DOUBLE AS cap FROM p),
