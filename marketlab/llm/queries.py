@@ -1,6 +1,6 @@
 """All queries of this subpackage."""
 
-from marketlab.llm import divergence, hmm, mixing, multi_index, neardup, packing, urls  # noqa: F401
+from marketlab.llm import divergence, hmm, mixing, multi_index, neardup, packing, toxicity, urls  # noqa: F401
 from marketlab.llm.common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
