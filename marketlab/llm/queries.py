@@ -1,6 +1,7 @@
 """All queries of this subpackage."""
 
-from marketlab.llm import divergence, extraction, hmm, mixing, multi_index, neardup, packing, toxicity, urls  # noqa: F401
+import corpus_pipeline  # noqa: F401
+from marketlab.llm import divergence, extraction, hmm, mixing, multi_index, neardup, packing, paragraphs, toxicity, urls  # noqa: F401
 from marketlab.llm.common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
