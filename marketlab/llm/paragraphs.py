@@ -112,6 +112,14 @@ def _same_lines(batches):
         yield b.select(["a", "b"]).filter(pa.array(100 * inter >= PERCENT * union))
 
 
+def _line_members(batches):
+    for b in batches:
+        own = pa.array([_line(t, f) for t, f in zip(b["text"].to_pylist(), b["first"].to_pylist(), strict=True)], pa.string())
+        for x in blocks(own):
+            row, members = x.words(True).sets(SHINGLE)
+            yield pa.RecordBatch.from_arrays([b["id"].slice(x.first, x.rows).take(pa.array(row)), pa.array(members.view(np.int64))], names=["id", "member"])
+
+
 def _line(text: str, first: int) -> str:
     """The line whose first word is word number `first` of the text."""
     seen = 0
@@ -169,7 +177,12 @@ def repeated(docs: DataFrame) -> DataFrame:
                      .join(docs.select(F.col("key").alias(f"{c}_key"), F.col("text").alias(f"{c}_text")), f"{c}_key"))
         return pairs.select("a", "b", "a_text", "b_text", "a_first", "b_first").mapInArrow(_same_lines, "a long, b long").distinct()
 
-    _, found = similar.linked(classes, PLACES, PERCENT, exact)
+    def sets(ids: DataFrame) -> DataFrame:
+        texts = docs.select("key", "text")
+        return (ids.join(classes.select("id", "key", "first"), "id").join(texts, "key").select("id", "text", "first")
+                .mapInArrow(_line_members, "id long, member long"))
+
+    _, found = similar.linked(classes, PLACES, PERCENT, exact, sets)
     named = (paragraphs.select("doc_id", "key", "id", "first", "words").join(found, "id", "left")
              .withColumn("component", F.coalesce("component", "id")).drop("id"))
     heads = (named.groupBy("component").agg(F.min("doc_id").alias("kept_doc_id"), F.count(F.lit(1)).alias("size")).where("size > 1"))

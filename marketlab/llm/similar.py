@@ -6,9 +6,11 @@ Input is a table of classes (one row per different set): `id` long, `n` set size
    at most two pairs per member and band, whatever the bucket's size.
 2. Candidates whose sizes rule the similarity out go; then those whose signatures agree in so few places that the similarity
    is out of reach (six standard deviations); the rest is checked on the full sets.
-3. Components of the links found. A bucket that lies in one component needs nothing more. In the others, the members outside
-   the bucket's largest component meet the members of other components (of a size class in reach), so that no colliding
-   pair of two components stays unchecked; then the components are made anew.
+3. Components of the links found. A bucket that lies in one component needs nothing more. For the members of the others it is
+   counted how many of a set's members stand in no other of these sets: with d such members in each, two sets of n
+   can't be more alike than m / (m + d1 + d2), m the smaller n - d. The members outside a bucket's largest component meet
+   those of other components that this bound and the sizes leave in reach, so that no colliding pair of two components stays
+   undecided; then the components are made anew.
 """
 
 from __future__ import annotations
@@ -84,8 +86,12 @@ def checked(pairs: DataFrame, classes: DataFrame, places: int, percent: int, exa
     return exact(both.mapInArrow(_agreeing(places, percent), "a long, b long"))
 
 
-def linked(classes: DataFrame, places: int, percent: int, exact: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """Links found and the component of every linked id; ids without a link are not listed."""
+def linked(classes: DataFrame, places: int, percent: int, exact: Callable[[DataFrame], DataFrame],
+           sets: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Links found and the component of every linked id; ids without a link are not listed.
+
+    `exact` keeps the pairs (a, b) that are links, `sets` gives (id, member) of the sets of some ids.
+    """
     rows = classes.select("id", "n", F.explode("bands").alias("bucket"))
     star = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("size > 1")
     members = written(rows.join(star.select("bucket", "lo", "hi"), "bucket"))
@@ -99,13 +105,20 @@ def linked(classes: DataFrame, places: int, percent: int, exact: Callable[[DataF
     found = written(components(links))
     named = members.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     split = named.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("bucket")
-    rest = written(named.join(split, "bucket").withColumn("step", F.floor(F.log("n") / F.lit(math.log(100 / percent) * 1.0001))))
+    rest = written(named.join(split, "bucket"))
+    only = (sets(rest.select("id").distinct()).groupBy("member").agg(F.min("id").alias("id"), F.max("id").alias("last")).where("id = last")
+            .groupBy("id").agg(F.count(F.lit(1)).alias("d")))
+    rest = rest.join(only, "id", "left").withColumn("m", F.col("n") - F.coalesce("d", F.lit(0)))
+    rest = written(rest.where(100 * F.col("m") >= percent * F.col("n")).withColumn(
+        "step", F.floor(F.log("n") / F.lit(math.log(100 / percent) * 1.0001))).drop("d"))
     shares = rest.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("size"))
     main = shares.groupBy("bucket").agg(F.max(F.struct("size", "component")).alias("top")).select("bucket", F.col("top.component").alias("main"))
     minor = (rest.join(main, "bucket").where("component <> main")
              .select("bucket", F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)).alias("step"),
-                     F.col("id").alias("x"), F.col("n").alias("x_n"), F.col("component").alias("x_c")))
+                     F.col("id").alias("x"), F.col("n").alias("x_n"), F.col("m").alias("x_m"), F.col("component").alias("x_c")))
+    common = F.least("m", "x_m")
     more = (minor.join(rest, ["bucket", "step"]).where((F.col("x_c") != F.col("component")) & _in_reach(F.col("x_n"), F.col("n"), percent)
+                                                       & (100 * common >= percent * (common + F.col("n") - F.col("m") + F.col("x_n") - F.col("x_m")))
                                                        & (F.col("id") != F.col("lo")) & (F.col("id") != F.col("hi"))
                                                        & (F.col("x") != F.col("lo")) & (F.col("x") != F.col("hi")))
             .select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct())
