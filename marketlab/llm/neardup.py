@@ -85,8 +85,10 @@ def near_duplicates(docs: DataFrame, k: int = 2, percent: int = 80) -> DataFrame
         _features(k), "doc_id long, key long, n long, id long, bands array<long>, sig binary"))
     classes = written(feats.where(F.col("n") >= LEAST).groupBy("id").agg(
         *[F.first(c).alias(c) for c in ("n", "key", "bands", "sig")]))
-    _, found = similar.linked(classes, BINS, percent, lambda pairs: confirmed(pairs, classes, docs, k, percent),
-                              lambda ids: _members(ids, classes, docs, k))
+    def texts(ids: DataFrame) -> DataFrame:
+        return ids.join(classes.select("id", "key"), "id").join(docs.select("key", "text"), "key").select("id", "text").dropDuplicates(["id"])
+
+    found = similar.linked(classes, BINS, percent, k, texts)
     real = feats.where("n > 0").select("doc_id", "key", "n", "id")
     least = (real.groupBy("id").agg(F.min("doc_id").alias("least")).join(found, "id", "left")
              .withColumn("node", F.coalesce("component", "id")))
@@ -101,31 +103,6 @@ def key():
     return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Candidate pairs of class ids that hold on the full sets, which are made again from the two whole texts."""
-    def run(batches):
-        for b in batches:
-            inter, union = similar.same_share(b["a_text"], b["b_text"], k)
-            yield b.select(["a", "b"]).filter(pa.array(100 * inter >= percent * union))
-
-    for c in ("a", "b"):
-        pairs = (pairs.join(classes.select(F.col("id").alias(c), F.col("key").alias(f"{c}_key")), c)
-                 .join(docs.select(F.col("key").alias(f"{c}_key"), F.col("text").alias(f"{c}_text")), f"{c}_key"))
-    return pairs.select("a", "b", "a_text", "b_text").mapInArrow(run, "a long, b long").distinct()
-
-
-def _members(ids: DataFrame, classes: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """(id, member) of the sets of some classes."""
-    def run(batches):
-        for b in batches:
-            for x in blocks(b["text"]):
-                row, members = x.words(True).sets(k)
-                yield pa.RecordBatch.from_arrays([b["id"].slice(x.first, x.rows).take(pa.array(row)), pa.array(members.view(np.int64))], names=["id", "member"])
-
-    texts = docs.select("key", "text")
-    return ids.join(classes.select("id", "key"), "id").join(texts, "key").select("id", "text").mapInArrow(run, "id long, member long")
-
-
 @query("op9_minhash_near_dedup")
 def op9(spark, d):
     return near_duplicates(load(spark, d, "documents")).drop("key", "node")

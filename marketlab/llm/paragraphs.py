@@ -104,20 +104,10 @@ def _many(words) -> tuple[np.ndarray, np.ndarray]:
     return row[new], h[new]
 
 
-def _same_lines(batches):
-    """Pairs of paragraphs that hold on their full sets; a paragraph is given by its text and its first word."""
+def _take_line(batches):
     for b in batches:
-        sides = [pa.array([_line(t, f) for t, f in zip(b[f"{c}_text"].to_pylist(), b[f"{c}_first"].to_pylist(), strict=True)], pa.string()) for c in ("a", "b")]
-        inter, union = similar.same_share(*sides, SHINGLE)
-        yield b.select(["a", "b"]).filter(pa.array(100 * inter >= PERCENT * union))
-
-
-def _line_members(batches):
-    for b in batches:
-        own = pa.array([_line(t, f) for t, f in zip(b["text"].to_pylist(), b["first"].to_pylist(), strict=True)], pa.string())
-        for x in blocks(own):
-            row, members = x.words(True).sets(SHINGLE)
-            yield pa.RecordBatch.from_arrays([b["id"].slice(x.first, x.rows).take(pa.array(row)), pa.array(members.view(np.int64))], names=["id", "member"])
+        own = [_line(t, f) for t, f in zip(b["text"].to_pylist(), b["first"].to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([b["id"], pa.array(own, pa.string())], names=["id", "text"])
 
 
 def _line(text: str, first: int) -> str:
@@ -171,18 +161,11 @@ def repeated(docs: DataFrame) -> DataFrame:
     paragraphs = units.where("n > 0")
     classes = written(paragraphs.groupBy("id").agg(*[F.first(c).alias(c) for c in ("n", "doc_id", "key", "first", "bands", "sig")]))
 
-    def exact(pairs: DataFrame) -> DataFrame:
-        for c in ("a", "b"):
-            pairs = (pairs.join(classes.select(F.col("id").alias(c), F.col("key").alias(f"{c}_key"), F.col("first").alias(f"{c}_first")), c)
-                     .join(docs.select(F.col("key").alias(f"{c}_key"), F.col("text").alias(f"{c}_text")), f"{c}_key"))
-        return pairs.select("a", "b", "a_text", "b_text", "a_first", "b_first").mapInArrow(_same_lines, "a long, b long").distinct()
-
-    def sets(ids: DataFrame) -> DataFrame:
-        texts = docs.select("key", "text")
-        return (ids.join(classes.select("id", "key", "first"), "id").join(texts, "key").select("id", "text", "first")
-                .mapInArrow(_line_members, "id long, member long"))
+    def texts(ids: DataFrame) -> DataFrame:
+        return (ids.join(classes.select("id", "key", "first"), "id").join(docs.select("key", "text"), "key").select("id", "text", "first")
+                .mapInArrow(_take_line, "id long, text string").dropDuplicates(["id"]))
 
-    _, found = similar.linked(classes, PLACES, PERCENT, exact, sets)
+    found = similar.linked(classes, PLACES, PERCENT, SHINGLE, texts)
     named = (paragraphs.select("doc_id", "key", "id", "first", "words").join(found, "id", "left")
              .withColumn("component", F.coalesce("component", "id")).drop("id"))
     heads = (named.groupBy("component").agg(F.min("doc_id").alias("kept_doc_id"), F.count(F.lit(1)).alias("size")).where("size > 1"))

@@ -7,10 +7,11 @@ Input is a table of classes (one row per different set): `id` long, `n` set size
 2. Candidates whose sizes rule the similarity out go; then those whose signatures agree in so few places that the similarity
    is out of reach (six standard deviations); the rest is checked on the full sets.
 3. Components of the links found. A bucket that lies in one component needs nothing more. For the members of the others it is
-   counted how many of a set's members stand in no other of these sets: with d such members in each, two sets of n
-   can't be more alike than m / (m + d1 + d2), m the smaller n - d. The members outside a bucket's largest component meet
-   those of other components that this bound and the sizes leave in reach, so that no colliding pair of two components stays
-   undecided; then the components are made anew.
+   counted how many of a set's members stand in no other of these sets: with d such members in n, a set can't be
+   more alike to any other than (n - d) / n. What stays is gathered in clusters (buckets that share members), and the members outside a
+   cluster's largest component are compared with all its others in blocks of about `side` by `side` sets, dealt over tasks
+   whatever the cluster's size. A block emits its links only, so no colliding pair of two components stays undecided and no
+   pairs are made as rows; then the components are made anew.
 """
 
 from __future__ import annotations
@@ -78,20 +79,25 @@ def _agreeing(places: int, percent: int):
     return run
 
 
-def checked(pairs: DataFrame, classes: DataFrame, places: int, percent: int, exact: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Of candidate `pairs` (a, b), those that are links by the full sets."""
+def checked(pairs: DataFrame, classes: DataFrame, places: int, percent: int, k: int, texts: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Of candidate `pairs` (a, b), those that are links by the full sets of k-word shingles of their `texts`."""
+    def same(batches):
+        for b in batches:
+            inter, union = same_share(b["a_text"], b["b_text"], k)
+            yield b.select(["a", "b"]).filter(pa.array(100 * inter >= percent * union))
+
     side = classes.select("id", "n", "sig")
     both = (pairs.join(side.select(F.col("id").alias("a"), F.col("n").alias("a_n"), F.col("sig").alias("a_sig")), "a")
             .join(side.select(F.col("id").alias("b"), F.col("n").alias("b_n"), F.col("sig").alias("b_sig")), "b"))
-    return exact(both.mapInArrow(_agreeing(places, percent), "a long, b long"))
-
+    left = written(both.mapInArrow(_agreeing(places, percent), "a long, b long"))
+    body = written(texts(left.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
+    return (left.join(body.select(F.col("id").alias("a"), F.col("text").alias("a_text")), "a")
+            .join(body.select(F.col("id").alias("b"), F.col("text").alias("b_text")), "b")
+            .select("a", "b", "a_text", "b_text").mapInArrow(same, "a long, b long").distinct())
 
-def linked(classes: DataFrame, places: int, percent: int, exact: Callable[[DataFrame], DataFrame],
-           sets: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """Links found and the component of every linked id; ids without a link are not listed.
 
-    `exact` keeps the pairs (a, b) that are links, `sets` gives (id, member) of the sets of some ids.
-    """
+def linked(classes: DataFrame, places: int, percent: int, k: int, texts: Callable[[DataFrame], DataFrame], side: int = 500) -> DataFrame:
+    """(id, component) of every linked id; `texts` gives (id, text) for a table of ids."""
     rows = classes.select("id", "n", F.explode("bands").alias("bucket"))
     star = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("size > 1")
     members = written(rows.join(star.select("bucket", "lo", "hi"), "bucket"))
@@ -101,32 +107,76 @@ def linked(classes: DataFrame, places: int, percent: int, exact: Callable[[DataF
     pairs = (pairs.join(sizes.select(F.col("id").alias("a"), F.col("n").alias("a_n")), "a")
              .join(sizes.select(F.col("id").alias("b"), F.col("n").alias("b_n")), "b")
              .where(_in_reach(F.col("a_n"), F.col("b_n"), percent)).select("a", "b"))
-    links = written(checked(pairs, classes, places, percent, exact))
+    links = written(checked(pairs, classes, places, percent, k, texts))
     found = written(components(links))
-    named = members.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    split = named.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("bucket")
-    rest = written(named.join(split, "bucket"))
-    only = (sets(rest.select("id").distinct()).groupBy("member").agg(F.min("id").alias("id"), F.max("id").alias("last")).where("id = last")
-            .groupBy("id").agg(F.count(F.lit(1)).alias("d")))
-    rest = rest.join(only, "id", "left").withColumn("m", F.col("n") - F.coalesce("d", F.lit(0)))
-    rest = written(rest.where(100 * F.col("m") >= percent * F.col("n")).withColumn(
-        "step", F.floor(F.log("n") / F.lit(math.log(100 / percent) * 1.0001))).drop("d"))
-    shares = rest.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("size"))
-    main = shares.groupBy("bucket").agg(F.max(F.struct("size", "component")).alias("top")).select("bucket", F.col("top.component").alias("main"))
-    minor = (rest.join(main, "bucket").where("component <> main")
-             .select("bucket", F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)).alias("step"),
-                     F.col("id").alias("x"), F.col("n").alias("x_n"), F.col("m").alias("x_m"), F.col("component").alias("x_c")))
-    common = F.least("m", "x_m")
-    more = (minor.join(rest, ["bucket", "step"]).where((F.col("x_c") != F.col("component")) & _in_reach(F.col("x_n"), F.col("n"), percent)
-                                                       & (100 * common >= percent * (common + F.col("n") - F.col("m") + F.col("x_n") - F.col("x_m")))
-                                                       & (F.col("id") != F.col("lo")) & (F.col("id") != F.col("hi"))
-                                                       & (F.col("x") != F.col("lo")) & (F.col("x") != F.col("hi")))
-            .select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct())
-    late = written(checked(more, classes, places, percent, exact))
-    if late.isEmpty():
-        return links, found
-    links = links.unionAll(late)
-    return links, components(links)
+    named = members.select("id", "n", "bucket").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    rest = written(_split(named))
+    body = written(texts(rest.select("id").distinct()))
+    only = (body.mapInArrow(_members(k), "id long, member long").groupBy("member").agg(F.min("id").alias("id"), F.max("id").alias("last"))
+            .where("id = last").groupBy("id").agg(F.count(F.lit(1)).alias("d")))
+    rest = rest.join(only, "id", "left").where(100 * (F.col("n") - F.coalesce("d", F.lit(0))) >= percent * F.col("n")).drop("d")
+    rest = written(_split(rest))
+    if rest.isEmpty():
+        return found
+    late = written(_compared(rest, body, percent, k, side))
+    return found if late.isEmpty() else components(links.unionAll(late))
+
+
+def _split(rows: DataFrame) -> DataFrame:
+    """Rows of the buckets that hold several components, with the bucket's `head`."""
+    heads = rows.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.min("id").alias("head"))
+    return rows.drop("head").join(heads.where("c0 <> c1").select("bucket", "head"), "bucket")
+
+
+def _members(k: int):
+    def run(batches):
+        for b in batches:
+            for x in blocks(b["text"]):
+                row, members = x.words(True).sets(k)
+                yield pa.RecordBatch.from_arrays([b["id"].slice(x.first, x.rows).take(pa.array(row)), pa.array(members.view(np.int64))], names=["id", "member"])
+    return run
+
+
+def _compared(rest: DataFrame, body: DataFrame, percent: int, k: int, side: int) -> DataFrame:
+    """Links between different components of a cluster of buckets, found block by block."""
+    cluster = components(rest.select(F.col("id").alias("a"), F.col("head").alias("b"))).withColumnRenamed("component", "cluster")
+    each = written(rest.select("id", "component").distinct().join(cluster, "id"))
+    shares = each.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("size"))
+    plan = shares.groupBy("cluster").agg(F.max(F.struct("size", "component")).alias("top"), F.sum("size").alias("size")).select(
+        "cluster", F.col("top.component").alias("main"), F.ceil(F.col("size") / side).alias("ys"),
+        F.ceil((F.col("size") - F.col("top.size")) / side).alias("xs"))
+    each = each.join(plan, "cluster").join(body, "id")
+    spread = F.xxhash64("id", F.lit(17))
+    left = each.where("component <> main").select("cluster", "id", "component", "text", F.pmod(spread, F.col("xs")).alias("x"),
+                                                  F.explode(F.sequence(F.lit(0), F.col("ys") - 1)).alias("y"))
+    right = each.where("xs > 0").select(*[F.col(c).alias(f"{c}_") for c in ("cluster", "id", "component", "text")], F.pmod(spread, F.col("ys")).alias("y_"),
+                                        F.explode(F.sequence(F.lit(0), F.col("xs") - 1)).alias("x_"))
+
+    def run(key, a, b):
+        out = [np.zeros((0, 2), np.int64)]
+        if a.num_rows and b.num_rows:
+            (row, one), (row2, two) = _sets(a["text"], k), _sets(b["text_"], k)
+            code, both = np.unique(np.concatenate([one, two]), return_inverse=True)
+            one, two = both[: len(one)], both[len(one):]
+            n1, n2 = np.bincount(row, minlength=a.num_rows), np.bincount(row2, minlength=b.num_rows)
+            ids, kind = (a["id"].to_numpy(), b["id_"].to_numpy()), (a["component"].to_numpy(), b["component_"].to_numpy())
+            begin, has = np.cumsum(n1) - n1, np.zeros(len(code), bool)
+            for i in range(a.num_rows):
+                mine = one[begin[i]: begin[i] + n1[i]]
+                has[mine] = True
+                inter = np.bincount(row2[has[two]], minlength=b.num_rows)
+                has[mine] = False
+                at = np.flatnonzero((100 * inter >= percent * (n1[i] + n2 - inter)) & (kind[1] != kind[0][i]))
+                out.append(np.stack([np.full(len(at), ids[0][i]), ids[1][at]], 1))
+        pairs = np.concatenate(out)
+        return pa.table({"a": pairs.min(1) if len(pairs) else pairs[:, 0], "b": pairs.max(1) if len(pairs) else pairs[:, 1]})
+
+    return left.groupBy("cluster", "x", "y").cogroup(right.groupBy("cluster_", "x_", "y_")).applyInArrow(run, "a long, b long").distinct()
+
+
+def _sets(column, k: int) -> tuple[np.ndarray, np.ndarray]:
+    parts = [(r + x.first, m) for x in blocks(column) for r, m in [x.words(True).sets(k)]]
+    return tuple(np.concatenate(z) for z in zip(*parts, strict=True))
 
 
 def same_share(a: pa.Array, b: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
