@@ -6,8 +6,8 @@ log-likelihood) are offending where they stand in a toxic text. A two-label chai
 sequences; forward-backward gives each token's marginal. A document's score is a logistic function, fitted to the document labels, of its largest
 marginal and of the logarithm of their sum; its offending spans are the runs of tokens above one half, in code points.
 
-Training takes the `sample` labelled rows with the smallest id hashes of each label; that bound is the only one, every
-whole text is scored. A token is a run of letters, digits and bytes beyond ASCII, A-Z folded. Null and empty texts have no
+Training takes the `sample` labelled rows with the smallest id hashes of each label and shifts the intercept to the share of
+each label among all labelled rows; that bound is the only one, every whole text is scored. A token is a run of letters, digits and bytes beyond ASCII, A-Z folded. Null and empty texts have no
 marginals and get the score of the intercept; without labelled rows of both labels every score is 0; several labels of an id
 count as toxic if one is; extra columns are ignored.
 """
@@ -24,7 +24,7 @@ from marketlab.llm.neardup import one_permutation
 from marketlab.llm.similar import band_hashes
 from marketlab.llm.words import U, Words, blocks, mix
 
-SAMPLE, BITS, RATIO, LEAST, EVIDENCE, EPOCHS = 3000, 17, 30.0, 3, 12.0, 4
+SAMPLE, BITS, RATIO, LEAST, EVIDENCE, EPOCHS = 1200, 17, 30.0, 3, 12.0, 4
 _b = np.arange(256)
 INNER = (_b >= 0x80) | ((_b >= 48) & (_b < 58)) | ((_b | 32 >= 97) & (_b | 32 < 123))
 PREFIXES = (4, 5, 6, 7, 8)  # bytes
@@ -114,35 +114,37 @@ class Model:
     def scores(self, features: np.ndarray) -> np.ndarray:
         return sum((self.w[j][features[:, j]] for j in range(TABLES)), np.zeros(len(features))).astype(np.float64)
 
-    def fit(self, texts: list[str], toxic: np.ndarray) -> Model:
+    def fit(self, texts: list[str], toxic: np.ndarray, odds: float = 0.0) -> Model:
+        """Fit to at most 4096 texts; `odds` is the log odds of label 1 in the sample beyond those of all labelled rows."""
         parts = [(Tokens(b), b) for b in blocks(pa.array(texts, pa.large_string()))]
         hashes, rows, feats, leads, seen, own = [], [], [], [], set(), []
         for t, b in parts:
             hashes.append(t.hash)
             rows.append(t.row + b.first)
             feats.append(t.features())
-            leads.append(np.stack([t.hash, *t.leads()], 1))
+            leads.append([np.where(x > 0, ((t.row + b.first).astype(U) << U(52)) | (x >> U(12)), U(0)) for x in (t.hash, *t.leads())])
             r, members = t.sets(2)
             bands = band_hashes(one_permutation(r, members, b.rows), 6)
             for i in range(b.rows):
                 keys = set(bands[i].tolist()) if t.n[i] > 5 else {("short", tuple(t.hash[t.row == i].tolist()))}
                 own.append(not keys & seen)
                 seen |= keys
-        own, row, feat, lead = np.array(own), np.concatenate(rows), np.concatenate(feats), np.concatenate(leads)
+        own, row, feat, lead = np.array(own), np.concatenate(rows), np.concatenate(feats), [np.concatenate(x) for x in zip(*leads, strict=True)]
+        del feats, leads, parts
         sizes = np.bincount(row, minlength=len(texts))
         once, label, self.offending = own[row], np.zeros(len(row), bool), 0
         n1, n0 = max(1, (own & (toxic == 1)).sum()), max(1, (own & (toxic == 0)).sum())
-        for h in lead.T:  # the token itself, then each length of its first bytes
-            pair = np.unique(np.stack([row[once & (h > 0)].astype(U), h[once & (h > 0)]], 1), axis=0)
-            word, code = np.unique(pair[:, 1], return_inverse=True)
-            bad = toxic[pair[:, 0].astype(np.int64)].astype(bool)
+        for h in lead:  # the token itself, then each length of its first bytes; packed with the row
+            pair = np.unique(h[once & (h > 0)])
+            word, code = np.unique(pair & U(2**52 - 1), return_inverse=True)
+            bad = toxic[(pair >> U(52)).astype(np.int64)].astype(bool)
             a, c = np.bincount(code[bad], minlength=len(word)), np.bincount(code[~bad], minlength=len(word))
             ratio, share = (a + 0.5) / (n1 + 1) / ((c + 0.5) / (n0 + 1)), (a + c) / (n1 + n0)
             with np.errstate(divide="ignore", invalid="ignore"):
                 g = 2 * (np.where(a > 0, a * np.log(a / (share * n1)), 0) + np.where(c > 0, c * np.log(c / (share * n0)), 0))
             marked = word[(a >= LEAST) & (ratio >= RATIO) & (g >= EVIDENCE)]
             self.offending += len(marked)
-            label |= np.isin(h, marked)
+            label |= np.isin(h & U(2**52 - 1), marked) & (h > 0)
         label = (label & (toxic[row] == 1)).astype(float)
         # stretches of 256 tokens of the texts that are no copies
         first, size = [], []
@@ -177,6 +179,7 @@ class Model:
         for _ in range(25):
             q = 1 / (1 + np.exp(-np.clip(x @ self.coef, -30, 30)))
             self.coef = self.coef + np.linalg.solve((x * (q * (1 - q))[:, None]).T @ x + np.diag([1e-3, 0.1, 0.1]), x.T @ (y - q) - np.array([0, 0.1, 0.1]) * self.coef)
+        self.coef[0] -= odds
         self.ready = True
         return self
 
@@ -191,9 +194,13 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """A model of the labelled rows that are not held out."""
     marks = labels.where(F.col("toxic").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     rows = written(docs.where("not held_out").join(marks, "doc_id").select("doc_id", "text", "toxic"))
-    some = [rows.where(F.col("toxic") == v).orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(sample).collect() for v in (1, 0)]
+    count = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    some = [rows.where(F.col("toxic") == v).orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(sample).select("text").toArrow()["text"].to_pylist() for v in (1, 0)]
     model = Model()
-    return model.fit([r["text"] or "" for v in some for r in v], np.repeat([1, 0], [len(v) for v in some])) if all(some) else model
+    if not all(some):
+        return model
+    odds = np.log(len(some[0]) / count[1]) - np.log(len(some[1]) / count[0])
+    return model.fit([t or "" for v in some for t in v], np.repeat([1, 0], [len(v) for v in some]), odds)
 
 
 def scored(docs: DataFrame, labels: DataFrame, held_out, sample: int = SAMPLE) -> DataFrame:
