@@ -14,6 +14,8 @@ count as toxic if one is; extra columns are ignored.
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -191,16 +193,24 @@ class Model:
 
 
 def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model of the labelled rows that are not held out."""
+    """A model of the labelled rows that are not held out, fitted to the bounded sample in one task; only the model meets the driver."""
     marks = labels.where(F.col("toxic").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     rows = written(docs.where("not held_out").join(marks, "doc_id").select("doc_id", "text", "toxic"))
     count = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
-    some = [rows.where(F.col("toxic") == v).orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(sample).select("text").toArrow()["text"].to_pylist() for v in (1, 0)]
-    model = Model()
-    if not all(some):
-        return model
-    odds = np.log(len(some[0]) / count[1]) - np.log(len(some[1]) / count[0])
-    return model.fit([t or "" for v in some for t in v], np.repeat([1, 0], [len(v) for v in some]), odds)
+    if set(count) != {0, 1}:
+        return Model()
+    taken = {v: min(n, sample) for v, n in count.items()}
+    odds = float(np.log(taken[1] / count[1]) - np.log(taken[0] / count[0]))
+
+    def fit(batches):
+        parts = [b for b in batches if b.num_rows]
+        if parts:
+            table = pa.Table.from_batches(parts)
+            model = Model().fit([t or "" for t in table["text"].to_pylist()], table["toxic"].to_numpy(), odds)
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    some = [rows.where(F.col("toxic") == v).orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(sample).select("text", "toxic") for v in (1, 0)]
+    return pickle.loads(some[0].unionByName(some[1]).coalesce(1).mapInArrow(fit, "model binary").first()["model"])
 
 
 def scored(docs: DataFrame, labels: DataFrame, held_out, sample: int = SAMPLE) -> DataFrame:
