@@ -190,7 +190,7 @@ def protection_locks(trades: DataFrame, stop_limit=4, stop_look=3600, stop_lock=
                      low_required=0.0, low_lock=21600, dd_limit=10, dd_look=43200, dd_frac=0.10, dd_lock=7200) -> DataFrame:
     """Locks in force after each closing time of each product: lock_until and reason, global or per pair.
 
-    Trades are summed per (product, closing time) first; look-back frames then run on time pieces.
+    A limit of 0 or less switches its lock off. Trades are summed per (product, closing time) first; look-back frames then run on time pieces.
     The drawdown of a window is read from the cumulative pnl of its closing times.
     """
     base = F.abs(F.col("qty")) * F.col("entry")
@@ -222,8 +222,9 @@ def protection_locks(trades: DataFrame, stop_limit=4, stop_look=3600, stop_lock=
         "closed", "stop_n", "dd_n", "dd_worst")
     x = pair.join(g, "closed")
     t = F.unix_seconds("closed")
-    stop, dd = F.col("stop_n") >= stop_limit, (F.col("dd_n") >= dd_limit) & (F.col("dd_worst") >= dd_frac)
-    low = (F.col("pair_n") >= low_limit) & (F.col("pair_ratio") < low_required)
+    stop = F.lit(stop_limit > 0) & (F.col("stop_n") >= stop_limit)
+    dd = F.lit(dd_limit > 0) & (F.col("dd_n") >= dd_limit) & (F.col("dd_worst") >= dd_frac)
+    low = F.lit(low_limit > 0) & (F.col("pair_n") >= low_limit) & (F.col("pair_ratio") < low_required)
     return x.withColumns({
         "global_until": F.greatest(F.when(stop, t + stop_lock), F.when(dd, t + dd_lock)),
         "pair_until": F.when(low, t + low_lock),

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from marketlab.operators.scans import row_index
+
 from marketlab.functions.mathx import clip
 from marketlab.operators.folds import fold_scalar
 
@@ -117,24 +119,19 @@ def allocate(post: DataFrame, prev: Column, silent: Column, temperature=4.0, smo
 
 
 def recent_mean(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, alpha: float = 0.2, warm: int = 10,
-                reach: int = 250) -> DataFrame:
-    """Plain mean of the first `warm` values, then an exponential mean with weight alpha.
+                chunks: Sequence[str] = ()) -> DataFrame:
+    """Plain mean of the first `warm` values, then an exponential mean with weight alpha over all later ones.
 
-    (1 - alpha)^reach is below double precision, so the newest `reach` rows and the first `warm` rows
-    settle the result; Spark trims both per task before the shuffle, however large the group.
+    Every row is weighted by its position, counted in slices of `chunks` (see `scans.running`), so any alpha is exact.
     """
     keys = list(keys)
-    up, down = [F.col(c).asc() for c in order], [F.col(c).desc() for c in order]
-    n = df.groupBy(*keys).agg(F.count(value).alias("n"))
     x = df.where(F.col(value).isNotNull())
-    last = x.withColumn("_j", F.row_number().over(W.partitionBy(*keys).orderBy(*down))).where(F.col("_j") <= reach)
-    head = (x.withColumn("_i", F.row_number().over(W.partitionBy(*keys).orderBy(*up))).where(F.col("_i") <= warm)
-            .groupBy(*keys).agg(F.avg(value).alias("_head")))
-    late = last.join(n, keys).where(F.col("n") - F.col("_j") + 1 > warm)
-    tail = late.groupBy(*keys).agg(F.sum(alpha * F.pow(F.lit(1 - alpha), F.col("_j") - 1) * F.col(value)).alias("_tail"))
-    y = n.join(head, keys).join(tail, keys, "left")
+    n = x.groupBy(*keys).agg(F.count(value).alias("n"))
+    at = row_index(x.select(*dict.fromkeys([*keys, *order, value, *chunks])), list(order), keys, list(chunks), "_i").join(n, keys)
+    weight = F.when(F.col("_i") > warm, alpha * F.pow(F.lit(1 - alpha), F.col("n") - F.col("_i"))).otherwise(F.lit(0.0))
+    y = at.groupBy(*keys, "n").agg(F.avg(F.when(F.col("_i") <= warm, F.col(value))).alias("_head"), F.sum(weight * F.col(value)).alias("_tail"))
     kept = F.pow(F.lit(1 - alpha), F.greatest(F.col("n") - warm, F.lit(0)))
-    return y.select(*keys, "n", (F.coalesce("_tail", F.lit(0.0)) + kept * F.col("_head")).alias("mean"))
+    return y.select(*keys, "n", (F.col("_tail") + kept * F.col("_head")).alias("mean"))
 
 
 def direction_bias(edges: DataFrame, gain=8.0, cap=0.25) -> DataFrame:

@@ -9,7 +9,6 @@ to fine, the totals are themselves scanned in chunks, so no level has to hold a
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -21,12 +20,10 @@ DAY, HOUR = 86400, 3600
 
 
 def shared_folder(spark) -> str:
-    """The folder `spark.checkpoint.dir` names; only a local session without it gets one of its own."""
+    """The folder `spark.checkpoint.dir` names; where it is unset, one in the warehouse, which all machines share as well."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-        folder = tempfile.mkdtemp(prefix="marketlab-")
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 

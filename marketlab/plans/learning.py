@@ -134,7 +134,7 @@ fm AS (SELECT {k}, i AS n, m FROM f QUALIFY row_number() OVER (PARTITION BY {k}
 SELECT regime, round(le, 8) AS long_edge, round(se, 8) AS short_edge, round(greatest(-0.25, least(0.25, (le - se) * 8 * cf)), 8) AS bias FROM p""")
 def direction_edge(spark, d):
     x = T.trades(spark, d).withColumn("x", G.trade_return()).withColumn("regime", F.col("regime_at_entry"))
-    e = P.recent_mean(x, ["regime", "side"], T.TRADE_ORDER, "x", 0.2)
+    e = P.recent_mean(x, ["regime", "side"], T.TRADE_ORDER, "x", 0.2, chunks=T.TRADE_LEVELS)
     return P.direction_bias(e).select("regime", *[r6(F.col(c), 8).alias(c) for c in ("long_edge", "short_edge", "bias")])
 
 
@@ -152,7 +152,7 @@ def exits(spark, d):
 
 @query("A20 K7", STATES + FOLD_MEAN.format(k="state", ok="o.state", on="o.state = f.state", a="0.15", src="sx", o="ts, event_id") + " SELECT state, n, round(m, 8) AS mean_next_return FROM fm WHERE n >= 5 ORDER BY m LIMIT 6")
 def worst_hold_states(spark, d):
-    x = P.recent_mean(exits(spark, d), ["state"], ["ts", "event_id"], "hold_return", 0.15, reach=280)
+    x = P.recent_mean(exits(spark, d).withColumn("day", F.to_date("ts")), ["state"], ["ts", "event_id"], "hold_return", 0.15, chunks=["day"])
     return x.where("n >= 5").orderBy("mean", "state").limit(6).select("state", "n", r6(F.col("mean"), 8).alias("mean_next_return"))
 
 

@@ -196,3 +196,15 @@ def test_fold_geometry(spark):
         assert got[k, "train"] == (0, step * k - 1)
         assert got[k, "test"] == (step * k + 5, (step * (k + 1) if k < 4 else 103) - 1)
     assert R.fold_roles(df.limit(3), 4, 0).count() == 0
+
+
+def test_recent_mean_weighs_every_row(spark):
+    from marketlab.operators.posteriors import recent_mean
+
+    rows = spark.range(2000).selectExpr("'k' as k", "id", "cast(id % 7 as double) as v", "id div 300 as piece")
+    mean = 0.0
+    for i in range(2000):
+        mean = (mean * i + i % 7) / (i + 1) if i < 10 else mean + 0.01 * (i % 7 - mean)
+    got = recent_mean(rows, ["k"], ["id"], "v", 0.01, chunks=["piece"]).first()
+    assert got["n"] == 2000 and abs(got["mean"] - mean) < 1e-9
+    assert abs(recent_mean(rows.withColumn("v", rows.v * 0 + 1), ["k"], ["id"], "v", 0.01).first()["mean"] - 1) < 1e-9
