@@ -177,11 +177,11 @@ def repeated(docs: DataFrame) -> DataFrame:
     marks = units.where("n = 0").select("id", "doc_id", "key")
     heads = marks.groupBy("id").agg(F.min("doc_id").alias("kept_doc_id"), F.max("doc_id").alias("last")).where("kept_doc_id < last").drop("last")
     pairs = marks.join(heads, "id").where("doc_id <> kept_doc_id").select("doc_id", "key", "kept_doc_id").distinct()
-    # both sides read the same exchange of the texts by id; the key then tells rows of one id apart
-    own = docs.select("doc_id", F.col("key").alias("own_key"), "text")
+    # both sides read the same exchange of the texts by id, for which every column is renamed on either; the key then tells rows of one id apart
+    own = docs.select(F.col("doc_id").alias("own_doc_id"), F.col("key").alias("own_key"), F.col("text").alias("own_text"))
     firsts = docs.select(F.col("doc_id").alias("kept_doc_id"), F.col("key").alias("other_key"), F.col("text").alias("other"))
-    inside = (pairs.join(own, "doc_id").where(F.col("key").bitwiseXOR(F.col("own_key")) == 0).join(firsts, "kept_doc_id")
-              .select("doc_id", "key", "text", "other", "kept_doc_id", "own_key", "other_key")
+    inside = (pairs.join(own, F.col("doc_id") == F.col("own_doc_id")).where(F.col("key").bitwiseXOR(F.col("own_key")) == 0).join(firsts, "kept_doc_id")
+              .select("doc_id", "key", F.col("own_text").alias("text"), "other", "kept_doc_id", "own_key", "other_key")
               .mapInArrow(_shared, "doc_id long, key long, first long, words long, kept_doc_id long").withColumn("kind", F.lit("passage")))
     return whole.unionByName(inside).distinct()
 
