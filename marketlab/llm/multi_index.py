@@ -1,10 +1,11 @@
 """Operator 4: nearest neighbours by an inverted multi-index.
 
 Both halves of the vectors are quantised apart; a cell is a pair of centroids. A query walks the cells in the order of summed
-half distances, by a heap over the two sorted centroid lists, until the cells hold `wanted` entries; cells of one first half lie together. Every vector is in the
-index; the centroids come from a bounded sample of `sample` vectors, those with the smallest id hashes. Cells hold any number of
-vectors: each first half is dealt over blocks of `block` entries, a query visits every block of its cells, and each block ranks the
-entries of these cells by the exact distance in double precision and passes on its nearest k. These meet in one aggregation per query.
+half distances, by a heap over the two sorted centroid lists, until the cells hold the share `share` of all entries, and `wanted` at
+least, so that recall doesn't fall as the table grows; cells of one first half lie together. Every vector is in the index; the
+centroids, 4 times the fourth root of the number of vectors for each half and CENTROIDS at least, come from a bounded sample of `sample`
+vectors, those with the smallest id hashes. Cells hold any number of vectors: each first half is dealt over blocks of `block`
+entries and the queries over groups of `asks`, a query visits every block of its cells, and each block ranks the entries of these cells by the exact distance in double precision and passes on its nearest k. These meet in one aggregation per query.
 
 Vectors that are null, zero, of another length than most, or hold null or non-finite components take no part. Fewer candidates than k
 give all of them; ties go to the smaller id; ids that repeat are separate entries; a null id takes no part.
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from marketlab.llm.common import load, query, written
 
-CENTROIDS, SAMPLE, ROUNDS, WANTED, BLOCK, K = 64, 20_000, 12, 22_000, 2048, 10
+CENTROIDS, SAMPLE, ROUNDS, WANTED, SHARE, BLOCK, ASKS, K = 64, 20_000, 12, 22_000, 0.45, 2048, 4096, 10
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -79,13 +80,17 @@ def walk(left: np.ndarray, right: np.ndarray, held: np.ndarray, wanted: int) ->
     return out
 
 
-def nearest(vectors: DataFrame, every: int = 100, k: int = K, wanted: int = WANTED, sample: int = SAMPLE, block: int = BLOCK) -> DataFrame:
+def nearest(vectors: DataFrame, every: int = 100, k: int = K, wanted: int = WANTED, sample: int = SAMPLE, block: int = BLOCK, share: float = SHARE,
+            asks: int = ASKS) -> DataFrame:
     """(query_id, rank, vec_id, score) of each query's k nearest; queries are the ids divisible by `every`."""
     points = written(usable(vectors))
+    whole = points.count()
+    wanted, size = max(wanted, int(np.ceil(share * whole))), max(CENTROIDS, int(np.ceil(4 * whole ** 0.25)))
+    groups = max(1, -(-points.where(F.col("vec_id") % every == 0).count() // asks))
     some = points.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").toArrow()["v"].combine_chunks()
     train = matrix(some if isinstance(some, pa.Array) else pa.array([], pa.list_(pa.float64())))
     half = train.shape[1] // 2
-    books = [centroids(train[:, :half], CENTROIDS), centroids(train[:, half:], CENTROIDS)]
+    books = [centroids(train[:, :half], size), centroids(train[:, half:], size)]
 
     def assign(batches):
         for b in batches:
@@ -96,7 +101,7 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = K, wanted: int = WANT
 
     index = written(points.mapInArrow(assign, "vec_id long, v array<double>, i int, j int"))
     held = np.zeros((max(1, len(books[0])), max(1, len(books[1]))), np.int64)
-    for r in index.groupBy("i", "j").count().collect():  # at most CENTROIDS ** 2 rows
+    for r in index.groupBy("i", "j").count().collect():  # at most size ** 2 rows, 16 * sqrt(whole) of a large table
         held[r["i"], r["j"]] = r["count"]
     parts = np.maximum(1, -(-held.sum(1) // block))
 
@@ -117,8 +122,9 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = K, wanted: int = WANT
                                               pa.array(js, pa.list_(pa.int32()))], names=["query_id", "v", "i", "part", "js"])
 
     count = F.element_at(F.lit([int(x) for x in parts]), F.col("i") + 1)
-    entries = index.withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(3)), count).cast("int"))
+    entries = index.withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(3)), count).cast("int")).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     asked = index.where(F.col("vec_id") % every == 0).select("vec_id", "v").mapInArrow(visits, "query_id long, v array<double>, i int, part int, js array<int>")
+    asked = asked.withColumn("g", F.pmod(F.xxhash64("query_id", F.lit(5)), F.lit(groups)).cast("int"))
 
     def rank(key, asked, entries):
         q, e = asked["query_id"].to_numpy(), entries["vec_id"].to_numpy()
@@ -143,7 +149,7 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = K, wanted: int = WANT
                 out.append((np.full(len(best), own[i]), e[at[best]], d[best]))
         return pa.table(dict(zip(("query_id", "vec_id", "score"), (np.concatenate(z) for z in zip(*out, strict=True)), strict=True)))
 
-    found = asked.groupBy("i", "part").cogroup(entries.groupBy("i", "part")).applyInArrow(rank, "query_id long, vec_id long, score double")
+    found = asked.groupBy("g", "i", "part").cogroup(entries.groupBy("g", "i", "part")).applyInArrow(rank, "query_id long, vec_id long, score double")
     top = found.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("score", "vec_id"))), 1, k).alias("top"))
     return top.select("query_id", F.posexplode("top")).select(
         "query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("col.vec_id").alias("vec_id"), F.col("col.score").alias("score"))

@@ -223,6 +223,17 @@ def test_nearest_neighbour_recall(spark):
     assert sum(hits) >= 9 * len(hits)
 
 
+def test_nearest_neighbours_visit_a_share_of_the_table(spark):
+    d = "/root/testdata/sf0.1"
+    e = spark.read.parquet(f"{d}/embeddings.parquet").toPandas()
+    x, ids = np.stack(e.embedding).astype(float), e.vec_id.to_numpy()
+    got = {}  # the least number of entries is far below the share here, as it is in a large table
+    for r in multi_index.nearest(spark.read.parquet(f"{d}/embeddings.parquet"), wanted=100, asks=8).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = [len(got[q] & {int(i) for i in ids[np.lexsort((ids, np.where(ids == q, np.inf, ((x - x[ids == q]) ** 2).sum(1))))[:10]]}) for q in got]
+    assert len(got) == 20 and sum(hits) >= 9 * len(hits)
+
+
 def test_extraction(spark):
     page = ("<html><head><title>T</title><style>p{}</style></head><body><nav><ul><li><a href='x'>Home</a></li></ul></nav><div class='cookie notice'>We use cookies.</div>"
             "<article><h1>The  title</h1><p>First &amp; best <b>bold</b> words, which go on for a while.<br>More&nbsp;text.<p>Second one, with some words in it.</p>"
