@@ -5,9 +5,10 @@ a similarity of 0.8 collides but for 2e-4. Colliding paragraphs are joined as st
 paragraph each, the first by document and place (see `similar`).
 
 A passage that stands inside different paragraphs makes them no more alike than its share. Paragraphs are therefore also cut by content:
-of any 35 neighbouring 16-word blocks the one of the smallest hash is an anchor, so two texts that share 50 words share an
-anchor. Each document is compared word by word with the first document that holds one of its anchors; runs of `LEAST` or more words that stand in
-both are repeated. Always the smaller id keeps its copy, so the smallest document of a passage never loses it.
+of any 35 neighbouring 16-word blocks the one of the smallest hash is an anchor, so a window of 50 words names one anchor, and the
+same one wherever it stands. Windows whose anchor stands in several documents are hashed whole, and each finds its own first
+document, whatever other texts hold the anchor; neighbouring windows with the same first document make a run. Always the smaller id keeps
+its copy, so the smallest document of a passage never loses it.
 
 Nulls, empty and short texts have no paragraph; rows that agree in id and text are one document; rows of null id take
 no part; extra columns are ignored.
@@ -48,10 +49,10 @@ def permuted(row: np.ndarray, members: np.ndarray, rows: int) -> np.ndarray:
     return sig
 
 
-def anchors(words, stretch: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
-    """Index of the first word and hash of each anchor block."""
+def window_anchors(words, stretch: int = 1 << 22) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Index of the first word and hash of each block of SPAN words; for each window of LEAST words its first word and the number of its anchor block."""
     at, h = words.grams(SPAN)
-    picked = [np.zeros(0, np.int64)]
+    begin, picked = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for lo in range(0, len(at) - REACH + 1, stretch):
         part = slice(lo, lo + stretch + REACH - 1)
         low, row = (h[part] & ~U(0xFFFFFF)) | np.arange(len(at[part])).astype(U), words.row[at[part]]
@@ -59,9 +60,17 @@ def anchors(words, stretch: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
         while 2 * width <= REACH:
             least = np.minimum(least[: len(least) - width], least[width:])
             width *= 2
-        least = np.minimum(least[:n], least[REACH - width: REACH - width + n])[row[:n] == row[REACH - 1:]]
+        inside = row[:n] == row[REACH - 1:]
+        least = np.minimum(least[:n], least[REACH - width: REACH - width + n])[inside]
+        begin.append(at[part][:n][inside])
         picked.append(lo + (least & U(0xFFFFFF)).astype(np.int64))
-    i = np.unique(np.concatenate(picked))
+    return at, h, np.concatenate(begin), np.concatenate(picked)
+
+
+def anchors(words) -> tuple[np.ndarray, np.ndarray]:
+    """Index of the first word and hash of each anchor block."""
+    at, h, _, picked = window_anchors(words)
+    i = np.unique(picked)
     return at[i], h[i]
 
 
@@ -123,34 +132,37 @@ def _line(text: str, first: int) -> str:
 _GAPS = str.maketrans("\t\n\v\f\r", "     ")
 
 
-def _shared(batches):
-    """Runs of LEAST or more words of `text` that stand in `other`."""
+def _windows(batches):
+    """Hash and first word of each window of LEAST words whose anchor is among `anchors`, first words of blocks."""
+    for b in batches:
+        lists = b["anchors"].combine_chunks() if isinstance(b["anchors"], pa.ChunkedArray) else b["anchors"]
+        owner = np.repeat(np.arange(b.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+        marked = (owner.astype(np.int64) << 40) | lists.flatten().to_numpy()
+        for block in blocks(b["text"]):
+            w = block.words(True)
+            at, _, begin, picked = window_anchors(w)
+            row, anchor = w.row[begin], at[picked]
+            use = np.isin(((row + block.first) << 40) | (anchor - w.first[row]), marked)
+            begin, row = begin[use], row[use]
+            h = np.zeros(len(begin), U)
+            for j in range(LEAST):
+                h = h * U(0xD6E8FEB86659FD93) + w.hash[begin + j]
+            mine = pa.array(row + block.first)
+            yield pa.RecordBatch.from_arrays([*(b[c].take(mine) for c in ("doc_id", "key")), pa.array(mix(h, 5).view(np.int64)), pa.array(begin - w.first[row])],
+                                             names=["doc_id", "key", "window", "first"])
+
+
+def _runs(batches):
+    """Stretches covered by neighbouring windows, whose sorted first words are `firsts`."""
     for b in batches:
-        for lo in range(0, b.num_rows, 32):
-            part = b.slice(lo, 32)
-            grams = []
-            for c in ("text", "other"):
-                rows, at, h = [], [], []
-                for x in blocks(part[c]):
-                    w = x.words(True)
-                    i, g = w.grams(SPAN)
-                    rows.append(w.row[i] + x.first)
-                    at.append(i - w.first[w.row[i]])
-                    h.append(g)
-                grams.append([np.concatenate(z) if z else np.zeros(0, np.int64) for z in (rows, at, h)])
-            (row, at, h), (row2, _, h2) = grams
-            code = [(r.astype(U) << U(52)) | (z.astype(U) >> U(12)) for r, z in ((row, h), (row2, h2))]
-            hit = np.isin(code[0], code[1])
-            row, at = row[hit], at[hit]
-            if not len(row):
-                continue
-            new = np.concatenate([[True], (row[1:] != row[:-1]) | (at[1:] != at[:-1] + 1)])
-            begin = np.flatnonzero(new)
-            size = np.diff(np.append(begin, len(row))) + SPAN - 1
-            good = size >= LEAST
-            mine = pa.array(row[begin][good])
-            yield pa.RecordBatch.from_arrays([*(part[c].take(mine) for c in ("doc_id", "key")), pa.array(at[begin][good]), pa.array(size[good]), part["kept_doc_id"].take(mine)],
-                                             names=["doc_id", "key", "first", "words", "kept_doc_id"])
+        at = b["firsts"].flatten().to_numpy()
+        row = np.repeat(np.arange(b.num_rows), b["firsts"].value_lengths().to_numpy(zero_copy_only=False))
+        if not len(row):
+            continue
+        begin = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (at[1:] != at[:-1] + 1)]))
+        mine = pa.array(row[begin])
+        yield pa.RecordBatch.from_arrays([*(b[c].take(mine) for c in ("doc_id", "key")), pa.array(at[begin]), pa.array(np.diff(np.append(begin, len(row))) + LEAST - 1),
+                                          b["kept_doc_id"].take(mine)], names=["doc_id", "key", "first", "words", "kept_doc_id"])
 
 
 def repeated(docs: DataFrame) -> DataFrame:
@@ -174,15 +186,13 @@ def repeated(docs: DataFrame) -> DataFrame:
     whole = (named.join(places, "component").where("doc_id <> kept_doc_id or first <> kept_first")
              .select("doc_id", "key", "first", "words", "kept_doc_id", F.lit("paragraph").alias("kind")))
 
-    marks = units.where("n = 0").select("id", "doc_id", "key")
-    heads = marks.groupBy("id").agg(F.min("doc_id").alias("kept_doc_id"), F.max("doc_id").alias("last")).where("kept_doc_id < last").drop("last")
-    pairs = marks.join(heads, "id").where("doc_id <> kept_doc_id").select("doc_id", "key", "kept_doc_id").distinct()
-    # both sides read the same exchange of the texts by id, for which every column is renamed on either; the key then tells rows of one id apart
-    own = docs.select(F.col("doc_id").alias("own_doc_id"), F.col("key").alias("own_key"), F.col("text").alias("own_text"))
-    firsts = docs.select(F.col("doc_id").alias("kept_doc_id"), F.col("key").alias("other_key"), F.col("text").alias("other"))
-    inside = (pairs.join(own, F.col("doc_id") == F.col("own_doc_id")).where(F.col("key").bitwiseXOR(F.col("own_key")) == 0).join(firsts, "kept_doc_id")
-              .select("doc_id", "key", F.col("own_text").alias("text"), "other", "kept_doc_id", "own_key", "other_key")
-              .mapInArrow(_shared, "doc_id long, key long, first long, words long, kept_doc_id long").withColumn("kind", F.lit("passage")))
+    marks = units.where("n = 0").select("id", "doc_id", "key", "first")
+    shared = marks.groupBy("id").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last")).where("least < last").select("id")
+    held = marks.join(shared, "id").groupBy("key").agg(F.collect_set("first").alias("anchors"))
+    windows = written(docs.join(held, "key").select("doc_id", "key", "text", "anchors").mapInArrow(_windows, "doc_id long, key long, window long, first long"))
+    heads = windows.groupBy("window").agg(F.min("doc_id").alias("kept_doc_id"), F.max("doc_id").alias("last")).where("kept_doc_id < last").drop("last")
+    inside = (windows.join(heads, "window").where("doc_id <> kept_doc_id").groupBy("doc_id", "key", "kept_doc_id").agg(F.sort_array(F.collect_set("first")).alias("firsts"))
+              .mapInArrow(_runs, "doc_id long, key long, first long, words long, kept_doc_id long").withColumn("kind", F.lit("passage")))
     return whole.unionByName(inside).distinct()
 
 

@@ -198,6 +198,19 @@ def test_repeated_passages(spark, odd, none):
     assert paragraphs.stage(spark, odd, D).count() == len(ODD)
 
 
+def test_passages_whose_anchors_stand_in_earlier_documents(spark):
+    rng = np.random.default_rng(9)
+    rows, edited = [], []
+    passage = [f"p{i}" for i in range(60)]
+    for i in range(0, 60, 15):  # an edited version for each stretch of the passage: every block of 16 words is in one, no window of 50
+        edited.append((1 + i, " ".join([*(f"x{i}_{j}" for j in range(30)), *passage[i: i + 31], *(f"y{i}_{j}" for j in range(30))])))
+    for i in range(200, 204):
+        rows.append((i, " ".join([*(f"b{i}_{j}" for j in range(int(rng.integers(60, 90)))), *passage, *(f"c{i}_{j}" for j in range(40))])))
+    got = {(r["doc_id"], r["first"], r["words"], r["kept_doc_id"]) for r in paragraphs.repeated(
+        spark.createDataFrame(edited + rows, "doc_id long, text string")).collect()}
+    assert got == {(i, t.split().index("p0"), 60, 200) for i, t in rows[1:]}
+
+
 def test_nearest_neighbours(spark):
     rng = np.random.default_rng(3)
     rows = [(int(i), [float(np.float32(x)) for x in rng.normal(size=8)]) for i in range(400)] + [(500 + i, [1.0] * 8) for i in range(40)]
