@@ -1,12 +1,12 @@
 """Operator 8: toxicity by a linear-chain conditional random field over tokens.
 
-The labels mark documents. Token labels are drawn from them: among labelled training texts, near copies counting once, the
+The labels mark documents. Token labels are drawn from them: among all labelled training texts, near copies counting once, the
 tokens, and tokens with first bytes, whose document frequency among toxic texts is far above that among clean ones (ratio and
-log-likelihood) are offending where they stand in a toxic text. A two-label chain with features of the token, its neighbours and its ends is fitted to these
-sequences; forward-backward gives each token's marginal. A document's score is a logistic function, fitted to the document labels, of its largest
+log-likelihood) are marked, and offending where they stand in a toxic text. A two-label chain with features of the token, its neighbours and
+its ends, and of being marked, is fitted to these sequences; so a marked term counts even where the fit has no text with it; forward-backward gives each token's marginal. A document's score is a logistic function, fitted to the document labels, of its largest
 marginal and of the logarithm of their sum; its offending spans are the runs of tokens above one half, in code points.
 
-Training takes the `sample` labelled rows with the smallest id hashes of each label and shifts the intercept to the share of
+The fit takes the `sample` labelled rows with the smallest id hashes of each label, near copies counting once, and shifts the intercept to the share of
 each label among all labelled rows; that bound is the only one, every whole text is scored. A token is a run of letters, digits and bytes beyond ASCII, A-Z folded. Null and empty texts have no
 marginals and get the score of the intercept; without labelled rows of both labels every score is 0; several labels of an id
 count as toxic if one is; extra columns are ignored.
@@ -24,13 +24,14 @@ from pyspark.sql import functions as F
 from marketlab.llm.common import load, query, written
 from marketlab.llm.neardup import one_permutation
 from marketlab.llm.similar import band_hashes
-from marketlab.llm.words import U, Words, blocks, mix
+from marketlab.llm.words import SET_MASK, U, Words, blocks, mix
 
-SAMPLE, BITS, RATIO, LEAST, EVIDENCE, EPOCHS = 1200, 17, 30.0, 3, 12.0, 4
+SAMPLE, BITS, RATIO, LEAST, EVIDENCE, EPOCHS = 3000, 17, 30.0, 3, 12.0, 4
 _b = np.arange(256)
 INNER = (_b >= 0x80) | ((_b >= 48) & (_b < 58)) | ((_b | 32 >= 97) & (_b | 32 < 123))
 PREFIXES = (4, 5, 6, 7, 8)  # bytes
-TABLES = 4 + len(PREFIXES)
+TABLES = 5 + len(PREFIXES)
+TERMS = 1 + len(PREFIXES)
 
 
 class Tokens(Words):
@@ -53,8 +54,16 @@ class Tokens(Words):
                 out.append(np.where(n > j + 1, mix(h, j), U(0)))
         return out
 
-    def features(self) -> np.ndarray:
-        """Per token a place in each feature table: itself, the one before, the one after, its last bytes, its first bytes."""
+    def terms(self) -> list[np.ndarray]:
+        """Upper 52 bits of the hashes of a token and of each length of its first bytes, 0 where it has none."""
+        return [h >> U(12) for h in (self.hash, *self.leads())]
+
+    def marked(self, terms: list[np.ndarray]) -> np.ndarray:
+        """Whether a token or its first bytes are among the marked terms."""
+        return np.logical_or.reduce([np.isin(h, known) & (h > 0) for h, known in zip(self.terms(), terms, strict=True)])
+
+    def features(self, terms: list[np.ndarray]) -> np.ndarray:
+        """Per token a place in each feature table: itself, the one before, the one after, its last bytes, its first bytes, whether it is marked."""
         n, data = len(self.hash), self.block.data
         before, after, last = np.zeros(n, U), np.zeros(n, U), np.zeros(n, U)
         if n > 1:
@@ -63,7 +72,8 @@ class Tokens(Words):
         for j in range(4):
             inside = (self.end - self.start) > j
             last = last * U(257) + np.where(inside, data[np.where(inside, self.end - 1 - j, 0)] | 32 if n else 0, 0).astype(U)
-        return np.stack([(mix(h, i + 1) >> U(64 - BITS)).astype(np.int32) for i, h in enumerate((self.hash, before, after, last, *self.leads()))], 1)
+        places = [(mix(h, i + 1) >> U(64 - BITS)).astype(np.int32) for i, h in enumerate((self.hash, before, after, last, *self.leads()))]
+        return np.stack([*places, self.marked(terms).astype(np.int32)], 1)
 
 
 def _groups(sizes: np.ndarray, most: int = 1_000_000):
@@ -108,50 +118,31 @@ def marginals(score: np.ndarray, first: np.ndarray, sizes: np.ndarray, move: np.
 
 
 class Model:
-    """Feature tables, transition scores and the document's logistic coefficients; `ready` is false without examples."""
+    """Feature tables, transition scores, marked terms and the document's logistic coefficients; `ready` is false without examples."""
 
     def __init__(self):
         self.w, self.move, self.coef, self.ready = np.zeros((TABLES, 1 << BITS), np.float32), np.zeros((2, 2)), np.zeros(3), False
+        self.terms = [np.zeros(0, U)] * TERMS
 
     def scores(self, features: np.ndarray) -> np.ndarray:
         return sum((self.w[j][features[:, j]] for j in range(TABLES)), np.zeros(len(features))).astype(np.float64)
 
-    def fit(self, texts: list[str], toxic: np.ndarray, odds: float = 0.0) -> Model:
-        """Fit to at most 4096 texts; `odds` is the log odds of label 1 in the sample beyond those of all labelled rows."""
-        parts = [(Tokens(b), b) for b in blocks(pa.array(texts, pa.large_string()))]
-        hashes, rows, feats, leads, seen, own = [], [], [], [], set(), []
-        for t, b in parts:
-            hashes.append(t.hash)
+    def fit(self, texts: list[str], toxic: np.ndarray, terms: list[np.ndarray], odds: float = 0.0) -> Model:
+        """Fit to texts that are no copies of each other; `odds` is the log odds of label 1 in the sample beyond those of all labelled rows."""
+        self.terms = terms
+        rows, feats = [], []
+        for b in blocks(pa.array(texts, pa.large_string())):
+            t = Tokens(b)
             rows.append(t.row + b.first)
-            feats.append(t.features())
-            leads.append([np.where(x > 0, ((t.row + b.first).astype(U) << U(52)) | (x >> U(12)), U(0)) for x in (t.hash, *t.leads())])
-            r, members = t.sets(2)
-            bands = band_hashes(one_permutation(r, members, b.rows), 6)
-            for i in range(b.rows):
-                keys = set(bands[i].tolist()) if t.n[i] > 5 else {("short", tuple(t.hash[t.row == i].tolist()))}
-                own.append(not keys & seen)
-                seen |= keys
-        own, row, feat, lead = np.array(own), np.concatenate(rows), np.concatenate(feats), [np.concatenate(x) for x in zip(*leads, strict=True)]
-        del feats, leads, parts
+            feats.append(t.features(terms))
+        row, feat = np.concatenate(rows), np.concatenate(feats)
+        del feats
         sizes = np.bincount(row, minlength=len(texts))
-        once, label, self.offending = own[row], np.zeros(len(row), bool), 0
-        n1, n0 = max(1, (own & (toxic == 1)).sum()), max(1, (own & (toxic == 0)).sum())
-        for h in lead:  # the token itself, then each length of its first bytes; packed with the row
-            pair = np.unique(h[once & (h > 0)])
-            word, code = np.unique(pair & U(2**52 - 1), return_inverse=True)
-            bad = toxic[(pair >> U(52)).astype(np.int64)].astype(bool)
-            a, c = np.bincount(code[bad], minlength=len(word)), np.bincount(code[~bad], minlength=len(word))
-            ratio, share = (a + 0.5) / (n1 + 1) / ((c + 0.5) / (n0 + 1)), (a + c) / (n1 + n0)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                g = 2 * (np.where(a > 0, a * np.log(a / (share * n1)), 0) + np.where(c > 0, c * np.log(c / (share * n0)), 0))
-            marked = word[(a >= LEAST) & (ratio >= RATIO) & (g >= EVIDENCE)]
-            self.offending += len(marked)
-            label |= np.isin(h & U(2**52 - 1), marked) & (h > 0)
-        label = (label & (toxic[row] == 1)).astype(float)
-        # stretches of 256 tokens of the texts that are no copies
+        label = ((feat[:, -1] == 1) & (toxic[row] == 1)).astype(float)
+        # stretches of 256 tokens
         first, size = [], []
         begin = np.cumsum(sizes) - sizes
-        for i in np.flatnonzero(own):
+        for i in range(len(texts)):
             for x in range(0, sizes[i], 256):
                 first.append(begin[i] + x)
                 size.append(min(256, sizes[i] - x))
@@ -176,8 +167,8 @@ class Model:
                 move_sums += grad * grad
                 self.move += 0.1 * grad / np.sqrt(move_sums)
         p, _ = marginals(self.scores(feat), begin, sizes, self.move)
-        x = self.inputs(p, row, len(texts))[own]
-        self.coef, y = np.zeros(3), toxic[own].astype(float)
+        x = self.inputs(p, row, len(texts))
+        self.coef, y = np.zeros(3), toxic.astype(float)
         for _ in range(25):
             q = 1 / (1 + np.exp(-np.clip(x @ self.coef, -30, 30)))
             self.coef = self.coef + np.linalg.solve((x * (q * (1 - q))[:, None]).T @ x + np.diag([1e-3, 0.1, 0.1]), x.T @ (y - q) - np.array([0, 0.1, 0.1]) * self.coef)
@@ -192,24 +183,82 @@ class Model:
         return np.stack([np.ones(rows), most, np.log1p(np.bincount(row, p, rows))], 1)
 
 
+def _bands(batches):
+    """Keys of each row, one of which near copies share; texts of up to 5 tokens have their whole sequence as key."""
+    for b in batches:
+        for block in blocks(b["text"]):
+            t = Tokens(block)
+            r, members = t.sets(2)
+            bands = band_hashes(one_permutation(r, members, block.rows), 6).copy()
+            short, whole = np.flatnonzero(t.n <= 5), np.zeros(int((t.n <= 5).sum()), U)
+            for j in range(5):
+                has = t.n[short] > j
+                whole[has] = whole[has] * U(257) + t.hash[t.first[short[has]] + j]
+            wide = np.where(t.n > 5, bands.shape[1], 1)
+            bands[short, 0] = mix(whole, 99).view(bands.dtype)
+            keep = np.arange(bands.shape[1])[None] < wide[:, None]
+            yield pa.RecordBatch.from_arrays([*(b[c].slice(block.first, block.rows) for c in ("clean", "r")),
+                                              pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(wide)), pa.int32()), pa.array(bands[keep].view(np.int64)))],
+                                             names=["clean", "r", "bands"])
+
+
+def _frequencies(batches):
+    """Per batch the number of toxic and of clean texts that hold a term."""
+    for b in batches:
+        for block in blocks(b["text"], 8 << 20):
+            toxic = b["clean"].slice(block.first, block.rows).to_numpy() == 0
+            t = Tokens(block)
+            for k, h in enumerate(t.terms()):
+                pair = np.unique(((t.row.astype(U) << U(52)) | h)[h > 0])
+                word, code = np.unique(pair & SET_MASK, return_inverse=True)
+                bad = toxic[(pair >> U(52)).astype(np.int64)]
+                a, c = np.bincount(code[bad], minlength=len(word)), np.bincount(code[~bad], minlength=len(word))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(word), k, np.int32)), pa.array(word.view(np.int64)), pa.array(a), pa.array(c)], names=["k", "term", "a", "c"])
+
+
+def distinct(rows: DataFrame) -> DataFrame:
+    """The rows (clean, r, text) without near copies: of rows that share a key the first by label, toxic before clean, and hash."""
+    keys = written(rows.mapInArrow(_bands, "clean int, r long, bands array<long>")).select("clean", "r", F.explode("bands").alias("band"))
+    heads = keys.groupBy("band").agg(F.min(F.struct("clean", "r")).alias("head"))
+    later = keys.join(heads, "band").where(F.struct("clean", "r") > F.col("head")).select("r").distinct()
+    return written(rows.join(later, "r", "left_anti").dropDuplicates(["r"]))
+
+
+def offending(rows: DataFrame, n1: int, n0: int) -> list[np.ndarray]:
+    """Marked terms of tokens and of each length of first bytes, by document frequencies over all `rows`."""
+    counts = rows.mapInArrow(_frequencies, "k int, term long, a long, c long").groupBy("k", "term").agg(F.sum("a").alias("a"), F.sum("c").alias("c"))
+    a, c = F.col("a").cast("double"), F.col("c").cast("double")
+    share = (a + c) / (n1 + n0)
+    ratio = (a + 0.5) / (n1 + 1) / ((c + 0.5) / (n0 + 1))
+    g = 2 * (a * F.log(a / (share * n1)) + F.when(c > 0, c * F.log(c / (share * n0))).otherwise(0.0))
+    found = counts.where((a >= LEAST) & (ratio >= RATIO) & (g >= EVIDENCE)).select("k", "term").collect()
+    return [np.array(sorted(r["term"] for r in found if r["k"] == k), np.int64).view(U) for k in range(TERMS)]
+
+
 def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model of the labelled rows that are not held out, fitted to the bounded sample in one task; only the model meets the driver."""
+    """A model of the labelled rows that are not held out: terms marked over all of them, a chain fitted to the bounded sample in one task."""
     marks = labels.where(F.col("toxic").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    rows = written(docs.where("not held_out").join(marks, "doc_id").select("doc_id", "text", "toxic"))
-    count = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    rows = written(docs.where("not held_out").join(marks, "doc_id").select(
+        (1 - F.col("toxic")).alias("clean"), F.xxhash64("doc_id", "text").alias("r"), "text"))
+    count = {1 - r["clean"]: r["count"] for r in rows.groupBy("clean").count().collect()}
     if set(count) != {0, 1}:
         return Model()
-    taken = {v: min(n, sample) for v, n in count.items()}
+    rows = distinct(rows)
+    once = {1 - r["clean"]: r["count"] for r in rows.groupBy("clean").count().collect()}
+    if set(once) != {0, 1}:
+        return Model()
+    terms = offending(rows, once[1], once[0])
+    taken = {v: min(n, sample) for v, n in once.items()}
     odds = float(np.log(taken[1] / count[1]) - np.log(taken[0] / count[0]))
 
     def fit(batches):
         parts = [b for b in batches if b.num_rows]
         if parts:
             table = pa.Table.from_batches(parts)
-            model = Model().fit([t or "" for t in table["text"].to_pylist()], table["toxic"].to_numpy(), odds)
+            model = Model().fit([t or "" for t in table["text"].to_pylist()], 1 - table["clean"].to_numpy(), terms, odds)
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
-    some = [rows.where(F.col("toxic") == v).orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(sample).select("text", "toxic") for v in (1, 0)]
+    some = [rows.where(F.col("clean") == 1 - v).orderBy("r").limit(sample).select("text", "clean") for v in (1, 0)]
     return pickle.loads(some[0].unionByName(some[1]).coalesce(1).mapInArrow(fit, "model binary").first()["model"])
 
 
@@ -228,7 +277,7 @@ def scored(docs: DataFrame, labels: DataFrame, held_out, sample: int = SAMPLE) -
                 t = Tokens(block)
                 lead = np.cumsum((block.data & 0xC0) != 0x80) if len(block.data) else np.zeros(0, np.int64)
                 at.append(((t.row + block.first).astype(np.int32), *_points(t, block, lead)))
-                p_of.append(model.scores(t.features()).astype(np.float32))
+                p_of.append(model.scores(t.features(model.terms)).astype(np.float32))
             row = np.concatenate([x[0] for x in at]) if at else np.zeros(0, np.int32)
             sizes = np.bincount(row, minlength=b.num_rows)
             p, _ = marginals(np.concatenate(p_of).astype(float) if at else np.zeros(0), np.cumsum(sizes) - sizes, sizes, model.move)

@@ -352,6 +352,17 @@ def test_toxicity(spark, odd, none):
     assert {r["score"] for r in toxicity.scored(odd, labels.limit(0), toxicity.held_out()).collect()} == {0.0}
 
 
+def test_offending_terms_are_counted_over_all_labelled_rows(spark):
+    rng = np.random.default_rng(6)
+    text = lambda *more: " ".join(rng.permutation([*(f"k{x}" for x in rng.integers(0, 3000, 40)), *more]))
+    rows = [(i, text("vileword"), 1) for i in range(300)] + [(300 + i, text("rarest"), 1) for i in range(20)] + [(400 + i, text(), 0) for i in range(300)]
+    rows += [(1000 + i, "vileword " + " ".join(f"same{j}" for j in range(40)), 1) for i in range(200)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    docs = table.selectExpr("doc_id", "text").unionByName(spark.createDataFrame([(2000, text("rarest")), (2001, text())], "doc_id long, text string"))
+    got = {r["doc_id"]: r for r in toxicity.scored(docs, table.select("doc_id", "toxic"), toxicity.F.col("doc_id") >= 2000, sample=30).collect()}
+    assert got[2000]["predicted"] == 1 and got[2000]["spans"] and got[2001]["predicted"] == 0 and not got[2001]["spans"]
+
+
 def test_marginals_match_brute_force():
     score, move = np.array([0.5, -1.0, 2.0, 0.3]), np.array([[0.2, -0.4], [0.1, 0.7]])
     p, _ = toxicity.marginals(score, np.array([0, 3]), np.array([3, 1]), move)
