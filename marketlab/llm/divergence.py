@@ -4,9 +4,10 @@ A document's character classes and common words are compared with its language's
 that language, by the Jensen-Shannon distance (base 2, 0 to 1). A document fails if either distance passes its threshold;
 below `least_words` words only the base rules judge. Sampling noise alone makes short texts differ, so a threshold is widened by
 `slack / sqrt(n)`. Common words are those with a share of at least `word_share` of a language's words, at most 1 / word_share of
-them; a language counts as one from a share of `lang_share` of all words. So the references are bounded and broadcast.
+them. References of languages of `lang_words` words or more are broadcast. A smaller language fits a task, and its documents are
+judged there against their own sums, however few: a language of one document is its own reference, so that document's distances are 0.
 
-Null texts are empty; documents of null or rare languages are judged by the base rules alone; each row is judged by itself,
+Null texts are empty; documents of null language are judged by the base rules alone; each row is judged by itself,
 so repeated rows are judged alike; extra columns are ignored.
 """
 
@@ -30,7 +31,7 @@ class Limits:
     slack: float = 1.5
     least_words: int = 50
     word_share: float = 0.002
-    lang_share: float = 0.01
+    lang_words: int = 10_000
 
 
 #: Byte classes: lower and upper case ASCII letters, other scripts' lead bytes, digits, white space, sentence marks, symbols, the rest.
@@ -99,13 +100,13 @@ def _parts(batches):
                     pa.array(np.concatenate([classes[mine].sum(0), n]).astype(np.int64))], names=["lang", "member", "is_class", "n"])
 
 
-def references(docs: DataFrame, limits: Limits) -> dict[str, tuple]:
-    """Per language its class counts, its common words' hashes (sorted) and their counts with the rest in the end."""
+def references(docs: DataFrame, limits: Limits) -> tuple[dict[str, tuple], bool]:
+    """Per language its class counts, its common words' hashes (sorted) and their counts with the rest in the end; whether there are smaller languages."""
     counts = written(docs.select("lang", "text").mapInArrow(_parts, "lang string, member long, is_class boolean, n long")
                      .groupBy("lang", "is_class", "member").agg(F.sum("n").alias("n")))
     sizes = counts.where("not is_class").groupBy("lang").agg(F.sum("n").alias("total"))
-    whole = sizes.agg(F.sum("total")).first()[0] or 0
-    sizes = sizes.where(F.col("total") >= limits.lang_share * whole)
+    small = bool(sizes.where((F.col("total") < limits.lang_words) & F.col("lang").isNotNull()).take(1))
+    sizes = sizes.where(F.col("total") >= limits.lang_words)
     rows = counts.join(F.broadcast(sizes), "lang").where(F.col("is_class") | (F.col("n") >= limits.word_share * F.col("total"))).collect()
     out = {}
     for lang in {r["lang"] for r in rows}:
@@ -117,7 +118,18 @@ def references(docs: DataFrame, limits: Limits) -> dict[str, tuple]:
         words = sorted((np.int64(r["member"]).view(U), r["n"]) for r in own if not r["is_class"])
         n = [x[1] for x in words]
         out[lang] = classes, np.array([x[0] for x in words], U), np.array([*n, own[0]["total"] - sum(n)], float)
-    return out
+    return out, small
+
+
+def own_reference(texts: pa.Array, limits: Limits) -> tuple:
+    """As `references`, of the texts of one small language."""
+    classes, hashes = np.zeros(CLASSES), [np.zeros(0, U)]
+    for block in blocks(texts):
+        classes += class_counts(block).sum(0)
+        hashes.append(block.words(False).hash)
+    h, n = np.unique(np.concatenate(hashes), return_counts=True)
+    common = n >= limits.word_share * n.sum()
+    return classes, h[common], np.append(n[common], n[~common].sum()).astype(float)
 
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -126,9 +138,9 @@ COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 def judged(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, class_distance, word_distance)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    refs = references(docs, limits)
+    refs, small = references(docs, limits)
 
-    def run(batches):
+    def run(batches, refs=refs):
         tables = {k: (c, Lookup(w), n) for k, (c, w, n) in refs.items()}
         for b in batches:
             langs = np.array(b["lang"].to_pylist(), object)
@@ -156,8 +168,16 @@ def judged(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
                      pa.array(failed), pa.array(~failed & ~odd), pa.array(far[0]), pa.array(far[1])],
                     names=["doc_id", *COUNTS, "base_failed", "kept", "class_distance", "word_distance"])
 
-    return docs.mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS)
-                           + ", base_failed boolean, kept boolean, class_distance double, word_distance double")
+    def alone(table):
+        table = table.combine_chunks()
+        lang = table["lang"][0].as_py()
+        return pa.Table.from_batches(run(table.to_batches(), {lang: own_reference(table["text"], limits)}))
+
+    schema = "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, kept boolean, class_distance double, word_distance double"
+    if not small:
+        return docs.mapInArrow(run, schema)
+    main = F.col("lang").isNull() | F.col("lang").isin(list(refs)) | (F.coalesce(F.length("text"), F.lit(0)) == 0)
+    return docs.where(main).mapInArrow(run, schema).unionByName(docs.where(~main).groupBy("lang").applyInArrow(alone, schema))
 
 
 @query("op1_distribution_divergence")
