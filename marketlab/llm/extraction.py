@@ -7,7 +7,7 @@ Viterbi. The labelled pages are made up by `labelled_pages` (a few layouts with
 joined by a bounded sample of the table's own pages whose markup names the article, with words of that table.
 
 Null or empty html and pages without a main block give an empty text; broken markup is read as far as it goes: unclosed
-inline elements end with their block, an unclosed block ends with its parent; rows repeat freely; extra columns are ignored.
+inline elements end with their block, an unclosed block ends with its parent, an unclosed head with what can't stand in it; rows repeat freely; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from marketlab.llm.common import load, query
 
 SAMPLE, EPOCHS = 300, 4
-SILENT = {"script", "style", "noscript", "template", "svg", "iframe", "object", "canvas", "textarea", "title", "head", "select", "math", "audio", "video"}
+SILENT = {"script", "style", "noscript", "template", "svg", "iframe", "object", "canvas", "textarea", "title", "head", "select", "audio", "video"}
+IN_HEAD = {"base", "basefont", "bgsound", "head", "link", "meta", "noscript", "script", "style", "template", "title"}
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label",
           "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img"}
@@ -59,6 +60,10 @@ def leaf_blocks(page: str) -> list[tuple[str, frozenset, int]]:
         if m.start() < skip_to:
             continue
         ending, tag, rest, plain = m.groups()
+        if stack and stack[-1][0] == "head" and (plain.strip() if plain is not None else tag and not ending and tag.lower() not in IN_HEAD):
+            stack.pop()
+            silent -= 1
+            renew()
         if plain is not None:
             if not silent:
                 text.append(plain)
@@ -91,7 +96,7 @@ def leaf_blocks(page: str) -> list[tuple[str, frozenset, int]]:
         in_link = 0
         ended = CLOSES.get(tag, set()) | ({"p"} if tag in ENDS_P else set())
         while stack and stack[-1][0] in ended:
-            stack.pop()
+            silent -= stack.pop()[0] in SILENT
         if tag in VOID or rest.endswith("/") and tag not in RAW:
             renew()
             continue

@@ -269,6 +269,16 @@ def test_extraction(spark):
     assert all(r["n_chars"] == len(r["text"]) for r in got)
 
 
+def test_pages_without_end_of_head():
+    def texts(page):
+        return [x[0] for x in extraction.leaf_blocks(page)]
+    body = "<article><p>Some words <math><mi>x</mi></math> in it.</p></article>"
+    for start in ("<html><head><title>T</title><body>", "<html><head><title>T</title></head><body>", "<html><head><meta charset=x><title>T</title>", "<head><script>a<b</script><style>p{}</style>"):
+        assert " ".join(texts(start + body)) == "Some words x in it."
+    assert texts("<head><title>T</title><link rel=x>\nPlain text") == ["Plain text"] and texts("<head><title>T</title> <b>bold</b>") == ["bold"]
+    assert texts("<head><template><p>no</p></template><title>T</title></head><p>yes</p>") == ["yes"]
+
+
 def test_extraction_of_pages(spark):
     want = {}
     for r in spark.read.parquet(f"{D}/pages.parquet").collect():
