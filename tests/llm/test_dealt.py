@@ -91,7 +91,7 @@ def test_divergence_keeps_clean_and_drops_junk(spark):
 def test_divergence_of_small_languages(spark):
     rng = np.random.default_rng(8)
     say = lambda p, n: " ".join(f"{p}{x}" for x in rng.integers(0, 60, n))
-    rows = [(i, say("en", 300), "en") for i in range(1000)] + [(2000 + i, say("small", 150), "xx") for i in range(20)]
+    rows = [(i, say("en", 600), "en") for i in range(1000)] + [(2000 + i, say("small", 150), "xx") for i in range(20)]
     rows += [(3000, " ".join(f"#{x}$%&*" for x in rng.integers(0, 10**6, 120)), "xx"), (3001, None, "xx"), (3002, say("u", 60), None)]
     got = {r["doc_id"]: r for r in divergence.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
     assert len(got) == len(rows) and not got[3000]["base_failed"] and not got[3000]["kept"] and got[3000]["class_distance"] > 0.25
