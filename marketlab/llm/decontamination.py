@@ -270,7 +270,7 @@ def cleaned(found: DataFrame) -> DataFrame:
                                                      F.length("text").alias("from"), F.length("text").alias("to"))))
     kept = F.transform(spans, lambda s, i: F.substring(F.col("text"), F.when(i > 0, F.element_at(spans, i)["to"]).otherwise(0) + 1,
                                                        s["from"] - F.when(i > 0, F.element_at(spans, i)["to"]).otherwise(0)))
-    return found.withColumn("text", F.array_join(kept, ""))
+    return found.withColumn("text", F.when(F.col("text").isNotNull(), F.array_join(kept, "")))
 
 
 SQL = r"""
