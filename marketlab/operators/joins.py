@@ -1,99 +1,186 @@
 """Time joins: as-of, nearest, interval, first touch, range extremes and the skyline anti-join.
 
-As-of joins put both sides on one time line and carry the last right row forward with
-`scans.running`, so a key holding most of the rows is scanned in time slices by many tasks and
-neither side is broadcast or paired row by row.
+`probed` puts both sides on one time line and carries right rows to left rows in both directions. Several probes (before, after,
+at a horizon) share one exchange: the right rows are moved by each probe's offset, the left rows stay whole and occur once. Keys
+with many rows are cut into time slices by a quantile sketch of their own times, so neither a hot key nor a busy day is one task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from marketlab.operators.scans import DAY, Run, micros, pin, running, time_chunk
+from marketlab.operators.scans import micros, pin, time_chunk
+
+SLICE_ROWS, FINEST = 1_000_000, 1024
 
 
 def as_list(x) -> list[str]:
     return [x] if isinstance(x, str) else list(x)
 
 
-def asof(left: DataFrame, right: DataFrame, key="product", ts: str = "ts", payload: Sequence[str] = (),
-         tie: Sequence[str] = (), forward: bool = False, strict: bool = False, at: Column | None = None,
-         slices: Sequence[int] = (DAY,), name: str = "match") -> DataFrame:
-    """The last right row at or before `at` (left `ts` by default) per key, as struct `name`.
+@dataclass(frozen=True)
+class Probe:
+    """What a left row looks up once the right rows are moved back by `offset` (seconds, or a column of the right rows).
+
+    The last right row before it, or with `forward` the first one after it; equal times count unless `strict`. Among equal times a
+    backward probe takes the last in tie order, with `first` the first, as forward probes do. `largest` names a payload
+    column whose running maximum is wanted instead of a row.
+    """
+
+    name: str
+    offset: int | Column = 0
+    forward: bool = False
+    strict: bool = False
+    largest: str | None = None
+
+
+def time_slices(times: DataFrame, keys: Sequence[str], rows: int = SLICE_ROWS) -> DataFrame:
+    """Slice bounds `_bounds` of the keys with more than `rows` rows in `times` (keys, `_at`), about `rows` between two bounds.
+
+    At most one key in `rows` rows is listed, and one bound in `rows` rows in all, so the table is small whatever the
+    input. A key has at most FINEST slices; rows of one instant stay together.
+    """
+    hot = times.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows)
+    named = hot.withColumnsRenamed({k: f"_h{i}" for i, k in enumerate(keys)})
+    same = _same(keys)
+    cuts = [i / FINEST for i in range(1, FINEST)]
+    sketch = times.join(F.broadcast(named), same).groupBy(*keys).agg(F.max("_n").alias("_n"), F.percentile_approx("_at", cuts, 20_000).alias("_q"))
+    step = F.greatest(F.lit(1), F.floor(F.lit(FINEST * rows) / F.col("_n"))).cast("int")
+    return sketch.select(*[F.col(k).alias(f"_h{i}") for i, k in enumerate(keys)],
+                         F.array_distinct(F.filter("_q", lambda q, i: (i + 1) % step == 0)).alias("_bounds"))
+
+
+def _same(keys: Sequence[str]) -> Column:
+    on = F.lit(True)
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"_h{i}"))
+    return on
+
 
-    `forward` takes the first one at or after instead; `strict` excludes equal times; `tie` orders
-    right rows of equal time. `slices` are the widths in seconds, coarse to fine, of the pieces a
-    key's time line is scanned in. The struct holds the right row's time as `ts` plus `payload`.
+def _slice_of(at: Column) -> Column:
+    """Number of bounds at or below `at`, by halving."""
+    steps = F.array(*[F.lit(FINEST >> k) for k in range(1, FINEST.bit_length())])
+    found = F.aggregate(steps, F.lit(0), lambda lo, s: F.when((lo + s <= F.size("_bounds")) & (F.get(F.col("_bounds"), lo + s - 1) <= at), lo + s).otherwise(lo))
+    return F.when(F.col("_bounds").isNull() | at.isNull(), 0).otherwise(found)
+
+
+def probed(left: DataFrame, right: DataFrame, probes: Sequence[Probe], key="product", ts: str = "ts", payload: Sequence[str] = (),
+           tie: Sequence[str] = (), first: bool = False, rows: int = SLICE_ROWS) -> DataFrame:
+    """`left` with one column a probe: the right row found, as struct of its time `ts` and `payload`, or the largest value.
+
+    One exchange by key and slice, two sorts of it. What lies before and after a slice enters it as one leading row, made from the
+    slices' totals; without hot keys there are none, and nothing is read for them. Rows without a time find nothing.
     """
     keys = as_list(key)
     payload = [c for c in payload if c not in ("ts", ts)]
-    hit = F.struct(F.col(ts).alias("ts"), *payload)
-    right_first = not strict
-    lside, rside = ((1, 0) if right_first != forward else (0, 1))
     ties = [f"_tie{i}" for i in range(len(tie))]
-    r = right.select(*keys, F.col(ts).alias("_at"), F.lit(rside).alias("_side"), hit.alias("_hit"),
-                     *[F.col(c).alias(a) for c, a in zip(tie, ties)])
-    lt = left.select(*keys, (F.col(ts) if at is None else at).alias("_at"), F.lit(lside).alias("_side"),
-                     F.struct(*left.columns).alias("_row"))
+    places, copy_of = [], []
+    for p in probes:
+        place = (p.offset, 2 if p.forward != p.strict else 0)
+        same = [i for i, x in enumerate(places) if x[1] == place[1] and (x[0] is place[0] or isinstance(x[0], int) and isinstance(place[0], int) and x[0] == place[0])]
+        copy_of.append(same[0] if same else len(places))
+        places += [] if same else [place]
+
+    def copy(i, offset, side):
+        away = F.lit(offset) if isinstance(offset, int) else offset
+        return F.struct(F.lit(i).alias("_copy"), (micros(ts) - away.cast("bigint") * 1_000_000).alias("_at"), F.lit(side).alias("_side"))
+
+    r = right.where(F.col(ts).isNotNull()).select(
+        *keys, F.struct(F.col(ts).alias("ts"), *payload).alias("_hit"), *[F.col(c).alias(a) for c, a in zip(tie, ties)],
+        F.explode(F.array(*[copy(i, *x) for i, x in enumerate(places)])).alias("_m")).select(*keys, "_hit", *ties, "_m.*")
+    lt = left.select(*keys, micros(ts).alias("_at"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_row"))
     both = lt.unionByName(r, allowMissingColumns=True)
-    chunks = [f"_chunk{i}" for i in range(len(slices))]
-    both = both.withColumns({c: time_chunk("_at", w) for c, w in zip(chunks, slices)})
-    out = running(both, ["_at", "_side", *ties], [Run(name, "last", "_hit")], keys, chunks, reverse=forward)
-    return out.where(F.col("_side") == lside).select("_row.*", name)
+    bounds = time_slices(lt.select(*keys, "_at").unionAll(right.select(*keys, micros(ts).alias("_at"))), keys, rows)
+    both = both.join(F.broadcast(bounds), _same(keys), "left").withColumn("_slice", _slice_of(F.col("_at")))
+    part = [*keys, "_slice"]
+    drops = ["_bounds", *[f"_h{i}" for i in range(len(keys))]]
+
+    def value(i, p):
+        hit = F.when(F.col("_copy") == copy_of[i], F.col("_hit"))
+        return hit[p.largest] if p.largest else hit
+
+    def total(i, p):
+        v = value(i, p)
+        if p.largest:
+            return F.max(v)
+        rank = F.struct(F.col("_at") if p.forward or not first else -F.col("_at"), *ties)
+        return (F.min_by if p.forward or first else F.max_by)(v, F.when(v.isNotNull(), rank))
+
+    totals = both.where(F.col("_bounds").isNotNull()).groupBy(*part).agg(*[total(i, p).alias(f"_t{i}") for i, p in enumerate(probes)])
+    ahead = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    behind = W.partitionBy(*keys).orderBy(F.desc("_slice")).rowsBetween(W.unboundedPreceding, -1)
+
+    def carried(i, p):
+        return (F.max(f"_t{i}") if p.largest else F.last(f"_t{i}", ignorenulls=True)).over(behind if p.forward else ahead)
+
+    lead = totals.select(*part, F.lit(0).alias("_own"), *[carried(i, p).alias(f"_v{i}") for i, p in enumerate(probes)])
+    data = both.drop(*drops).select("*", F.lit(1).alias("_own"), *[value(i, p).alias(f"_v{i}") for i, p in enumerate(probes)])
+    line = data.unionByName(lead, allowMissingColumns=True)
+
+    def order(back, down):
+        way = (lambda c: F.col(c).desc()) if back else (lambda c: F.col(c).asc())
+        return W.partitionBy(*part).orderBy("_own", way("_at"), way("_side"), *[F.col(c).desc() if down else F.col(c).asc() for c in ties]).rowsBetween(
+            W.unboundedPreceding, 0)
+    up, back = order(False, first), order(True, True)
+    found = [(F.max(f"_v{i}") if p.largest else F.last(f"_v{i}", ignorenulls=True)).over(back if p.forward else up) for i, p in enumerate(probes)]
+    out = line.select("_row", "_side", "_at", "_own", *[f.alias(p.name) for f, p in zip(found, probes)])
+    return out.where("_own = 1 and _side = 1").select("_row.*", *[F.when(F.col("_at").isNotNull(), F.col(p.name)).alias(p.name) for p in probes])
+
+
+def asof(left: DataFrame, right: DataFrame, key="product", ts: str = "ts", payload: Sequence[str] = (), tie: Sequence[str] = (), forward: bool = False,
+         strict: bool = False, offset: int | Column = 0, rows: int = SLICE_ROWS, name: str = "match") -> DataFrame:
+    """The last right row at or before left `ts` + `offset` seconds per key, as struct `name`.
+
+    `forward` takes the first one at or after instead; `strict` excludes equal times; `tie` orders right rows of equal time.
+    """
+    return probed(left, right, [Probe(name, offset, forward, strict)], key, ts, payload, tie, rows=rows)
 
 
-def nearest(left: DataFrame, right: DataFrame, tolerance_sec: float, key="product", ts: str = "ts",
-            payload: Sequence[str] = (), tie: Sequence[str] = (), at: Column | None = None,
-            slices: Sequence[int] = (DAY,), name: str = "match") -> DataFrame:
-    """The right row nearest in time, strictly closer than the tolerance; the earlier one on ties."""
-    keys = as_list(key)
+def nearest(left: DataFrame, right: DataFrame, tolerance_sec: float, key="product", ts: str = "ts", payload: Sequence[str] = (), tie: Sequence[str] = (),
+            offsets: dict[str, int] | None = None, rows: int = SLICE_ROWS) -> DataFrame:
+    """The right row nearest to `ts` + offset, strictly closer than the tolerance; the earlier one on ties.
+
+    `offsets` names each result (`match` at 0 by default); all are found in one pass.
+    """
+    offsets = offsets or {"match": 0}
     cols = [c for c in payload if c not in ("ts", ts)]
-    first = F.struct(*cols) if cols else F.struct(F.lit(1).alias("_one"))
-    uniq = (right.groupBy(*keys, ts).agg(F.min_by(first, F.struct(*(tie or cols or [ts]))).alias("_f"))
-            .select(*keys, ts, *[F.col(f"_f.{c}").alias(c) for c in cols]))
-    when = F.col(ts) if at is None else at
-    x = asof(left, uniq, keys, ts, cols, at=when, slices=slices, name="_back")
-    x = asof(x, uniq, keys, ts, cols, forward=True, strict=True, at=when, slices=slices, name="_fwd")
-    t = micros(when)
-    db, df = t - micros(F.col("_back.ts")), micros(F.col("_fwd.ts")) - t
-    best = F.when(F.col("_fwd").isNull() | (db <= df), F.col("_back")).otherwise(F.col("_fwd"))
-    dist = F.least(db, df)
-    return x.withColumn(name, F.when(dist < int(tolerance_sec * 1e6), best)).drop("_back", "_fwd")
-
-
-def horizon_return(left: DataFrame, prices: DataFrame, horizon_sec: int, key="product", ts="ts",
-                   price="close", slices: Sequence[int] = (DAY,)) -> DataFrame:
+    probes = [Probe(f"_{way}_{n}", o, way == "f", way == "f") for n, o in offsets.items() for way in "bf"]
+    x = probed(left, right, probes, key, ts, cols, tie or cols, first=True, rows=rows)
+
+    def best(n, o):
+        t = micros(ts) + o * 1_000_000
+        b, f = F.col(f"_b_{n}"), F.col(f"_f_{n}")
+        db, df = t - micros(b["ts"]), micros(f["ts"]) - t
+        return F.when(F.least(db, df) < int(tolerance_sec * 1e6), F.when(f.isNull() | (db <= df), b).otherwise(f))
+
+    return x.withColumns({n: best(n, o) for n, o in offsets.items()}).drop(*[p.name for p in probes])
+
+
+def horizon_return(left: DataFrame, prices: DataFrame, horizon_sec: int, key="product", ts="ts", price="close", rows: int = SLICE_ROWS) -> DataFrame:
     """Price at or before `ts`, first price at or after `ts` + horizon, and the return between."""
-    later = F.timestamp_micros(micros(ts) + horizon_sec * 1_000_000)
-    x = asof(left, prices, key, ts, [price], slices=slices, name="_p0")
-    x = asof(x, prices, key, ts, [price], forward=True, at=later, slices=slices, name="_p1")
+    x = probed(left, prices, [Probe("_p0"), Probe("_p1", horizon_sec, forward=True)], key, ts, [price], rows=rows)
     p0, p1 = F.col(f"_p0.{price}"), F.col(f"_p1.{price}")
     return (x.withColumns({"p0": p0, "p1": p1, "ret": F.when(p0 > 0, p1 / p0 - 1)}).drop("_p0", "_p1"))
 
 
-def in_windows(left: DataFrame, events: DataFrame, before: Column, after: Column, ts="ts",
-               slices: Sequence[int] = (DAY,), names=("blackout", "next_event")) -> DataFrame:
+def in_windows(left: DataFrame, events: DataFrame, before: Column, after: Column, ts="ts", rows: int = SLICE_ROWS,
+               names=("blackout", "next_event")) -> DataFrame:
     """Is `ts` inside [event - before, event + after] of any event, and when is the next event?
 
-    A time is covered exactly when the latest end among the windows opened so far is not yet past,
-    so a running maximum replaces the range join.
+    A time is covered exactly when the latest end among the windows opened so far is not yet past, so a running maximum over the
+    events moved to their openings replaces the range join; the next event comes from the same pass.
     """
     flag, nxt = names
-    e = events.select(F.timestamp_micros(micros(ts) - before.cast("bigint") * 1_000_000).alias("_at"), F.lit(0).alias("_side"),
-                      (micros(ts) + after.cast("bigint") * 1_000_000).alias("_end"))
-    lt = left.select(F.col(ts).alias("_at"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_row"))
-    both = lt.unionByName(e, allowMissingColumns=True)
-    chunks = [f"_chunk{i}" for i in range(len(slices))]
-    both = both.withColumns({c: time_chunk("_at", w) for c, w in zip(chunks, slices)})
-    x = running(both, ["_at", "_side"], [Run("_open", "max", "_end")], (), chunks)
-    x = x.where("_side = 1").select("_row.*", F.coalesce(F.col("_open") >= micros("_at"), F.lit(False)).alias(flag))
-    one = events.select(F.lit(1).alias("_all"), ts)
-    x = asof(x.withColumn("_all", F.lit(1)), one, "_all", ts, forward=True, strict=True, slices=slices, name="_nx")
-    return x.withColumn(nxt, F.col("_nx.ts")).drop("_all", "_nx")
+    e = events.select(F.lit(0).alias("_all"), ts, before.cast("bigint").alias("_before"), (micros(ts) + after.cast("bigint") * 1_000_000).alias("_end"))
+    x = probed(left.withColumn("_all", F.lit(0)), e, [Probe("_open", F.col("_before"), largest="_end"), Probe("_next", forward=True, strict=True)],
+               "_all", ts, ["_end"], rows=rows)
+    return x.withColumns({flag: F.coalesce(F.col("_open") >= micros(ts), F.lit(False)), nxt: F.col("_next.ts")}).drop("_all", "_open", "_next")
 
 
 def first_touch(entries: DataFrame, bars: DataFrame, horizon_sec: int, entry_id="entry_id", key="product",
@@ -116,9 +203,8 @@ def first_touch(entries: DataFrame, bars: DataFrame, horizon_sec: int, entry_id=
     hits = e.join(b, on).groupBy(entry_id).agg(
         F.min_by(F.struct(F.col("_t").alias("exit_ts"), F.when(stop_hit, "stop").otherwise("take").alias("exit_kind")),
                  "_t").alias("_h"))
-    end = F.timestamp_micros(micros(ts) + h * 1_000_000)
     x = entries.join(hits, entry_id, "left")
-    x = asof(x, bars, key, ts, ["close"], at=end, slices=(max(DAY, h),), name="_last")
+    x = asof(x, bars, key, ts, ["close"], offset=h, name="_last")
     kind = F.coalesce(F.col("_h.exit_kind"), F.lit("open"))
     level = F.when(kind == "stop", F.col("stop")).when(kind == "take", F.col("take"))
     px = F.when(level.isNotNull(), level * (1 - F.col("side") * slip)).otherwise(F.col("_last.close"))

@@ -7,24 +7,22 @@ from pyspark.sql import functions as F
 
 from marketlab.functions.mathx import clip
 from marketlab.operators.joins import nearest
-from marketlab.operators.scans import DAY, micros, seconds
+from marketlab.operators.scans import seconds
 
 TOLERANCE = 600
 
 
 def mature(signals: DataFrame, prices: DataFrame, now: DataFrame, horizon_sec=1800, give_up_sec=10800,
-           key="product", price="price", tie=("event_id",), slices=(DAY,)) -> DataFrame:
+           key="product", price="price", tie=("event_id",)) -> DataFrame:
     """Gross directional return from the price at the signal to the price a horizon later.
 
     Prices are the nearest within 600 s, the later one falling back to the product's newest.
     `now` is one row with column `now`. States: scored, retry, abandon; younger rows are dropped.
-    Both the raw and the direction-aligned return are kept.
+    Both the raw and the direction-aligned return are kept. Both prices come from one pass over the prices.
     """
-    later = F.timestamp_micros(micros("ts") + horizon_sec * 1_000_000)
     newest = prices.groupBy(key).agg(F.max_by(price, F.struct("ts", *tie)).alias("_newest"))
     x = signals.crossJoin(F.broadcast(now)).where(seconds("now") - seconds("ts") >= horizon_sec)
-    x = nearest(x, prices, TOLERANCE, key, "ts", [price], tie, slices=slices, name="_p0")
-    x = nearest(x, prices, TOLERANCE, key, "ts", [price], tie, at=later, slices=slices, name="_p1")
+    x = nearest(x, prices, TOLERANCE, key, "ts", [price], tie, {"_p0": 0, "_p1": horizon_sec})
     x = x.join(newest, key, "left")
     p0, p1 = F.col(f"_p0.{price}"), F.coalesce(F.col(f"_p1.{price}"), F.col("_newest"))
     fwd = F.when((p0 != 0) & (p1 != 0), p1 / p0 - 1)
@@ -49,22 +47,18 @@ def credit(net: Column, base: float = 1.0, loss_mult: float = 5.0) -> Column:
 
 
 def skip_counterfactual(skips: DataFrame, prices: DataFrame, horizon_sec=1800, cost=0.012, weight=0.5, loss_mult=5.0,
-                        key="product", price="price", tie=("event_id",), slices=(DAY,)) -> DataFrame:
+                        key="product", price="price", tie=("event_id",)) -> DataFrame:
     """What gated entries would have returned net of cost, credited per vote."""
-    later = F.timestamp_micros(micros("ts") + horizon_sec * 1_000_000)
-    x = nearest(skips, prices, TOLERANCE, key, "ts", [price], tie, slices=slices, name="_p0")
-    x = nearest(x, prices, TOLERANCE, key, "ts", [price], tie, at=later, slices=slices, name="_p1")
+    x = nearest(skips, prices, TOLERANCE, key, "ts", [price], tie, {"_p0": 0, "_p1": horizon_sec})
     net = (F.col(f"_p1.{price}") / F.col(f"_p0.{price}") - 1) * F.col("direction") - cost
     x = split_votes(x.withColumn("net", net).where(net.isNotNull()).drop("_p0", "_p1"))
     return x.withColumn("credit", credit(F.col("net"), weight, loss_mult))
 
 
 def exit_counterfactual(decisions: DataFrame, prices: DataFrame, horizon_sec=1800, key="product", price="price",
-                        tie=("event_id",), slices=(DAY,)) -> DataFrame:
+                        tie=("event_id",)) -> DataFrame:
     """Position-frame return after an exit or hold decision taken at `price`; the throttle's edge is its negative."""
-    later = F.timestamp_micros(micros("ts") + horizon_sec * 1_000_000)
-    x = nearest(decisions, prices.withColumnRenamed(price, "_fp"), TOLERANCE, key, "ts", ["_fp"], tie, at=later,
-                slices=slices, name="_p1")
+    x = nearest(decisions, prices.withColumnRenamed(price, "_fp"), TOLERANCE, key, "ts", ["_fp"], tie, {"_p1": horizon_sec})
     r = F.when(F.col(price) > 0, F.col("side") * (F.col("_p1._fp") / F.col(price) - 1))
     return x.withColumns({"hold_return": r, "exit_edge": -r}).drop("_p1")
 

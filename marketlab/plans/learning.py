@@ -138,14 +138,14 @@ def direction_edge(spark, d):
     return P.direction_bias(e).select("regime", *[r6(F.col(c), 8).alias(c) for c in ("long_edge", "short_edge", "bias")])
 
 
-STATES = JV.replace("WITH ", "WITH RECURSIVE ", 1) + """, ex AS (SELECT event_id, event_type AS product, ts, 100 + value AS price, CASE WHEN user_id % 2 = 0 THEN 1 ELSE -1 END AS side, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE event_id % 3 = 2)
+STATES = JV.replace("WITH ", "WITH RECURSIVE ", 1) + """, ex AS (SELECT event_id, event_type AS product, ts, 100 + value AS price, CASE WHEN user_id % 2 = 0 THEN 1 ELSE -1 END AS side, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)
 """ + near_sql("ex", 1800, "q1") + """, sx AS (SELECT ex.*, CASE WHEN side > 0 THEN 'with' ELSE 'against' END || '/' || CASE WHEN k >= 50 THEN 'win' ELSE 'big_loss' END AS state, side * (px / price - 1) AS x FROM ex JOIN q1 USING (event_id))
 """
 
 
 def exits(spark, d):
     t = T.ticks(spark, d)
-    ex = t.where("event_id % 3 = 2").withColumn("side", F.when(F.col("user_id") % 2 == 0, 1).otherwise(-1))
+    ex = t.withColumn("side", F.when(F.col("user_id") % 2 == 0, 1).otherwise(-1))
     ex = ex.withColumn("state", F.concat_ws("/", F.when(F.col("side") > 0, "with").otherwise("against"), F.when(F.col("size") >= 51, "win").otherwise("big_loss"))).drop("size")
     return L.exit_counterfactual(ex, t)
 

@@ -114,11 +114,11 @@ FQ = with_views("forecasts")
 BK = "CASE WHEN ttl_hours <= 24 THEN 'near' ELSE 'far' END"
 
 
-@query("S12", FQ + f""", f AS (SELECT id, condition_id, {BK} AS bucket, round(predicted_p0, 6) AS p FROM forecasts), ex AS (SELECT DISTINCT condition_id, bucket FROM f WHERE condition_id < 60 AND id < 5000), nw AS (SELECT * FROM f WHERE id >= 5000)
+@query("S12", FQ + f""", f AS (SELECT id, condition_id, {BK} AS bucket, round(predicted_p0, 6) AS p FROM forecasts), ex AS (SELECT DISTINCT condition_id, bucket FROM f WHERE id % 97 = 0), nw AS (SELECT * FROM f WHERE id % 97 <> 0)
 SELECT condition_id, bucket, id, p FROM nw WHERE NOT EXISTS (SELECT 1 FROM ex WHERE ex.condition_id = nw.condition_id AND ex.bucket = nw.bucket) QUALIFY row_number() OVER (PARTITION BY condition_id, bucket ORDER BY id) = 1""")
 def insert_or_ignore(spark, d):
     f = T.forecasts(spark, d).select("id", "condition_id", F.when(F.col("ttl_hours") <= 24, "near").otherwise("far").alias("bucket"), r6(F.col("predicted_p0")).alias("p"))
-    return IO.insert_or_ignore(f.where("condition_id < 60 and id < 5000"), f.where("id >= 5000"), ["condition_id", "bucket"], ["id"])
+    return IO.insert_or_ignore(f.where("id % 97 = 0"), f.where("id % 97 <> 0"), ["condition_id", "bucket"], ["id"])
 
 
 @query("S13", LABELS + """, t AS (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 0.5 END AS fwd, CAST(event_id % 2 = 0 AS INT) AS scored FROM signal_scores), u AS (SELECT event_id, raw, state FROM lab WHERE state <> 'retry')
@@ -213,7 +213,7 @@ def performance_heat(spark, d):
 
 
 
-@query("S11 S10", "SELECT 'events' AS table_name, count(*) AS n, count(DISTINCT date_trunc('day', ts)) AS days FROM events UNION ALL SELECT 'decisions', count(*), count(DISTINCT date_trunc('day', ts)) FROM events WHERE event_id % 3 = 1")
+@query("S11 S10", DQ + "SELECT 'events' AS table_name, count(*) AS n, count(DISTINCT date_trunc('day', ts)) AS days FROM events UNION ALL SELECT 'decisions', count(*), count(DISTINCT date_trunc('day', ts)) FROM decisions")
 def append_events(spark, d):
     root = f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}"
     e = T.load(spark, d, "events")

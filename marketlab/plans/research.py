@@ -39,7 +39,7 @@ PAIRS = PV + """, pairs AS (SELECT l.asset, l.ts, round(l.lean, 9) AS lean, roun
 
 def aligned(spark, d):
     px = T.positions(spark, d).groupBy("asset", "ts").agg(F.avg("notional").alias("close"))
-    x = J.horizon_return(leans(spark, d), px, 86400, "asset", slices=(30 * S.DAY,))
+    x = J.horizon_return(leans(spark, d), px, 86400, "asset")
     # nine digits, so that ties do not depend on the order of summation
     return x.where("ret is not null").select("asset", "ts", F.round("lean", 9).alias("lean"), F.round("ret", 9).alias("ret"))
 

@@ -76,7 +76,7 @@ def stream_dedupe(spark, d):
 
 @query("T6")
 def stream_label_maturation(spark, d):
-    s = ticks_stream(spark, d).where("event_id % 3 = 0").select("event_id", "product", "ts", F.when(F.col("size") % 2 == 0, -1).otherwise(1).alias("direction"), F.col("price").alias("p0"))
+    s = ticks_stream(spark, d).select("event_id", "product", "ts", F.when(F.col("size") % 2 == 0, -1).otherwise(1).alias("direction"), F.col("price").alias("p0"))
     x = drained(spark, O.mature_stream(s, ticks_stream(spark, d), 1800, 900))
     return x.groupBy("product", "state").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("fwd_return_aligned")).alias("mean_return"))
 
@@ -100,8 +100,8 @@ f(product, i, mean, cum, low, hit) AS (SELECT product, i, e, CAST(-0.005 AS DOUB
       SELECT o.product, o.i, o.e, f.cum, f.low, 0.999 * f.mean + 0.001 * o.e AS m FROM f JOIN o ON o.product = f.product AND o.i = f.i + 1))))
 SELECT product, sum(hit) AS n_events FROM f GROUP BY 1 HAVING sum(hit) > 0""")
 def stream_page_hinkley(spark, d):
-    e = events_stream(spark, d).where("event_id % 3 = 1").withColumn("k", T.k_of())
-    e = e.select(F.col("event_type").alias("product"), "ts", "event_id", F.abs(F.col("k") / 50 - 1 - F.col("k") / 100).alias("error"))
+    e = events_stream(spark, d).withColumn("k", T.k_of())
+    e = e.select(F.col("event_type").alias("product"), F.timestamp_micros(F.unix_micros("ts") + (60 + F.col("k")) * 1_000_000).alias("ts"), "event_id", F.abs(F.col("k") / 50 - 1 - F.col("k") / 100).alias("error"))
     return drained(spark, O.page_hinkley_stream(e, "product", lam=5.0)).groupBy("product").agg(F.count(F.lit(1)).alias("n_events"))
 
 

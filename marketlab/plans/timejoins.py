@@ -22,7 +22,7 @@ JV = with_views("signal_scores", "decisions", "ticks", "candles")
 FROM signal_scores s ASOF LEFT JOIN decisions d ON s.product = d.product AND s.ts >= d.ts""")
 def asof_decision(spark, d):
     x = J.asof(T.signal_scores(spark, d), T.decisions(spark, d).withColumnRenamed("event_id", "decision_id"),
-               payload=["decision_id", "composite", "action"], tie=["decision_id"], slices=(S.DAY, S.HOUR))
+               payload=["decision_id", "composite", "action"], tie=["decision_id"])
     return x.select("event_id", "match.decision_id", r6(F.col("match.composite")).alias("composite"), "match.action",
                     r6(S.seconds("ts") - S.seconds("match.ts")).alias("ctx_lag_sec"))
 
@@ -223,10 +223,10 @@ def skip_counterfactual(spark, d):
     return x.groupBy("strategy").agg(F.count(F.lit(1)).alias("n"), r6(F.sum("credit")).alias("credit"))
 
 
-@query("J17", JV + """, ex AS (SELECT event_id, event_type AS product, ts, 100 + value AS price, CASE WHEN user_id % 2 = 0 THEN 1 ELSE -1 END AS side FROM events WHERE event_id % 3 = 2)
+@query("J17", JV + """, ex AS (SELECT event_id, event_type AS product, ts, 100 + value AS price, CASE WHEN user_id % 2 = 0 THEN 1 ELSE -1 END AS side FROM events)
 """ + near_sql("ex", 1800, "q1") + """SELECT ex.event_id, round(side * (px / price - 1), 6) AS hold_return, round(-side * (px / price - 1), 6) AS exit_edge FROM ex JOIN q1 USING (event_id)""")
 def exit_counterfactual(spark, d):
     t = T.ticks(spark, d)
-    ex = t.where("event_id % 3 = 2").withColumn("side", F.when(F.col("user_id") % 2 == 0, 1).otherwise(-1)).drop("size")
+    ex = t.withColumn("side", F.when(F.col("user_id") % 2 == 0, 1).otherwise(-1)).drop("size")
     x = L.exit_counterfactual(ex, t)
     return x.select("event_id", r6(F.col("hold_return")).alias("hold_return"), r6(F.col("exit_edge")).alias("exit_edge"))

@@ -23,10 +23,10 @@ VIEWS = {
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey"""),
     "signal_scores": ((), f"""SELECT event_id, ts, 'S' || CAST(user_id % 13 AS VARCHAR) AS strategy,
         event_type AS product, CASE WHEN {K} % 2 = 0 THEN 1 ELSE -1 END AS direction,
-        {K} / 100 AS confidence FROM events WHERE event_id % 3 = 0"""),
-    "decisions": ((), f"""SELECT event_id, ts, event_type AS product, {K} / 50 - 1 AS composite,
+        {K} / 100 AS confidence FROM events"""),
+    "decisions": ((), f"""SELECT event_id, ts + to_seconds(60 + {K}) AS ts, event_type AS product, {K} / 50 - 1 AS composite,
         {K} / 100 AS confidence, CASE WHEN event_id % 5 = 1 THEN 'enter' ELSE 'skip' END AS action
-        FROM events WHERE event_id % 3 = 1"""),
+        FROM events"""),
     "docs": ((), """SELECT doc_id, source, substring(text, 1, 200) AS title, text AS body,
         TIMESTAMP '2024-01-01' + to_minutes(CAST(doc_id AS INT)) AS ts, lang AS kind
         FROM documents"""),

@@ -69,7 +69,8 @@ def trade_chunks(spark, d) -> list[str]:
 
 
 def signal_scores(spark, d) -> DataFrame:
-    e = load(spark, d, "events").where("event_id % 3 = 0").withColumn("k", k_of())
+    """Every event as a strategy's signal."""
+    e = load(spark, d, "events").withColumn("k", k_of())
     return e.select(
         "event_id", "ts", F.concat(F.lit("S"), F.col("user_id") % 13).alias("strategy"),
         F.col("event_type").alias("product"),
@@ -78,9 +79,10 @@ def signal_scores(spark, d) -> DataFrame:
 
 
 def decisions(spark, d) -> DataFrame:
-    e = load(spark, d, "events").where("event_id % 3 = 1").withColumn("k", k_of())
+    """Every event as a decision, taken 60 + k seconds after it."""
+    e = load(spark, d, "events").withColumn("k", k_of())
     return e.select(
-        "event_id", "ts", F.col("event_type").alias("product"),
+        "event_id", F.timestamp_micros(F.unix_micros("ts") + (60 + F.col("k")) * 1_000_000).alias("ts"), F.col("event_type").alias("product"),
         (F.col("k") / 50 - 1).alias("composite"), (F.col("k") / 100).alias("confidence"),
         F.when(F.col("event_id") % 5 == 1, "enter").otherwise("skip").alias("action"))
 

@@ -62,12 +62,13 @@ def test_trailing_chunks_do_not_change_a_trailing_mean(frame):
         assert va[i] == pytest.approx(vb[i]) if va[i] is not None else vb[i] is None
 
 
+@pytest.mark.parametrize("n", [10, 10 ** 6])
 @pytest.mark.parametrize("forward,strict", [(False, False), (False, True), (True, False), (True, True)])
-def test_asof_matches_pandas(spark, forward, strict):
+def test_asof_matches_pandas(spark, forward, strict, n):
     left, right = rows(200, seed=1), [r for r in rows(150, seed=2) if r[1] != "c"]
     lf = spark.createDataFrame(left, "id bigint, k string, ts timestamp, v double")
     rt = spark.createDataFrame([(r[0], r[1], r[2]) for r in right], "rid bigint, k string, ts timestamp")
-    got = {r["id"]: r["rid"] for r in J.asof(lf, rt, "k", "ts", ["rid"], ["rid"], forward=forward, strict=strict, slices=(S.DAY, S.HOUR))
+    got = {r["id"]: r["rid"] for r in J.asof(lf, rt, "k", "ts", ["rid"], ["rid"], forward=forward, strict=strict, rows=n)
            .select("id", "match.rid").collect()}
     assert len(got) == 200
     for i, k, t, _ in left:
@@ -88,7 +89,7 @@ def test_windows_flag_and_next_event(spark):
     ts = [T0 + dt.timedelta(minutes=10 * i) for i in range(60)]
     ev = [(T0 + dt.timedelta(hours=h), h == 4) for h in (1, 4, 9)]
     x = J.in_windows(spark.createDataFrame([(t,) for t in ts], "ts timestamp"), spark.createDataFrame(ev, "ts timestamp, f boolean"),
-                     F.when(F.col("f"), 2700).otherwise(1800), F.when(F.col("f"), 5400).otherwise(2700), slices=(S.HOUR,)).collect()
+                     F.when(F.col("f"), 2700).otherwise(1800), F.when(F.col("f"), 5400).otherwise(2700), rows=7).collect()
     for r in x:
         inside = any(e - dt.timedelta(seconds=2700 if f else 1800) <= r["ts"] <= e + dt.timedelta(seconds=5400 if f else 2700) for e, f in ev)
         assert r["blackout"] == inside
@@ -182,3 +183,35 @@ def test_hot_and_cold_orders_agree(spark):
         for got in (a[k], b[k]):
             assert (got["filled_qty"], got["n_fills"]) == (qty, n) and got["vwap"] == pytest.approx(val / qty)
             assert got["status"] == ("FILLED" if qty >= 20.0 else "PARTIAL")
+
+
+@pytest.mark.parametrize("n", [12, 10 ** 6])
+def test_probes_of_several_horizons_in_one_pass(spark, n):
+    left, right = rows(150, seed=4), rows(220, seed=5)
+    lf = spark.createDataFrame([*left, (900, "a", None, 1.0), (901, None, T0, 1.0)], "id bigint, k string, ts timestamp, v double")
+    rt = spark.createDataFrame([(r[0], r[1], r[2]) for r in right] + [(950, "a", None), (951, "b", right[0][2]), (952, "b", right[0][2])], "rid bigint, k string, ts timestamp")
+    all_right = [(r[0], r[1], r[2]) for r in right] + [(951, "b", right[0][2]), (952, "b", right[0][2])]
+    x = J.nearest(lf, rt, 5000, "k", "ts", ["rid"], ["rid"], {"now": 0, "later": 7200}, rows=n).collect()
+    assert len(x) == 152
+    for r in x:
+        for name, off in (("now", 0), ("later", 7200)):
+            at = r["ts"] + dt.timedelta(seconds=off) if r["ts"] else None
+            near = sorted((abs(t - at), t, i) for i, k, t in all_right if at and k == r["k"] and abs(t - at) < dt.timedelta(seconds=5000))
+            assert (r[name]["rid"] if r[name] else None) == (near[0][2] if near else None)
+    back = J.asof(lf, rt, "k", "ts", ["rid"], ["rid"], offset=3600, rows=n).collect()
+    for r in back:
+        c = [(t, i) for i, k, t in all_right if r["ts"] and k == r["k"] and t <= r["ts"] + dt.timedelta(seconds=3600)]
+        assert (r["match"]["rid"] if r["match"] else None) == (max(c)[1] if c else None)
+
+
+def test_hot_keys_are_cut_into_even_slices(spark):
+    r = random.Random(9)
+    times = [("hot", int(1e6 * r.expovariate(1) ** 3)) for _ in range(4000)] + [("cold", i) for i in range(50)]
+    df = spark.createDataFrame(times, "k string, _at bigint")
+    b = J.time_slices(df, ["k"], 100).collect()
+    assert [x["_h0"] for x in b] == ["hot"]
+    cut = df.join(J.time_slices(df, ["k"], 100), J._same(["k"]), "left").withColumn("s", J._slice_of(F.col("_at")))
+    sizes = {x["s"]: x["count"] for x in cut.where("k = 'hot'").groupBy("s").count().collect()}
+    bounds = b[0]["_bounds"]
+    assert max(sizes.values()) <= 200 and all(x["s"] == sum(y <= x["_at"] for y in bounds) for x in cut.where("k = 'hot'").collect())
+    assert {x["s"] for x in cut.where("k = 'cold'").collect()} == {0}
