@@ -9,9 +9,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marketlab.functions.mathx import wilson
-from marketlab.operators.folds import fold_rows
 from marketlab.operators.joins import asof
 from marketlab.operators.scans import DAY, Run, micros, pin, running, seconds, time_chunk, time_pieces
+from marketlab.operators.slices import FOLD_ROWS, reservation_jump, reservation_replay, sliced_fold
 
 YEAR_SEC = 365.25 * 86400
 
@@ -339,14 +339,9 @@ def ledger_balance(events: DataFrame, order, opening: float, keys=(), chunks=())
     return x.withColumn("balance", F.col("balance") + opening)
 
 
-def reserve_cash(events: DataFrame, opening: float, keys, order) -> DataFrame:
-    """Debits are refused when the account cannot cover them; accounts run in parallel."""
-    def step(cash, amount):
-        if amount < 0 and cash + 1e-9 < -amount:
-            return cash, (cash, 0.0)
-        return cash + amount, (cash + amount, 1.0)
-
-    return fold_rows(events, keys, order, lambda: opening, step, ["amount"], ["balance", "applied"])
+def reserve_cash(events: DataFrame, opening: float, keys, order, rows: int = FOLD_ROWS) -> DataFrame:
+    """Debits are refused when the account cannot cover them; large accounts run in slices of about `rows` rows."""
+    return sliced_fold(events, keys, order, ["amount"], ["balance", "applied"], (opening,), reservation_replay(), reservation_jump, rows)
 
 
 def position_marks(positions: DataFrame, prices: DataFrame, key="product") -> DataFrame:

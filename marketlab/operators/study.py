@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from marketlab.functions.mathx import psi_term
 from marketlab.operators.folds import fold_rows
 from marketlab.operators.scans import Run, pin, row_index, running
+from marketlab.operators.slices import FOLD_ROWS, page_hinkley_jump, page_hinkley_replay, sliced_fold
 
 
 def net_lean(positions: DataFrame, rank_decay: float = 1.0, use_score: bool = False, keys=("ts", "asset")) -> DataFrame:
@@ -260,19 +261,12 @@ def cqr_adaptive(df: DataFrame, keys, order, window: int = 500, alpha: float = 0
     return fold_rows(df, keys, order, start, step, ["lo", "hi", "y"], ["qhat", "covered", "alpha_t"])
 
 
-def page_hinkley(df: DataFrame, keys, order, error: str, delta=0.005, lam=0.5, alpha=0.999) -> DataFrame:
-    """Page-Hinkley statistic and detections of an error stream, resetting after each."""
-    def step(st, e):
-        n, mean, cum, low = st
-        n += 1
-        mean = alpha * mean + (1 - alpha) * e if n > 1 else e
-        cum = alpha * cum + (e - mean - delta)
-        low = min(low, cum)
-        stat = cum - low
-        hit = stat > lam
-        return ((n, mean, 0.0, 0.0) if hit else (n, mean, cum, low)), (stat, float(hit))
+def page_hinkley(df: DataFrame, keys, order, error: str, delta=0.005, lam=0.5, alpha=0.999, rows: int = FOLD_ROWS) -> DataFrame:
+    """Page-Hinkley statistic and detections of an error stream, resetting after each, in slices of about `rows` rows.
 
-    return fold_rows(df, keys, order, lambda: (0, 0.0, 0.0, 0.0), step, [error], ["ph_stat", "drift"])
+    Rows without an error have null results and leave the state as it is.
+    """
+    return sliced_fold(df, keys, order, [error], ["ph_stat", "drift"], (0.0, 0.0, 0.0, 0.0), page_hinkley_replay(delta, lam, alpha), page_hinkley_jump, rows)
 
 
 def rolling_accuracy(preds: DataFrame, order: Sequence[str], width: int = 21, last: int = 120, least: float = 0.05) -> DataFrame:
