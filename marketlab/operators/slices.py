@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from marketlab.operators.joins import _same, _slice_of, time_slices
 from marketlab.operators.scans import micros, pin
@@ -24,9 +26,11 @@ FOLD_ROWS, CLOSE = 200_000, 1e-11
 
 
 def sliced_fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], inputs: Sequence[str], outputs: Sequence[str], start: Sequence[float],
-                replay: Callable, predict: Callable, rows: int = FOLD_ROWS) -> DataFrame:
+                replay: Callable, predict: Callable, rows: int = FOLD_ROWS, starts: DataFrame | None = None) -> DataFrame:
     """`df` with double `outputs` of a fold along `order`, whose first column is a time or an integer.
 
+    Keys listed in `starts` (keys, `state`) begin with their own state instead of `start`.
+
     `replay(state, *columns)` returns the outputs, the entering state it amounts to, the exit state and a list of numbers, the
     jump; `predict(used, exit, jump, state)` is the exit state if the slice is entered with `state` instead of `used`.
     """
@@ -60,6 +64,7 @@ def sliced_fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], inputs
     fields = data.select(*part).schema
     arrow = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "date": pa.date32(), "double": pa.float64()}
     listed = pa.list_(pa.float64())
+    nothing = to_arrow_schema(T.StructType([*df.schema.fields, *[T.StructField(o, T.DoubleType()) for o in outputs]])).empty_table()
     summary = pa.schema([*((f.name, arrow[f.dataType.simpleString()]) for f in fields), ("used", listed), ("ends", listed), ("jump", listed)])
     empty = summary.empty_table()
 
@@ -75,22 +80,30 @@ def sliced_fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], inputs
             state = ends if i == 0 else list(predict(used, ends, list(jump), state))
         return pdf[part].assign(state=states, moved=moved)
 
-    entering = data.limit(0).select(*part).withColumn("state", F.array().cast(numbers))
+    default = F.array(*[F.lit(float(x)) for x in start])
+    own = starts if starts is not None else data.limit(0).select(*keys).withColumn("state", F.array().cast(numbers))
+    own = own.select(*[F.col(k).alias(f"_h{i}") for i, k in enumerate(keys)], F.col("state").alias("_own"))
+    named_hot = bounds.select(*[F.col(f"_h{i}").alias(k) for i, k in enumerate(keys)])
+    entering = own.join(F.broadcast(named_hot), _same(keys), "left_anti").select(
+        *[F.col(f"_h{i}").alias(k) for i, k in enumerate(keys)], F.lit(0).alias("_slice"), F.col("_own").alias("state"))
     if hot:
         narrow = pin(data.where("_hot").select(*dict.fromkeys([*part, *order, *inputs])))
-        todo = narrow.select(*part).distinct().withColumn("state", F.array(*[F.lit(float(x)) for x in start]))
+        todo = narrow.select(*part).distinct().join(own, _same(keys), "left").select(*part, F.coalesce("_own", default).alias("state"))
         known = None
         while True:
             fresh = narrow.join(F.broadcast(todo.select(*part)), part, "left_semi").groupBy(*part).cogroup(states(todo)).applyInArrow(
                 summarise, f"{named}, used {numbers}, ends {numbers}, jump {numbers}")
             known = pin(fresh if known is None else known.join(F.broadcast(todo.select(*part)), part, "left_anti").unionByName(fresh))
-            entering = pin(known.groupBy(*keys).applyInPandas(settle, f"{named}, state {numbers}, moved boolean"))
-            todo = entering.where("moved").select(*part, "state")
+            settled = pin(known.groupBy(*keys).applyInPandas(settle, f"{named}, state {numbers}, moved boolean"))
+            todo = settled.where("moved").select(*part, "state")
             if todo.isEmpty():
                 break
+        entering = entering.unionByName(settled.drop("moved"))
     schema = ", ".join(f"`{c}` {t}" for c, t in [*df.dtypes, *[(o, "double") for o in outputs]])
 
     def finish(table, entered):
+        if not table.num_rows:
+            return nothing
         table, cols = columns(table)
         outs = replay(entered["state"][0].as_py() if entered.num_rows else list(start), *cols)[0]
         table = table.select(names)
@@ -102,7 +115,7 @@ def sliced_fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], inputs
 
 
 def page_hinkley_replay(delta: float, lam: float, alpha: float) -> Callable:
-    """Replay of state (seen, mean, cum, low); rows without an error leave the state as it is."""
+    """Replay of state (seen, mean, cum, low), which follows the outputs; rows without an error leave the state as it is."""
     size = max(1, min(4096, int(8 / -np.log10(alpha)))) if alpha < 1 else 4096
     powers = alpha ** np.arange(1, size + 1)
 
@@ -113,13 +126,13 @@ def page_hinkley_replay(delta: float, lam: float, alpha: float) -> Callable:
         if not seen and len(e):
             seen, mean = 1.0, float(e[0])
         used, n = [seen, mean, cum, low], len(e)
-        d = np.empty(n)
+        d, level = np.empty(n), np.empty(n)
         for a in range(0, n, size):
             p = powers[: min(size, n - a)]
             means = p * (mean + (1 - alpha) * np.cumsum(e[a: a + size] / p))
-            d[a: a + size] = e[a: a + size] - means - delta
+            d[a: a + size], level[a: a + size] = e[a: a + size] - means - delta, means
             mean = float(means[-1])
-        stat, hit = np.empty(n), np.zeros(n)
+        stat, hit, sums, floors = np.empty(n), np.zeros(n), np.zeros(n), np.zeros(n)
         at, step, reset, least, where = 0, 64, -1, np.inf, 0
         while at < n:
             p = powers[: min(step, size, n - at)]
@@ -129,20 +142,20 @@ def page_hinkley_replay(delta: float, lam: float, alpha: float) -> Callable:
             over = np.flatnonzero(s > lam)
             if len(over):
                 j = int(over[0])
-                stat[at: at + j + 1] = s[: j + 1]
+                stat[at: at + j + 1], sums[at: at + j], floors[at: at + j] = s[: j + 1], x[:j], lows[:j]
                 hit[at + j] = 1.0
                 at, step, cum, low, least, where = at + j + 1, 64, 0.0, 0.0, np.inf, 0
                 reset = at
                 continue
-            stat[at: at + len(p)] = s
+            stat[at: at + len(p)], sums[at: at + len(p)], floors[at: at + len(p)] = s, x, lows
             i = int(np.argmin(x))
             if x[i] < least:
                 least, where = float(x[i]), at + i + 1
             cum, low, at, step = float(x[-1]), float(lows[-1]), at + len(p), min(2 * step, size)
         whole, since = float(alpha ** n), max(reset, 0)
         jump = [float(reset >= 0), whole, -(n - since) * whole, least if np.isfinite(least) else 1e300, float(alpha ** where), -(where - since) * float(alpha ** where)]
-        out = np.full((2, len(error)), np.nan)
-        out[0, ok], out[1, ok] = stat, hit
+        out = np.full((6, len(error)), np.nan)
+        out[:, ok] = stat, hit, np.ones(n), level, sums, floors
         return out, used, [seen, mean, cum, low], jump
 
     return replay

@@ -146,20 +146,33 @@ def verdict(n: Column, ic: Column, p: Column) -> Column:
             .when(F.abs(ic) < 0.03, "NEGLIGIBLE").otherwise("PROMISING"))
 
 
+def psi_reference(ref: DataFrame, feature: str, value: str, bins: int = 8) -> DataFrame:
+    """Range and bin counts of each reference feature: (feature, `_lo`, `_hi`, `_nr`, `_b`, `_r`), `bins` rows a feature."""
+    lim = ref.groupBy(feature).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count(value).alias("_nr"))
+    h = ref.join(lim, feature).groupBy(feature, _psi_bin(value, bins).alias("_b")).agg(F.count(value).alias("_r"))
+    grid = lim.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    return grid.join(h, [feature, "_b"], "left").withColumn("_r", F.coalesce("_r", F.lit(0)))
+
+
+def _psi_bin(value: str, bins: int) -> Column:
+    return F.least(F.lit(bins - 1), F.floor((F.col(value) - F.col("_lo")) / F.greatest((F.col("_hi") - F.col("_lo")) / bins, F.lit(1e-300)))).cast("int")
+
+
+def psi_against(counted: DataFrame, cur: DataFrame, feature: str, value: str, bins: int = 8, threshold: float = 0.25) -> DataFrame:
+    """Population stability index of the features of `cur` against `psi_reference` counts; features without current rows have none."""
+    lim = counted.where("_b = 0").select(feature, "_lo", "_hi")
+    nc = cur.groupBy(feature).agg(F.count(value).alias("_nc"))
+    c = cur.join(lim, feature).where(F.col(value) >= F.col("_lo")).groupBy(feature, _psi_bin(value, bins).alias("_b")).agg(F.count(value).alias("_c"))
+    g = counted.join(nc, feature).join(c, [feature, "_b"], "left")
+    t = psi_term(F.col("_r") / F.col("_nr"), F.coalesce("_c", F.lit(0)) / F.col("_nc"))
+    out = g.groupBy(feature).agg(F.when(F.max(F.col("_hi") - F.col("_lo")) < 1e-12, 0.0).otherwise(F.sum(t)).alias("psi"))
+    return out.withColumn("drifting", F.col("psi") > threshold)
+
+
 def psi(ref: DataFrame, cur: DataFrame, feature: str, value: str, bins: int = 8, threshold: float = 0.25) -> DataFrame:
     """Population stability index per feature over the reference range; the last bin is open-ended,
     values below the range are dropped."""
-    lim = ref.groupBy(feature).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count(F.lit(1)).alias("_nr"))
-    nc = cur.groupBy(feature).agg(F.count(F.lit(1)).alias("_nc"))
-    both = ref.select(feature, value, F.lit(1).alias("_ref")).unionByName(cur.select(feature, value, F.lit(0).alias("_ref")))
-    x = both.join(lim, feature).where(F.col(value) >= F.col("_lo"))
-    b = F.least(F.lit(bins - 1), F.floor((F.col(value) - F.col("_lo")) / F.greatest((F.col("_hi") - F.col("_lo")) / bins, F.lit(1e-300))))
-    h = x.groupBy(feature, b.alias("_b")).agg(F.sum("_ref").alias("_r"), F.sum(1 - F.col("_ref")).alias("_c"))
-    grid = lim.join(nc, feature).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
-    g = grid.join(h, [feature, "_b"], "left")
-    t = psi_term(F.coalesce("_r", F.lit(0)) / F.col("_nr"), F.coalesce("_c", F.lit(0)) / F.col("_nc"))
-    out = g.groupBy(feature).agg(F.when(F.max(F.col("_hi") - F.col("_lo")) < 1e-12, 0.0).otherwise(F.sum(t)).alias("psi"))
-    return out.withColumn("drifting", F.col("psi") > threshold)
+    return psi_against(psi_reference(ref, feature, value, bins), cur, feature, value, bins, threshold)
 
 
 def rank_quantile(df: DataFrame, keys: Sequence[str], value: str, q: Column, name: str = "q") -> DataFrame:
@@ -266,7 +279,16 @@ def page_hinkley(df: DataFrame, keys, order, error: str, delta=0.005, lam=0.5, a
 
     Rows without an error have null results and leave the state as it is.
     """
-    return sliced_fold(df, keys, order, [error], ["ph_stat", "drift"], (0.0, 0.0, 0.0, 0.0), page_hinkley_replay(delta, lam, alpha), page_hinkley_jump, rows)
+    return page_hinkley_states(df, keys, order, error, delta, lam, alpha, rows).drop(*PH_STATE)
+
+
+PH_STATE = ["_seen", "_mean", "_cum", "_low"]
+
+
+def page_hinkley_states(df: DataFrame, keys, order, error: str, delta=0.005, lam=0.5, alpha=0.999, rows: int = FOLD_ROWS, starts: DataFrame | None = None) -> DataFrame:
+    """W36 with the state after each row (`PH_STATE`), from the states in `starts` (keys, `state`)."""
+    return sliced_fold(df, keys, order, [error], ["ph_stat", "drift", *PH_STATE], (0.0, 0.0, 0.0, 0.0), page_hinkley_replay(delta, lam, alpha), page_hinkley_jump,
+                       rows, starts)
 
 
 def rolling_accuracy(preds: DataFrame, order: Sequence[str], width: int = 21, last: int = 120, least: float = 0.05) -> DataFrame:

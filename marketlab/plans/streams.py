@@ -10,6 +10,7 @@ from marketlab.functions.mathx import r6
 from marketlab.operators.scans import shared_folder
 from marketlab.plans.price import EPOCH, rd
 from marketlab.plans.registry import query
+from marketlab.plans.timejoins import near_sql
 from marketlab.plans.views import with_views
 from marketlab.sources import tables as T
 from marketlab.streaming import ops as O
@@ -62,8 +63,9 @@ def stream_latest_ticker(spark, d):
     return spark.read.parquet(f"{f}/data").select("product", "event_id", r6(F.col("price")).alias("price"))
 
 
-@query("T4", TK + """, g AS (SELECT product, ts, lag(ts) OVER (PARTITION BY product ORDER BY ts) AS p FROM ticks) SELECT product, 'recovered' AS event, count(*) AS n FROM g WHERE epoch_us(ts) - epoch_us(p) > 3600000000 GROUP BY 1
-UNION ALL SELECT product, 'stale', count(*) FROM g WHERE epoch_us(ts) - epoch_us(p) > 3600000000 GROUP BY 1""")
+@query("T4", TK + f""", g AS (SELECT product, ts, lag(ts) OVER (PARTITION BY product ORDER BY ts) AS p, lead(ts) OVER (PARTITION BY product ORDER BY ts) AS nx FROM ticks)
+SELECT product, 'recovered' AS event, count(*) AS n FROM g, {MARK} WHERE epoch_us(ts) - epoch_us(p) > 3600000000 AND (epoch_us(ts) // 3600000000 + 1) * 3600000 <= wm GROUP BY 1
+UNION ALL SELECT product, 'stale', count(*) FROM g, {MARK} WHERE (nx IS NULL OR epoch_us(nx) - epoch_us(ts) > 3600000000) AND (epoch_ms(ts) + 3600001 <= wm OR (epoch_us(nx) // 3600000000 + 1) * 3600000 <= wm) GROUP BY 1""")
 def stream_stale_feeds(spark, d):
     return drained(spark, O.stale_feeds(ticks_stream(spark, d), 3600)).groupBy("product", "event").agg(F.count(F.lit(1)).alias("n"))
 
@@ -74,10 +76,14 @@ def stream_dedupe(spark, d):
     return drained(spark, O.dedupe(e, "exec_id", "60 days")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("exec_id").alias("total"))
 
 
-@query("T6")
+T6 = TK + near_sql("ticks", 1800, "q1") + f""", l AS (SELECT t.product, q1.px, (q1.px / price - 1) * CASE WHEN size % 2 = 0 THEN -1 ELSE 1 END AS al FROM ticks t JOIN q1 USING (event_id), {MARK} WHERE epoch_ms(ts) + 2400000 < wm)
+SELECT product, CASE WHEN px IS NULL THEN 'abandon' ELSE 'scored' END AS state, count(*) AS n, round(avg(al), 6) AS mean_return FROM l GROUP BY 1, 2"""
+
+
+@query("T6", T6)
 def stream_label_maturation(spark, d):
     s = ticks_stream(spark, d).select("event_id", "product", "ts", F.when(F.col("size") % 2 == 0, -1).otherwise(1).alias("direction"), F.col("price").alias("p0"))
-    x = drained(spark, O.mature_stream(s, ticks_stream(spark, d), 1800, 900))
+    x = drained(spark, O.mature_stream(s, ticks_stream(spark, d), 1800))
     return x.groupBy("product", "state").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("fwd_return_aligned")).alias("mean_return"))
 
 
@@ -102,7 +108,9 @@ SELECT product, sum(hit) AS n_events FROM f GROUP BY 1 HAVING sum(hit) > 0""")
 def stream_page_hinkley(spark, d):
     e = events_stream(spark, d).withColumn("k", T.k_of())
     e = e.select(F.col("event_type").alias("product"), F.timestamp_micros(F.unix_micros("ts") + (60 + F.col("k")) * 1_000_000).alias("ts"), "event_id", F.abs(F.col("k") / 50 - 1 - F.col("k") / 100).alias("error"))
-    return drained(spark, O.page_hinkley_stream(e, "product", lam=5.0)).groupBy("product").agg(F.count(F.lit(1)).alias("n_events"))
+    f = folder(spark)
+    O.run_batches(e, O.page_hinkley_sink(f"{f}/data", "product", lam=5.0), f)
+    return spark.read.parquet(f"{f}/data/hits/batch=*").groupBy("product").agg(F.count(F.lit(1)).alias("n_events"))
 
 
 @query("T9 S12", "SELECT user_id, min(event_id) AS event_id FROM events GROUP BY 1")
@@ -110,7 +118,7 @@ def stream_ledger_append(spark, d):
     f = folder(spark)
     e = events_stream(spark, d).select("user_id", "event_id", "ts")
     O.run_batches(e, O.ledger_sink(f"{f}/data", ["user_id"], ["event_id"]), f)
-    return spark.read.parquet(f"{f}/data/batch=*").select("user_id", "event_id")
+    return spark.read.parquet(f"{f}/data").select("user_id", "event_id")
 
 
 @query("T10", TK + f""", g AS (SELECT user_id, ts, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) >= 3600000000 THEN 1 ELSE 0 END AS nw FROM ticks), s AS (SELECT *, sum(nw) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM g),
@@ -132,5 +140,6 @@ def stream_mention_counts(spark, d):
 @query("T12 S16", "SELECT event_id FROM events, (SELECT max(ts) AS now FROM events) WHERE epoch_us(ts) >= epoch_us(now) - 7 * 86400000000")
 def stream_retention(spark, d):
     f = folder(spark)
-    O.run_batches(events_stream(spark, d).select("event_id", "ts"), O.retention_sink(f"{f}/data", "ts", 7 * 86400), f)
-    return spark.read.parquet(f"{f}/data/batch=*").select("event_id")
+    e = events_stream(spark, d).select("event_id", "ts")
+    O.run_batches(e, O.retention_sink(f"{f}/data", "ts", 7 * 86400), f)
+    return O.retained(spark, f"{f}/data", e.schema, "ts", 7 * 86400).select("event_id")

@@ -7,10 +7,12 @@ from collections.abc import Callable, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from marketlab.operators.bars import ohlcv
-from marketlab.operators.study import psi
+from marketlab.operators.scans import pin
+from marketlab.operators.slices import FOLD_ROWS
+from marketlab.operators.study import PH_STATE, page_hinkley_states, psi_against, psi_reference
 from marketlab.sources import ledger_io as IO
 
 
@@ -33,37 +35,74 @@ def latest_ticker(ticks: DataFrame, order=("ts", "event_id")) -> DataFrame:
     return ticks.groupBy("product").agg(F.max_by(F.struct(*cols), F.struct(*order)).alias("t")).select("product", "t.*")
 
 
-def stale_feeds(ticks: DataFrame, limit_sec: int, late: str = "10 minutes", key: str = "product") -> DataFrame:
-    """T4: a row when a key has been silent for `limit_sec` (stale) and one when it speaks again (recovered).
+class Silence(StatefulProcessor):
+    """State of one key: its last settled time, whether it is silent, and the first and last time in each open bucket of the limit's width.
 
-    State is one timestamp per key; silence at the end of the data fires through the event-time timer.
+    Two times of one bucket are never farther apart than the limit, so a batch may come in any order and is never held whole.
     """
-    schema = f"{key} string, event string, at timestamp, silent_sec double"
-
-    def step(k, batches, state):
-        out = []
-        last = state.get[0] if state.exists else None
-        if state.hasTimedOut:
-            out.append((k[0], "stale", pd.Timestamp(last, unit="us"), float(limit_sec)))
-            state.update((-last,))
-        else:
-            stamps = sorted(int(t) for pdf in batches for t in pdf["_us"])
-            silent = last is not None and last < 0
-            last = abs(last) if last is not None else None
-            for t in stamps:
-                if last is not None and t - last > limit_sec * 1_000_000:
-                    if not silent:
-                        out.append((k[0], "stale", pd.Timestamp(last, unit="us"), float(limit_sec)))
-                    out.append((k[0], "recovered", pd.Timestamp(t, unit="us"), (t - last) / 1e6))
-                    silent = False
-                last = max(t, last or t)
-            state.update((last,))
-            due = last // 1000 + limit_sec * 1000
-            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=[key, "event", "at", "silent_sec"])
-
-    x = ticks.withWatermark("ts", late).withColumn("_us", F.unix_micros("ts")).select(key, "ts", "_us")
-    return x.groupBy(key).applyInPandasWithState(step, schema, "last long", "append", GroupStateTimeout.EventTimeTimeout)
+
+    def __init__(self, limit_sec: int):
+        self.limit = limit_sec * 1_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "us bigint, silent boolean")
+        self.open = handle.getMapState("open", "bucket bigint", "low bigint, high bigint")
+
+    def handleInputRows(self, key, rows, timerValues):
+        for pdf in rows:
+            for bucket, g in pdf["us"].groupby(pdf["us"] // self.limit):
+                low, high, k = int(g.min()), int(g.max()), (int(bucket),)
+                if self.open.containsKey(k):
+                    old = self.open.getValue(k)
+                    low, high = min(low, old[0]), max(high, old[1])
+                self.open.updateValue(k, (low, high))
+        yield self._settle(key, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        yield self._settle(key, timerValues.getCurrentWatermarkInMs())
+
+    def _settle(self, key, mark):
+        out, now = [], mark * 1000
+        last, silent = self.last.get() if self.last.exists() else (None, False)
+        buckets = sorted(k[0] for k in self.open.keys())
+        closed = [b for b in buckets if (b + 1) * self.limit <= now]
+        for b in closed:
+            low, high = self.open.getValue((b,))
+            self.open.removeKey((b,))
+            if last is not None and low - last > self.limit:
+                if not silent:
+                    out.append((key[0], "stale", last, self.limit / 1e6))
+                out.append((key[0], "recovered", low, (low - last) / 1e6))
+                silent = False
+            last = high if last is None else max(last, high)
+        waiting = buckets[len(closed):]
+        soon = self.open.getValue((waiting[0],))[0] if waiting else None
+        if last is not None and not silent:
+            due = last // 1000 + self.limit // 1000 + 1
+            if soon is None or soon - last > self.limit:
+                if due <= mark:
+                    out.append((key[0], "stale", last, self.limit / 1e6))
+                    silent = True
+                else:
+                    self.handle.registerTimer(due)
+        if waiting:
+            self.handle.registerTimer((waiting[0] + 1) * self.limit // 1000)
+        if last is not None:
+            self.last.update((last, silent))
+        return pd.DataFrame(out, columns=["key", "event", "us", "silent_sec"])
+
+    def close(self) -> None:
+        pass
+
+
+def stale_feeds(ticks: DataFrame, limit_sec: int, late: str = "10 minutes", key: str = "product") -> DataFrame:
+    """T4: a row when a key has been silent for `limit_sec` (stale) and one when it speaks again (recovered), once the watermark has
+    passed them: by event time, whatever the batches."""
+    x = ticks.withWatermark("ts", late).where(F.col("ts").isNotNull()).select(key, "ts", F.unix_micros("ts").alias("us"))
+    out = x.groupBy(key).transformWithStateInPandas(statefulProcessor=Silence(limit_sec), outputStructType="key string, event string, us long, silent_sec double",
+                                                    outputMode="Append", timeMode="EventTime")
+    return out.select(F.col("key").alias(key), "event", F.timestamp_micros("us").alias("at"), "silent_sec")
 
 
 def dedupe(events: DataFrame, key: str, late: str = "1 day") -> DataFrame:
@@ -71,63 +110,88 @@ def dedupe(events: DataFrame, key: str, late: str = "1 day") -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
 
 
-def mature_stream(signals: DataFrame, ticks: DataFrame, horizon_sec: int, width_sec: int = 300, give_up: str = "3 hours", late: str = "10 minutes") -> DataFrame:
-    """The close of the bar holding signal time + horizon, per signal; null once given up.
+def mature_stream(signals: DataFrame, ticks: DataFrame, horizon_sec: int, tolerance_sec: int = 600, late: str = "10 minutes") -> DataFrame:
+    """The price nearest to signal time + horizon, strictly closer than the tolerance, the earlier one on ties; null if there is none.
 
-    Prices are folded to bars first, so a signal meets one row and the join state stays small. Signals
-    carry event_id, product, ts, direction and p0.
+    Both streams meet by product and time bucket of the tolerance's width, prices in their own and both neighbouring buckets, so a busy
+    product is spread over its buckets and a signal meets each price near it once. State lives for horizon plus tolerance.
+    Signals carry event_id, product, ts, direction and p0; ticks product, ts, price and event_id.
     """
-    bars = stream_bars(ticks, f"{width_sec} seconds", late).select(F.col("product").alias("_p"), F.col("ts").alias("_bar"), "close", F.window_time("w").alias("_wt"))
-    due = F.timestamp_seconds(F.floor((F.unix_seconds("ts") + horizon_sec) / width_sec) * width_sec)
-    s = signals.withWatermark("ts", give_up).withColumn("_due", due)
-    on = ((F.col("product") == F.col("_p")) & (F.col("_due") == F.col("_bar")) & (F.col("_wt") >= F.col("ts"))
-          & (F.col("_wt") <= F.col("ts") + F.expr(f"interval {horizon_sec + 2 * width_sec} seconds")))
-    x = s.join(bars, on, "leftOuter")
-    raw = F.col("close") / F.col("p0") - 1
+    width, tol = tolerance_sec, tolerance_sec * 1_000_000
+    s = signals.withWatermark("ts", late).withColumn("_b", F.floor((F.unix_seconds("ts") + horizon_sec) / width))
+    b = F.floor(F.unix_seconds("ts") / width)
+    p = ticks.withWatermark("ts", late).select(F.col("product").alias("_p"), F.col("ts").alias("_pt"), F.col("price").alias("_price"), F.col("event_id").alias("_pid"),
+                                               F.explode(F.array(b - 1, b, b + 1)).alias("_pb"))
+    due = F.col("ts") + F.expr(f"interval {horizon_sec} seconds")
+    near = F.expr(f"interval {tolerance_sec} seconds")
+    on = (F.col("product") == F.col("_p")) & (F.col("_b") == F.col("_pb")) & (F.col("_pt") > due - near) & (F.col("_pt") < due + near)
+    x = s.join(p, on, "leftOuter")
+    away = F.unix_micros("_pt") - F.unix_micros("ts") - horizon_sec * 1_000_000
+    x = x.select("event_id", "product", "ts", "direction", "p0", "_price", F.when(F.abs(away) < tol, F.struct(F.abs(away).alias("d"), away.alias("s"), "_pid")).alias("_rank"))
+    x = x.groupBy("event_id", "product", "ts", "direction", "p0").agg(F.min_by("_price", "_rank").alias("_price"))
+    raw = F.col("_price") / F.col("p0") - 1
     return x.select("event_id", "product", "ts", raw.alias("fwd_return_raw"), (raw * F.col("direction")).alias("fwd_return_aligned"),
-                    F.when(F.col("close").isNull(), "abandon").otherwise("scored").alias("state"))
+                    F.when(F.col("_price").isNull(), "abandon").otherwise("scored").alias("state"))
 
 
 def drift_sink(reference: DataFrame, feature: str, value: str, path: str) -> Callable[[DataFrame, int], None]:
-    """Per micro-batch PSI against the stored reference, one folder per batch (replays overwrite)."""
+    """Per micro-batch PSI against the reference, whose bins are counted once; one folder per batch (replays overwrite)."""
+    counted = pin(psi_reference(reference, feature, value))
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        psi(reference, batch, feature, value).withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        psi_against(counted, batch, feature, value).withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return write
 
 
-def page_hinkley_stream(errors: DataFrame, key: str, delta=0.005, lam=0.5, alpha=0.999, late="10 minutes") -> DataFrame:
-    """Concept-drift detections per key; state is four numbers. Columns key, ts, event_id, error."""
-    def step(k, batches, state):
-        n, mean, cum, low = state.get if state.exists else (0, 0.0, 0.0, 0.0)
-        out = []
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        for ts, eid, e in zip(rows["ts"], rows["event_id"], rows["error"]):
-            n += 1
-            mean = alpha * mean + (1 - alpha) * e if n > 1 else e
-            cum = alpha * cum + (e - mean - delta)
-            low = min(low, cum)
-            if cum - low > lam:
-                out.append((k[0], ts, int(eid), cum - low))
-                cum = low = 0.0
-        state.update((n, mean, cum, low))
-        yield pd.DataFrame(out, columns=[key, "ts", "event_id", "ph_stat"])
-
-    return errors.select(key, "ts", "event_id", "error").groupBy(key).applyInPandasWithState(
-        step, f"{key} string, ts timestamp, event_id long, ph_stat double", "n long, mean double, cum double, low double", "append", GroupStateTimeout.NoTimeout)
-
-
-def ledger_sink(path: str, keys: Sequence[str], order: Sequence[str]) -> Callable[[DataFrame, int], None]:
-    """Append rows whose key is new; a batch owns one folder, so a replay writes the same rows again."""
+def _folder(spark, path: str):
+    """Hadoop file system and path."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def _numbered(spark, path: str, name: str) -> list[int]:
+    fs, p = _folder(spark, path)
+    names = [s.getPath().getName() for s in (fs.listStatus(p) if fs.exists(p) else [])]
+    return sorted(int(n.split("=", 1)[1]) for n in names if n.startswith(f"{name}=") and n.split("=", 1)[1].isdigit())
+
+
+def page_hinkley_sink(path: str, key: str, delta=0.005, lam=0.5, alpha=0.999, rows: int = FOLD_ROWS) -> Callable[[DataFrame, int], None]:
+    """Concept-drift detections of each micro-batch (key, ts, event_id, error) under `hits`, and every key's state after it under `state`.
+
+    A batch is folded by event time in slices, so one key's batch is many tasks; it starts from the state after the batch before, so
+    a replay writes the same again. Rows that come in a later batch are folded with it.
+    """
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        jvm = spark._jvm.org.apache.hadoop.fs
-        root = jvm.Path(path)
-        fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-        old = [s.getPath().toString() for s in (fs.listStatus(root) if fs.exists(root) else [])]
-        done = [p for p in old if "/batch=" in p and int(p.rsplit("=", 1)[1]) < batch_id]
-        known = spark.read.schema(batch.schema).parquet(*done) if done else batch.limit(0)
-        IO.insert_or_ignore(known, batch, keys, order).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        done = [i for i in _numbered(spark, f"{path}/state", "batch") if i < batch_id]
+        old = spark.read.schema(f"{key} string, state array<double>").parquet(f"{path}/state/batch={done[-1]}") if done else None
+        x = pin(page_hinkley_states(batch.select(key, "ts", "event_id", "error"), [key], ["ts", "event_id"], "error", delta, lam, alpha, rows, old))
+        x.where("drift = 1").select(key, "ts", "event_id", "ph_stat").write.mode("overwrite").parquet(f"{path}/hits/batch={batch_id}")
+        seen = F.col("_seen").isNotNull()
+        state = x.where(seen).groupBy(key).agg(F.max_by(F.array(*PH_STATE), F.struct("ts", "event_id")).alias("state"))
+        if old is not None:
+            state = state.unionByName(old.join(state.select(F.col(key).alias("_k")), F.col(key).eqNullSafe(F.col("_k")), "left_anti"))
+        state.write.mode("overwrite").parquet(f"{path}/state/batch={batch_id}")
+
+    return write
+
+
+def ledger_sink(path: str, keys: Sequence[str], order: Sequence[str], buckets: int = 64) -> Callable[[DataFrame, int], None]:
+    """Append rows whose key is new, in folders by key bucket and batch.
+
+    A batch reads the keys of the buckets it touches only, and of earlier batches only, so a replay writes the same rows again.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        x = batch.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+        fs, root = _folder(spark, path)
+        touched = [f"{path}/bucket={r[0]}" for r in x.select("bucket").distinct().collect()]  # at most `buckets` numbers
+        there = [p for p in touched if fs.exists(_folder(spark, p)[1])]
+        kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in batch.schema if f.name in keys)
+        known = spark.read.schema(f"{kept}, bucket int, batch bigint").option("basePath", path).parquet(*there).where(F.col("batch") < batch_id) if there else x.limit(0)
+        new = IO.insert_or_ignore(known, x, keys, order).withColumn("batch", F.lit(batch_id).cast("bigint"))
+        new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(path)
 
     return write
 
@@ -146,17 +210,49 @@ def mention_counts(docs: DataFrame, syms: Column, refresh: str = "15 minutes", l
 
 
 def retention_sink(path: str, ts: str, keep_sec: int) -> Callable[[DataFrame, int], None]:
-    """Write the rows of a batch still inside the retention, by day, so old days are dropped as folders."""
+    """Keep the rows inside the retention in folders by day and batch, and drop the day folders that have fallen out of it.
+
+    A manifest row a batch holds the newest time seen up to it; `retained` reads what the newest manifest keeps.
+    """
     def write(batch: DataFrame, batch_id: int) -> None:
-        newest = batch.agg(F.max(ts).alias("_now"))
-        kept = IO.prune(batch.crossJoin(F.broadcast(newest)), ts, F.col("_now"), keep_sec).drop("_now")
-        IO.with_day(kept, ts).write.mode("overwrite").partitionBy("day").parquet(f"{path}/batch={batch_id}")
+        spark = batch.sparkSession
+        done = [i for i in _numbered(spark, f"{path}/manifest", "batch") if i < batch_id]
+        newest = batch.agg(F.max(ts).alias("newest"))
+        if done:
+            newest = newest.unionByName(spark.read.schema("newest timestamp").parquet(f"{path}/manifest/batch={done[-1]}")).agg(F.max("newest").alias("newest"))
+        newest.write.mode("overwrite").parquet(f"{path}/manifest/batch={batch_id}")
+        now = spark.read.schema("newest timestamp").parquet(f"{path}/manifest/batch={batch_id}").withColumnRenamed("newest", "_now")
+        kept = IO.prune(batch.join(F.broadcast(now)), ts, F.col("_now"), keep_sec).drop("_now")
+        x = IO.with_day(kept, ts).withColumn("batch", F.lit(batch_id).cast("bigint"))
+        x.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(f"{path}/rows")
+        first = now.select(F.to_date(F.timestamp_seconds(F.unix_seconds("_now") - keep_sec)).cast("string")).first()[0]
+        fs, root = _folder(spark, f"{path}/rows")
+        for s in fs.listStatus(root) if first and fs.exists(root) else []:
+            name = s.getPath().getName()
+            if name.startswith("day=") and name[4:] < first:
+                fs.delete(s.getPath(), True)
 
     return write
 
 
+def retained(spark, path: str, schema, ts: str, keep_sec: int) -> DataFrame:
+    """Rows of a retention sink inside the retention as of its newest batch."""
+    last = _numbered(spark, f"{path}/manifest", "batch")
+    fs, rows = _folder(spark, f"{path}/rows")
+    if not last or not fs.exists(rows):
+        return spark.createDataFrame([], schema)
+    now = spark.read.schema("newest timestamp").parquet(f"{path}/manifest/batch={last[-1]}").withColumnRenamed("newest", "_now")
+    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    x = spark.read.schema(f"{names}, day date, batch bigint").parquet(f"{path}/rows")
+    return IO.prune(x.join(F.broadcast(now)), ts, F.col("_now"), keep_sec).select(*[f.name for f in schema])
+
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def run_to_files(stream: DataFrame, folder: str, mode: str = "append") -> None:
     """Drain what is available into parquet under `folder` (append) and stop."""
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     q = (stream.writeStream.outputMode(mode).format("parquet").option("path", f"{folder}/data")
          .option("checkpointLocation", f"{folder}/ckpt").trigger(availableNow=True).start())
     q.awaitTermination()
