@@ -15,9 +15,10 @@ from marketlab.operators.scans import seconds
 
 
 def feed_items(pages: DataFrame, body: str, item=r"(?is)<(?:item|entry)[\s>](.*?)</(?:item|entry)>",
-               title=r"(?is)<title[^>]*>(.*?)</title>", limit: int = 30, shortest: int = 8) -> DataFrame:
-    """Titles of the first `limit` items of each feed text (the feed reader's own page size)."""
-    items = F.slice(F.regexp_extract_all(body, F.lit(item), F.lit(1)), 1, limit)
+               title=r"(?is)<title[^>]*>(.*?)</title>", limit: int | None = None, shortest: int = 8) -> DataFrame:
+    """Titles of the items of each feed text, the first `limit` where given."""
+    items = F.regexp_extract_all(body, F.lit(item), F.lit(1))
+    items = items if limit is None else F.slice(items, 1, limit)
     keep = [c for c in pages.columns if c != body]
     x = pages.select(*keep, F.posexplode(items).alias("item_no", "_i"))
     x = x.where(F.col("_i").rlike(title)).withColumn("title", clean_markup(F.regexp_extract("_i", title, 1)))
@@ -123,15 +124,16 @@ def source_health(fetches: DataFrame) -> DataFrame:
     return x.withColumns({"status": status, "backoff_sec": backoff}).drop("_ok")
 
 
-def normalize_signals(raw: DataFrame, now: Column) -> DataFrame:
-    """Alias coalesce, finite check, clamp and truncation; `ok` tells accepted rows from rejects."""
+def normalize_signals(raw: DataFrame, now: Column, longest: int | None = None) -> DataFrame:
+    """Alias coalesce, finite check and clamp; `ok` tells accepted rows from rejects. Texts keep `longest` characters where given."""
+    text = F.coalesce("text", F.lit(""))
     asset = base_symbol(F.coalesce(F.col("asset"), F.col("symbol"), F.col("product"), F.lit("")))
     v = F.coalesce("value", "lean", "score").try_cast("double")
     v = F.when(~F.isnan(v) & (F.abs(v) != float("inf")), v)
     return raw.select(
         "*", F.substring(F.coalesce("source", F.lit("unknown")), 1, 64).alias("n_source"), F.coalesce("ts", now).alias("n_ts"),
         asset.alias("n_asset"), clip(v).alias("n_value"), F.substring(F.coalesce("kind", F.lit("signal")), 1, 32).alias("n_kind"),
-        F.substring(F.coalesce("text", F.lit("")), 1, 300).alias("n_text"), ((asset != "") & v.isNotNull()).alias("ok"))
+        (text if longest is None else F.substring(text, 1, longest)).alias("n_text"), ((asset != "") & v.isNotNull()).alias("ok"))
 
 
 def fresh(age: Column, max_age: float) -> Column:
@@ -161,32 +163,36 @@ def signal_status(rows: DataFrame, age: Column, max_age: float) -> DataFrame:
     return g.select(kind.alias("slice"), F.coalesce("source", "asset", F.lit("all")).alias("key"), "n", "last_ts", "fresh_rows")
 
 
-def merge_documents(new: DataFrame, old: DataFrame, key: Column, order, cap: int = 250) -> DataFrame:
-    """New documents before old, the first of each title key wins, the first `cap` are kept (a front-page list)."""
-    both = new.withColumn("_old", F.lit(0)).unionByName(old.withColumn("_old", F.lit(1))).withColumn("_key", key)
+def merge_documents(new: DataFrame, old: DataFrame, key: Column, order, cap: int | None = None) -> DataFrame:
+    """New documents before old, the first of each key wins; the first `cap` where given. Keys meet as hashes of 256 bits."""
+    both = new.withColumn("_old", F.lit(0)).unionByName(old.withColumn("_old", F.lit(1))).withColumn("_key", F.sha2(key.cast("string"), 256))
     arrival = ["_old", *order]
     row = F.struct(*[c for c in both.columns if c != "_key"])
     one = both.groupBy("_key").agg(F.min_by(row, F.struct(*arrival)).alias("_d")).select("_d.*")
-    return one.orderBy(*arrival).limit(cap).drop("_old")
+    return (one if cap is None else one.orderBy(*arrival).limit(cap)).drop("_old")
 
 
-def research_queue(counts: DataFrame, cap: int = 8, reserved: int = 2, least: int = 3) -> DataFrame:
-    """K5: assets with enough mentions; `reserved` places for the special class, the rest by count."""
+def research_queue(counts: DataFrame, cap: int | None = None, reserved: int = 2, least: int = 3) -> DataFrame:
+    """K5: assets with enough mentions, `reserved` of the special class first, the rest by count; the first `cap` where given."""
     x = counts.where(F.col("mentions") >= least)
     first = x.where("special").orderBy(F.desc("mentions"), "asset").limit(reserved).withColumn("priority", F.lit(True))
     rest = (x.join(first.select("asset"), "asset", "left_anti").withColumn("priority", F.lit(False)))
     both = first.unionByName(rest.select(*first.columns))
-    return both.orderBy(F.desc("priority"), F.desc("mentions"), "asset").limit(cap)
+    return both if cap is None else both.orderBy(F.desc("priority"), F.desc("mentions"), "asset").limit(cap)
 
 
-def evidence_match(queries: DataFrame, docs: DataFrame, q_id: str, d_id: str, generic=GENERIC_TERMS) -> DataFrame:
+def evidence_match(queries: DataFrame, docs: DataFrame, q_id: str, d_id: str, generic=GENERIC_TERMS, parts: int = 16) -> DataFrame:
     """Documents sharing terms with a query; a single generic term is not enough.
 
-    Both sides are exploded to (term, id); pairs are counted per (query, document) with map-side combine.
+    Document terms that no query has are dropped before the shuffle, by the queries' vocabulary where that is small enough to be sent and by
+    a semi join else. Terms are dealt out by term and a part of the document's hash, the queries' terms once to each part, so a
+    frequent term is many tasks; pairs are counted per (query, document) with map-side combine.
     """
     q = queries.select(q_id, F.explode("terms").alias("_t"))
-    dt = docs.select(d_id, F.explode("terms").alias("_t"))
-    g = q.join(dt, "_t").groupBy(q_id, d_id).agg(F.count(F.lit(1)).alias("matched"), F.max((~F.col("_t").isin(*generic)).cast("int")).alias("_s"))
+    dt = docs.select(d_id, F.explode("terms").alias("_t")).join(q.select("_t").distinct(), "_t", "left_semi")
+    dt = dt.withColumn("_part", F.pmod(F.xxhash64(d_id), F.lit(parts)).cast("int"))
+    q = q.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    g = q.join(dt, ["_t", "_part"]).groupBy(q_id, d_id).agg(F.count(F.lit(1)).alias("matched"), F.max((~F.col("_t").isin(*generic)).cast("int")).alias("_s"))
     return g.where((F.col("matched") > 1) | (F.col("_s") == 1)).drop("_s")
 
 

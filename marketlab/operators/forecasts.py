@@ -26,10 +26,11 @@ def retry_delay(attempts) -> Column:
     return F.when(attempts >= 4, 3600).when(attempts == 3, 960).when(attempts == 2, 480).when(attempts == 1, 240).otherwise(120)
 
 
-def pending(df: DataFrame, now: Column, limit: int = 200) -> DataFrame:
-    """Due unresolved forecasts, undated last."""
+def pending(df: DataFrame, now: Column, limit: int | None = None) -> DataFrame:
+    """Due unresolved forecasts, undated last; the first `limit` where given."""
     x = df.where(F.col("resolved_outcome0").isNull() & (F.col("next_poll") <= now) & (F.col("due").isNull() | (F.col("due") <= now + 6 * 3600)))
-    return x.orderBy(F.asc_nulls_last("due"), "forecast_ts", "id").limit(max(1, min(200, limit)))
+    x = x.orderBy(F.asc_nulls_last("due"), "forecast_ts", "id")
+    return x if limit is None else x.limit(max(1, limit))
 
 
 def market_leans(df: DataFrame, gain=6.0, revert=8.0, revert_at=0.05, longshot=2.0, longshot_at=0.15, micro=10.0) -> DataFrame:

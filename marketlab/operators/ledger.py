@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marketlab.functions.mathx import wilson
-from marketlab.operators.joins import asof
+from marketlab.operators.joins import SLICE_ROWS, _same, _slice_of, asof, time_slices
 from marketlab.operators.scans import DAY, Run, micros, pin, running, seconds, time_chunk, time_pieces
 from marketlab.operators.slices import FOLD_ROWS, reservation_jump, reservation_replay, sliced_fold
 
@@ -284,24 +284,18 @@ def decimate(df: DataFrame, order, points: int = 800, chunks=()) -> DataFrame:
     return x.where(keep).drop("_rn", "_n")
 
 
-def order_vwap(fills: DataFrame, orders: DataFrame, arrival: Sequence[str], ts: str = "ts", hot_rows: int = 1_000_000) -> DataFrame:
+def order_vwap(fills: DataFrame, orders: DataFrame, arrival: Sequence[str], ts: str = "ts", rows: int = SLICE_ROWS) -> DataFrame:
     """Fills once per exec_id, ignored after the order is full; VWAP, fees and status.
 
-    `orders` has intent_id and order_qty; `arrival` starts with `ts`. Only orders with more than
-    `hot_rows` fills are deduplicated by aggregate and have their time line cut by hours; all others
-    take one shuffle and two sorts.
+    `orders` has intent_id and order_qty; `arrival` starts with `ts`. Repeats go by a map-side combined aggregate; the time line
+    of an order with more than `rows` fills is cut into slices.
     """
-    sizes = fills.groupBy("intent_id").agg(F.count(F.lit(1)).alias("_n"))
-    sized = fills.join(orders.join(sizes, "intent_id"), "intent_id")
-    before, way = [Run("_before", "sum", "qty", strict=True)], [*arrival, "exec_id"]
-    seen = F.lag("exec_id").over(W.partitionBy("intent_id").orderBy("exec_id", *arrival))
-    cold = sized.where(F.col("_n") <= hot_rows).drop("_n").withColumn("_seen", seen)
-    cold = running(cold.where(F.col("_seen").isNull() | (F.col("_seen") != F.col("exec_id"))).drop("_seen"), way, before, ["intent_id"])
-    hot = sized.where(F.col("_n") > hot_rows).drop("_n")
-    cols = [c for c in hot.columns if c not in ("intent_id", "exec_id")]
-    hot = (hot.groupBy("intent_id", "exec_id").agg(F.min_by(F.struct(*cols), F.struct(*arrival)).alias("_f"))
-           .select("intent_id", "exec_id", "_f.*").withColumn("_slice", time_chunk(ts, 3600)))
-    x = cold.unionByName(running(hot, way, before, ["intent_id"], ["_slice"]).drop("_slice"))
+    cols = [c for c in fills.columns if c not in ("intent_id", "exec_id")]
+    once = fills.groupBy("intent_id", "exec_id").agg(F.min_by(F.struct(*cols), F.struct(*arrival)).alias("_f")).select("intent_id", "exec_id", "_f.*")
+    bounds = time_slices(fills.select("intent_id", micros(ts).alias("_at")), ["intent_id"], rows)
+    once = once.join(F.broadcast(bounds), _same(["intent_id"]), "left").withColumn("_slice", _slice_of(micros(ts))).drop("_bounds", "_h0")
+    x = running(once, [*arrival, "exec_id"], [Run("_before", "sum", "qty", strict=True)], ["intent_id"], ["_slice"]).drop("_slice")
+    x = x.join(orders, "intent_id")
     x = x.where(F.coalesce("_before", F.lit(0.0)) + 1e-12 < F.col("order_qty"))
     g = x.groupBy("intent_id").agg(F.sum("qty").alias("filled_qty"), (F.sum(F.col("qty") * F.col("price")) / F.sum("qty")).alias("vwap"),
                                    F.sum("fee").alias("fees"), F.first("order_qty").alias("order_qty"), F.count(F.lit(1)).alias("n_fills"))

@@ -132,14 +132,14 @@ def group_index(df: DataFrame, order, keys=(), chunks=(), name="rn", size="n_row
 
 
 def trailing_chunks(df: DataFrame, keys, ts: str, lookback: int, size: int = 100_000,
-                    width_sec: int = DAY) -> DataFrame:
+                    width_sec: int = DAY, tie: Sequence[str] = ()) -> DataFrame:
     """Cut each key's series into pieces of `size` rows, each led by `lookback` rows of warm-up.
 
     Any operator with frames of at most `lookback` trailing rows may then run with
     `keys + ["_piece"]` as its key; rows with `_warm` are dropped afterwards. Only the warm-up
     rows are doubled, so one long series becomes many window tasks.
     """
-    rows = row_index(df.withColumn("_day", time_chunk(ts, width_sec)), [ts], keys, ["_day"], "_rn")
+    rows = row_index(df.withColumn("_day", time_chunk(ts, width_sec)), [ts, *tie], keys, ["_day"], "_rn")
     piece = F.floor((F.col("_rn") - 1) / size)
     lead = (F.col("_rn") - 1) % size >= size - lookback
     both = F.when(lead, F.array(piece, piece + 1)).otherwise(F.array(piece))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketlab.functions.mathx import clip
+from marketlab.operators.scans import pin, row_index
 
 
 def total(cols) -> Column:
@@ -260,3 +262,13 @@ def position_state(side, pnl_pct, ml_pos, trend_c, vol_state, atr_pct) -> Column
         F.when(pnl_pct >= 0, "win").when(pnl_pct > -unit, "small_loss").otherwise("big_loss").alias("pnl_bucket"),
         F.when(ml_pos > 0.05, "fav").when(ml_pos < -0.05, "adv").otherwise("flat").alias("model_view"),
         vol_state.alias("vol"))
+
+
+def ranked(rows: DataFrame, by: str, tie: Sequence[str], where: str = "true", top: int | None = None, name: str = "place") -> DataFrame:
+    """K4: place of every row that meets `where` by `by`, largest first, ties in order of `tie`; only the first `top` where given.
+
+    The rows are written once, before the condition, and numbered in slices of the value, so no task holds them all.
+    """
+    x = pin(rows).where(where).withColumn("_down", -F.col(by)).withColumn("_band", F.floor(F.col("_down") * 1024))
+    x = row_index(x, ["_down", *tie], chunks=["_band"], name=name).drop("_down", "_band")
+    return x if top is None else x.where(F.col(name) <= top)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from marketlab.functions.mathx import psi_term
 from marketlab.operators.folds import fold_rows
-from marketlab.operators.scans import Run, pin, row_index, running
+from marketlab.operators.scans import Run, pin, row_index, running, trailing_chunks
 from marketlab.operators.slices import FOLD_ROWS, page_hinkley_jump, page_hinkley_replay, sliced_fold
 
 
@@ -25,17 +25,21 @@ def net_lean(positions: DataFrame, rank_decay: float = 1.0, use_score: bool = Fa
     return g.where(F.col("_d") > 0).select(*keys, (F.col("_n") / F.col("_d")).alias("lean"))
 
 
-SLICES = [i / 64 for i in range(1, 64)]
+SLICE_VALUES, FINEST = 200_000, 1024
 
 
-def value_slices(counts: DataFrame, col: str, keys: Sequence[str]) -> DataFrame:
-    """Adds `_s`, a slice number that never decreases with the value, about equally many distinct
-    values in each however skewed they are: bounds come from a mergeable quantile sketch, exactness
-    does not depend on them."""
+def value_slices(counts: DataFrame, col: str, keys: Sequence[str], rows: int = SLICE_VALUES) -> DataFrame:
+    """Adds `_s`, a slice number that never decreases with the value, with about `rows` distinct values in each however skewed they are:
+    bounds come from a mergeable quantile sketch, their number from the count; exactness does not depend on them."""
     keys = list(keys)
-    q = F.percentile_approx(col, SLICES, 2000).alias("_q")
-    x = counts.join(counts.groupBy(*keys).agg(q), keys) if keys else counts.crossJoin(F.broadcast(counts.agg(q)))
-    return x.withColumn("_s", F.size(F.filter("_q", lambda b: b <= F.col(col)))).drop("_q")
+    cuts = [i / FINEST for i in range(1, FINEST)]
+    step = F.greatest(F.lit(1), F.floor(F.lit(FINEST * rows) / F.col("_n"))).cast("int")
+    sketch = counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx(col, cuts, 20_000).alias("_q"))
+    sketch = sketch.select(*keys, F.filter("_q", lambda q, i: (i + 1) % step == 0).alias("_q"))
+    x = counts.join(sketch, keys) if keys else counts.crossJoin(F.broadcast(sketch))
+    steps = F.array(*[F.lit(FINEST >> k) for k in range(1, FINEST.bit_length())])
+    at = F.aggregate(steps, F.lit(0), lambda lo, s: F.when((lo + s <= F.size("_q")) & (F.get(F.col("_q"), lo + s - 1) <= F.col(col)), lo + s).otherwise(lo))
+    return x.withColumn("_s", at).drop("_q")
 
 
 def average_ranks(df: DataFrame, col: str, keys: Sequence[str], name: str) -> DataFrame:
@@ -291,14 +295,12 @@ def page_hinkley_states(df: DataFrame, keys, order, error: str, delta=0.005, lam
                        rows, starts)
 
 
-def rolling_accuracy(preds: DataFrame, order: Sequence[str], width: int = 21, last: int = 120, least: float = 0.05) -> DataFrame:
-    """Rolling directional accuracy and loss over the last `last` scored predictions."""
-    x = preds.where(F.abs("pred") >= least)
-    top = x.orderBy(*[F.col(c).desc() for c in order]).limit(last + width - 1)
-    # at most last + width rows remain
-    w = W.partitionBy(F.lit(0)).orderBy(*order)
-    f = w.rowsBetween(-(width - 1), 0)
-    y = top.withColumns({"_back": F.row_number().over(W.partitionBy(F.lit(0)).orderBy(*[F.col(c).desc() for c in order])),
-                         "accuracy": F.avg((F.col("pred") * F.col("actual") > 0).cast("double")).over(f),
-                         "loss": F.avg(F.pow(F.col("pred") - F.col("actual"), 2)).over(f)})
-    return y.where(F.col("_back") <= last).drop("_back")
+def rolling_accuracy(preds: DataFrame, order: Sequence[str], width: int = 21, least: float = 0.05, size: int = 100_000) -> DataFrame:
+    """Directional accuracy and loss of the last `width` scored predictions, at each of them.
+
+    `order` begins with a time. The series is cut into pieces of `size` rows, each led by the rows its first frames reach back to.
+    """
+    x = trailing_chunks(preds.where(F.abs("pred") >= least), [], order[0], width - 1, size, tie=order[1:])
+    f = W.partitionBy("_piece").orderBy("_rn").rowsBetween(-(width - 1), 0)
+    x = x.withColumns({"accuracy": F.avg((F.col("pred") * F.col("actual") > 0).cast("double")).over(f), "loss": F.avg(F.pow(F.col("pred") - F.col("actual"), 2)).over(f)})
+    return x.where(~F.col("_warm")).drop("_warm", "_piece", "_rn")

@@ -108,14 +108,11 @@ def composite_vote_floor(spark, d):
 @query("P17 K4", FEAT + COMPOSITE + f"""SELECT product, {EPOCH}, CASE WHEN composite > 0 THEN 1 ELSE -1 END AS direction,
   round(confidence, 6) AS confidence, round(composite * 25, 1) AS edge_bps,
   CAST(row_number() OVER (ORDER BY confidence DESC, product, ts) AS BIGINT) AS place
-  FROM comp WHERE confidence >= 0.35 ORDER BY confidence DESC, product, ts LIMIT 200""")
+  FROM comp WHERE confidence >= 0.35""")
 def ranked_candidates(spark, d):
-    x = G.decide(voted(spark, d)).where("actionable")
-    top = x.orderBy(F.desc("confidence"), "product", "ts").limit(200)
-    # 200 rows: the report itself, so one window over it is bounded
-    place = F.row_number().over(I.W.partitionBy(F.lit(0)).orderBy(F.desc("confidence"), "product", "ts"))
-    return top.select("product", epoch_s(), "direction", r6(F.col("confidence")).alias("confidence"),
-                      r6(F.col("edge_bps")).alias("edge_bps"), place.cast("bigint").alias("place"))
+    x = G.decide(voted(spark, d)).select("product", "ts", "direction", "confidence", "edge_bps", "actionable")
+    x = G.ranked(x, "confidence", ["product", "ts"], where="actionable")
+    return x.select("product", epoch_s(), "direction", r6(F.col("confidence")).alias("confidence"), r6(F.col("edge_bps")).alias("edge_bps"), "place")
 
 
 @query("P17", FEAT + COMPOSITE + f"""SELECT product, {EPOCH}, CASE WHEN composite > 0 THEN 1 ELSE -1 END AS direction,

@@ -126,12 +126,12 @@ for _k, _v in X.ENTITIES.items():
     UNESC = f"replace({UNESC}, '{_k}', '{_v.replace(chr(39), chr(39) * 2)}')"
 
 
-@query("S5", f"""WITH it AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<li[\\s>](.*?)</li>', 1)[1:30]) AS i FROM pages), tt AS (SELECT page_id, regexp_extract(i, '(?is)<a[^>]*>(.*?)</a>', 1) AS i FROM it WHERE regexp_matches(i, '(?is)<a[^>]*>(.*?)</a>')),
+@query("S5", f"""WITH it AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<li[\\s>](.*?)</li>', 1)) AS i FROM pages), tt AS (SELECT page_id, regexp_extract(i, '(?is)<a[^>]*>(.*?)</a>', 1) AS i FROM it WHERE regexp_matches(i, '(?is)<a[^>]*>(.*?)</a>')),
 c AS (SELECT page_id, trim(regexp_replace({UNESC}, '<[^>]+>', ' ', 'g')) AS title FROM tt) SELECT page_id, title, count(*) AS n FROM c WHERE length(title) >= 4 GROUP BY 1, 2""")
 def read_feed_items(spark, d):
     p = T.load(spark, d, "pages").select("page_id", "html")
     # list items of a page have the shape <li><a>title</a></li>
-    x = D.feed_items(p, "html", r"(?is)<li[\s>](.*?)</li>", r"(?is)<a[^>]*>(.*?)</a>", 30, 4)
+    x = D.feed_items(p, "html", r"(?is)<li[\s>](.*?)</li>", r"(?is)<a[^>]*>(.*?)</a>", shortest=4)
     return x.groupBy("page_id", "title").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -175,7 +175,7 @@ def doc_sentiment(spark, d):
 
 
 @query("K5", DV + TAG + """, c AS (SELECT asset, count(*) AS mentions, asset IN ('A0', 'A3', 'A4') AS special FROM tg GROUP BY 1 HAVING count(*) >= 3), f AS (SELECT * FROM c WHERE special ORDER BY mentions DESC, asset LIMIT 2)
-SELECT asset, mentions, special, priority FROM (SELECT *, true AS priority FROM f UNION ALL SELECT *, false FROM c WHERE asset NOT IN (SELECT asset FROM f)) ORDER BY priority DESC, mentions DESC, asset LIMIT 8""")
+SELECT asset, mentions, special, priority FROM (SELECT *, true AS priority FROM f UNION ALL SELECT *, false FROM c WHERE asset NOT IN (SELECT asset FROM f))""")
 def research_queue(spark, d):
     c = tagged(spark, d).select(F.explode("assets").alias("asset")).groupBy("asset").agg(F.count(F.lit(1)).alias("mentions")).withColumn("special", F.col("asset").isin("A0", "A3", "A4"))
     return D.research_queue(c)
@@ -192,12 +192,12 @@ def source_health(spark, d):
     return D.source_health(f)
 
 
-@query("U1", DV + """, u AS (SELECT *, CAST(CAST(replace(source, 'src', '') AS INT) < 10 AS INT) AS old FROM docs), k AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY substring(title, 1, 80) ORDER BY old, doc_id) = 1)
-SELECT doc_id, source FROM k ORDER BY old, doc_id LIMIT 250""")
+@query("U1", DV + """, u AS (SELECT *, CAST(CAST(replace(source, 'src', '') AS INT) < 10 AS INT) AS old FROM docs), k AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY body ORDER BY old, doc_id) = 1)
+SELECT doc_id, source FROM k""")
 def merge_documents(spark, d):
     x = T.docs(spark, d)
     n = F.replace("source", F.lit("src"), F.lit("")).cast("int")
-    return D.merge_documents(x.where(n >= 10), x.where(n < 10), F.substring("title", 1, 80), ["doc_id"]).select("doc_id", "source")
+    return D.merge_documents(x.where(n >= 10), x.where(n < 10), F.col("body"), ["doc_id"]).select("doc_id", "source")
 
 
 @query("U6", DV + TAG + """, s AS (SELECT DISTINCT asset, source FROM tg JOIN docs USING (doc_id) UNION SELECT 'A' || CAST(s_suppkey % 8 AS VARCHAR), 'manual' || CAST(s_nationkey % 5 AS VARCHAR) FROM supplier)

@@ -32,10 +32,11 @@ def scored(spark, d):
     return L.clipped_lesson(x, 1.0, 0.05).withColumn("regime", F.col("product"))
 
 
-@query("A6", LAB + """, t AS (SELECT * FROM sc ORDER BY ts DESC, event_id DESC LIMIT 1600)
+@query("A6", LAB + """,
+t AS (SELECT * FROM sc)
 SELECT strategy, count(*) AS n, sum(CAST(aligned > 0 AS INT)) AS hits, round(avg(CAST(aligned > 0 AS INT)), 6) AS hit_rate, round(avg(aligned), 6) AS mean_fwd_return FROM t GROUP BY 1""")
 def strategy_scoring(spark, d):
-    t = scored(spark, d).orderBy(F.desc("ts"), F.desc("event_id")).limit(200 * 8)
+    t = scored(spark, d)
     hit = (F.col("fwd_return_aligned") > 0).cast("int")
     return t.groupBy("strategy").agg(F.count(F.lit(1)).alias("n"), F.sum(hit).alias("hits"), r6(F.avg(hit)).alias("hit_rate"),
                                      r6(F.avg("fwd_return_aligned")).alias("mean_fwd_return"))

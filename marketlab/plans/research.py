@@ -193,8 +193,7 @@ def page_hinkley(spark, d):
     return y.groupBy("product").agg(F.count(F.lit(1)).alias("n"), F.sum("drift").cast("bigint").alias("n_events"), r6(F.max("ph_stat")).alias("max_stat"))
 
 
-@query("W39", DQ + """, x AS (SELECT * FROM decisions WHERE abs(composite) >= 0.05), y AS (SELECT event_id, ts, avg(CAST(composite * (confidence - 0.5) > 0 AS INT)) OVER f AS acc, avg(power(composite - (confidence - 0.5), 2)) OVER f AS loss,
-  row_number() OVER (ORDER BY ts DESC, event_id DESC) AS back FROM x WINDOW f AS (ORDER BY ts, event_id ROWS BETWEEN 20 PRECEDING AND CURRENT ROW)) SELECT event_id, round(acc, 6) AS accuracy, round(loss, 6) AS loss FROM y WHERE back <= 120""")
+@query("W39", DQ + """, x AS (SELECT * FROM decisions WHERE abs(composite) >= 0.05), y AS (SELECT event_id, ts, avg(CAST(composite * (confidence - 0.5) > 0 AS INT)) OVER f AS acc, avg(power(composite - (confidence - 0.5), 2)) OVER f AS loss FROM x WINDOW f AS (ORDER BY ts, event_id ROWS BETWEEN 20 PRECEDING AND CURRENT ROW)) SELECT event_id, round(acc, 6) AS accuracy, round(loss, 6) AS loss FROM y""")
 def rolling_accuracy(spark, d):
     x = T.decisions(spark, d).select("event_id", "ts", F.col("composite").alias("pred"), (F.col("confidence") - 0.5).alias("actual"))
     return Y.rolling_accuracy(x, ["ts", "event_id"]).select("event_id", r6(F.col("accuracy")).alias("accuracy"), r6(F.col("loss")).alias("loss"))
@@ -277,7 +276,7 @@ def ttl_buckets(spark, d):
 
 
 @query("P6 P7", FQ + """, nw AS (SELECT max(epoch(forecast_ts)) AS now FROM forecasts), x AS (SELECT id, resolved_outcome0, forecast_ts, id % 6 AS attempts, CASE WHEN k % 3 <> 0 THEN epoch(forecast_ts) + ttl_hours * 3600 END AS due, epoch(forecast_ts) + 60 * k AS next_poll FROM forecasts),
-p AS (SELECT * FROM x, nw WHERE resolved_outcome0 IS NULL AND next_poll <= now AND (due IS NULL OR due <= now + 21600) ORDER BY due NULLS LAST, forecast_ts, id LIMIT 200)
+p AS (SELECT * FROM x, nw WHERE resolved_outcome0 IS NULL AND next_poll <= now AND (due IS NULL OR due <= now + 21600))
 SELECT id, round(due, 4) AS due, CASE WHEN attempts >= 4 THEN 3600 WHEN attempts = 3 THEN 960 WHEN attempts = 2 THEN 480 WHEN attempts = 1 THEN 240 ELSE 120 END AS retry_sec FROM p""")
 def pending_forecasts(spark, d):
     f = T.forecasts(spark, d)

@@ -165,12 +165,12 @@ def pair_spread(spark, d):
 
 @query("A52 J6", PAIRS + f""", lst AS (SELECT * FROM pz QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY ts DESC) = 1)
 SELECT a, b, round(z, 6) AS z, round(corr, 6) AS corr, (abs(z) - 0.1) > 0 AND (abs(z) - 0.1) * sd > 1.5 * 4 * 0.0001 AS cost_ok
-FROM lst WHERE corr >= -0.5 AND abs(z) >= 0.2 ORDER BY abs(z) DESC, a, b LIMIT 8""")
+FROM lst WHERE corr >= -0.5 AND abs(z) >= 0.2""")
 def pairs_table(spark, d):
     x = spread(T.candles(spark, d))
     last = x.groupBy("a", "b").agg(F.max_by(F.struct("z", "corr", "sd"), "ts").alias("l")).select("a", "b", "l.*")
     gap = F.abs("z") - 0.1
-    return (last.where((F.col("corr") >= -0.5) & (F.abs("z") >= 0.2)).orderBy(F.abs("z").desc(), "a", "b").limit(8)
+    return (last.where((F.col("corr") >= -0.5) & (F.abs("z") >= 0.2))
             .select("a", "b", r6(F.col("z")).alias("z"), r6(F.col("corr")).alias("corr"),
                     ((gap > 0) & (gap * F.col("sd") > 1.5 * 4 * 0.0001)).alias("cost_ok")))
 

@@ -244,15 +244,14 @@ def reconcile_orders(spark, d):
 
 
 @query("J10", FL + """, p AS (SELECT intent_id, avg(price) AS paper, max(ts) AS ts FROM fills WHERE l_linenumber <= 4 GROUP BY 1), s AS (SELECT intent_id, avg(price) AS shadow FROM fills WHERE l_linenumber > 3 GROUP BY 1),
-j AS (SELECT intent_id, abs(shadow - paper) / paper * 1e4 AS bps, ts FROM p JOIN s USING (intent_id) ORDER BY ts DESC, intent_id DESC LIMIT 200)
+j AS (SELECT intent_id, abs(shadow - paper) / paper * 1e4 AS bps, ts FROM p JOIN s USING (intent_id))
 SELECT count(*) AS n, round(avg(bps), 4) AS avg_bps, round(max(bps), 4) AS max_bps FROM j""")
 def fill_divergence(spark, d):
     f = T.fills(spark, d)
     p = f.where("l_linenumber <= 4").groupBy("intent_id").agg(F.avg("price").alias("paper"), F.max("ts").alias("ts"))
     s = f.where("l_linenumber > 3").groupBy("intent_id").agg(F.avg("price").alias("shadow"))
     x = p.join(s, "intent_id").withColumn("bps", F.abs(F.col("shadow") - F.col("paper")) / F.col("paper") * 1e4)
-    last = x.orderBy(F.desc("ts"), F.desc("intent_id")).limit(200)
-    return last.agg(F.count(F.lit(1)).alias("n"), r6(F.avg("bps"), 4).alias("avg_bps"), r6(F.max("bps"), 4).alias("max_bps"))
+    return x.agg(F.count(F.lit(1)).alias("n"), r6(F.avg("bps"), 4).alias("avg_bps"), r6(F.max("bps"), 4).alias("max_bps"))
 
 
 @query("A43", """WITH e AS (SELECT user_id || '-' || (event_id // 3) AS event_id, ts, event_type AS sleeve, value - 50 AS amount, event_id AS seq FROM events),

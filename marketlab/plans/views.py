@@ -27,7 +27,7 @@ VIEWS = {
     "decisions": ((), f"""SELECT event_id, ts + to_seconds(60 + {K}) AS ts, event_type AS product, {K} / 50 - 1 AS composite,
         {K} / 100 AS confidence, CASE WHEN event_id % 5 = 1 THEN 'enter' ELSE 'skip' END AS action
         FROM events"""),
-    "docs": ((), """SELECT doc_id, source, substring(text, 1, 200) AS title, text AS body,
+    "docs": ((), """SELECT doc_id, source, split_part(text, chr(10), 1) AS title, text AS body,
         TIMESTAMP '2024-01-01' + to_minutes(CAST(doc_id AS INT)) AS ts, lang AS kind
         FROM documents"""),
     "fills": ((), """SELECT l_orderkey AS intent_id,

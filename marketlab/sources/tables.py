@@ -88,9 +88,9 @@ def decisions(spark, d) -> DataFrame:
 
 
 def docs(spark, d) -> DataFrame:
-    """Documents with their whole text as the body; the title is the first 200 characters."""
+    """Documents with their whole text as the body; the title is its first line."""
     return load(spark, d, "documents").select(
-        "doc_id", "source", F.substring("text", 1, 200).alias("title"), F.col("text").alias("body"),
+        "doc_id", "source", F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"), F.col("text").alias("body"),
         F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 60).alias("ts"),
         F.col("lang").alias("kind"))
 

@@ -171,7 +171,7 @@ def test_hot_and_cold_orders_agree(spark):
         f.append((k, f"x{r.randrange(0, 80)}", T0 + dt.timedelta(minutes=17 * i), float(r.randrange(1, 5)), r.uniform(9, 11), 0.1))
     fills = spark.createDataFrame(f, "intent_id int, exec_id string, ts timestamp, qty double, price double, fee double")
     orders = spark.createDataFrame([(k, 20.0) for k in range(1, 9)], "intent_id int, order_qty double")
-    a, b = ({x["intent_id"]: x for x in G.order_vwap(fills, orders, ["ts"], hot_rows=h).collect()} for h in (3, 10 ** 6))
+    a, b = ({x["intent_id"]: x for x in G.order_vwap(fills, orders, ["ts"], rows=h).collect()} for h in (3, 10 ** 6))
     assert a.keys() == b.keys()
     for k in a:
         seen, qty, val, n = set(), 0.0, 0.0, 0
