@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -96,23 +97,48 @@ def mutual_info(pairs: DataFrame, x: str, y: str, bins: int = 6) -> DataFrame:
         "mutual_info", F.when(F.col("n") >= 8, F.col("mutual_info")).otherwise(0.0))
 
 
-def permutation_pvalue(pairs: DataFrame, sig: str, ret: str, row_id: str, n_perm: int = 2000, seed: int = 0) -> DataFrame:
+#: Rounds and modulus (2^31 - 1) of the shuffle below; 12 rounds mix well enough for a p-value.
+SHUFFLE_ROUNDS, SHUFFLE_MOD = 12, 2147483647
+
+
+def shuffled_place(i: np.ndarray, n: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Places of the rows `i` of `n` in the shuffles `b`: a bijection of 0 .. n - 1 by swap-or-not rounds.
+
+    Each round pairs a place with its mirror image about a round key and swaps both or neither, by the parity of a square
+    modulo a prime taken at the larger of the two: integer arithmetic that any engine repeats.
+    """
+    x = i.astype(np.int64)
+    for r in range(1, SHUFFLE_ROUNDS + 1):
+        key = ((b * 7919 + r * 104729 + 12345) * 48271) % SHUFFLE_MOD
+        mate = (key - x) % n
+        h = (np.maximum(x, mate) + (b * 15485863 + r * 32452843) % SHUFFLE_MOD) % SHUFFLE_MOD
+        x = np.where((h * h) % SHUFFLE_MOD % 2 == 1, mate, x)
+    return x
+
+
+def permutation_pvalue(pairs: DataFrame, sig: str, ret: str, row_id: str, n_perm: int = 2000) -> DataFrame:
     """Share of random shuffles whose |rank IC| reaches the observed one.
 
-    Replicate b orders the rows by a hash of (seed, b, row) and pairs position j with row j: positions
-    come from `row_index` over hash slices, correlations are combined map-side.
+    Rows are numbered once, by a hash of their id; replicate b pairs row i with row `shuffled_place(i, n, b)`. Ranks keep their mean and variance
+    under a shuffle, so a replicate needs only the sum of products, which tasks combine before the exchange: nothing is sorted
+    a replicate.
     """
     pairs = pin(pairs.select(row_id, sig, ret))
-    x = average_ranks(average_ranks(pairs, sig, (), "_rs"), ret, (), "_rr")
-    x = x.withColumn("_h", F.xxhash64(F.lit(seed), row_id)).withColumn("_s", F.shiftright("_h", 54))
-    rows = pin(row_index(x, ["_h", row_id], (), ["_s"], "_i").select(row_id, "_i", "_rs", "_rr"))
-    obs = rows.agg(F.abs(correlation(F.col("_rs"), F.col("_rr"))).alias("ic"), F.count(F.lit(1)).alias("n"))
-    reps = rows.select(row_id, "_rs", F.explode(F.sequence(F.lit(1), F.lit(n_perm))).alias("b"))
-    reps = reps.withColumn("_h", F.xxhash64(F.lit(seed), "b", row_id)).withColumn("_s", F.shiftright("_h", 58))
-    reps = row_index(reps, ["_h", row_id], ["b"], ["_s"], "_i").select("b", "_i", "_rs")
-    ics = reps.join(rows.select("_i", "_rr"), "_i").groupBy("b").agg(F.abs(correlation(F.col("_rs"), F.col("_rr"))).alias("_ic"))
-    hits = ics.crossJoin(F.broadcast(obs)).agg(F.first("ic").alias("ic"), F.first("n").alias("n"),
-                                               F.sum((F.col("_ic") >= F.col("ic") - 1e-12).cast("int")).alias("_hits"))
+    x = average_ranks(average_ranks(pairs, sig, (), "_rs"), ret, (), "_rr").withColumn("_h", F.md5(F.col(row_id).cast("string")))
+    x = x.withColumn("_s", F.substring("_h", 1, 3))
+    rows = pin(row_index(x, ["_h", row_id], (), ["_s"], "_i").select((F.col("_i") - 1).alias("_i"), "_rs", "_rr"))
+    obs = rows.agg(F.abs(correlation(F.col("_rs"), F.col("_rr"))).alias("ic"), F.count(F.lit(1)).alias("n"), F.avg("_rs").alias("_ms"), F.avg("_rr").alias("_mr"),
+                   F.stddev_pop("_rs").alias("_ds"), F.stddev_pop("_rr").alias("_dr"))
+    one = rows.crossJoin(F.broadcast(obs)).select("_i", "n", (F.col("_rs") - F.col("_ms")).alias("_x"))
+    # eight replicates at a time, so the work of few rows is many tasks
+    reps = one.withColumn("_g", F.explode(F.sequence(F.lit(0), F.lit((n_perm - 1) // 8)))).repartition("_g")
+    reps = reps.withColumn("b", F.explode(F.sequence(8 * F.col("_g") + 1, F.least(8 * F.col("_g") + 8, F.lit(n_perm)))))
+    place = F.pandas_udf(lambda i, n, b: pd.Series(shuffled_place(i.to_numpy(), n.to_numpy(), b.to_numpy().astype(np.int64))), "long")
+    reps = reps.select("b", "_x", place("_i", "n", "b").alias("_j"))
+    mates = rows.select(F.col("_i").alias("_j"), F.col("_rr").alias("_y"))
+    sums = reps.join(mates.hint("shuffle_hash"), "_j").groupBy("b").agg(F.sum(F.col("_x") * F.col("_y")).alias("_xy"))
+    ic = F.when((F.col("_ds") > 1e-15) & (F.col("_dr") > 1e-15), F.abs(F.col("_xy") / F.col("n") / (F.col("_ds") * F.col("_dr")))).otherwise(0.0)
+    hits = obs.join(sums, F.lit(True), "left").groupBy("ic", "n").agg(F.sum((ic >= F.col("ic") - 1e-9).cast("int")).alias("_hits"))
     p = F.when((F.col("ic") == 0) | (F.col("n") < 4), 1.0).otherwise((F.col("_hits") + 1) / (n_perm + 1))
     return hits.select("ic", p.alias("p_value"), "n")
 

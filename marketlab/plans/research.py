@@ -68,7 +68,21 @@ def mutual_info(spark, d):
     return Y.mutual_info(aligned(spark, d), "lean", "ret").select("n", r6(F.col("mutual_info")).alias("mutual_info"))
 
 
-@query("A33")
+def shuffle_sql(src, reps):
+    """DuckDB: observed |ic| and share of shuffles of `src` (asset, ts, rs, rr) that reach it, as `study.permutation_pvalue` has them."""
+    m = Y.SHUFFLE_MOD
+    key = f"((b * 7919 + r * 104729 + 12345) * 48271) % {m}"
+    mate = f"((({key} - x) % n) + n) % n"
+    h = f"((greatest(x, {mate}) + (b * 15485863 + r * 32452843) % {m}) % {m})"
+    return f""", pi AS (SELECT row_number() OVER (ORDER BY md5(asset || '|' || CAST(CAST(epoch(ts) AS BIGINT) AS VARCHAR)), asset || '|' || CAST(CAST(epoch(ts) AS BIGINT) AS VARCHAR)) - 1 AS i, count(*) OVER () AS n, rs, rr FROM {src}),
+po AS (SELECT abs(corr(rs, rr)) AS ic, count(*) AS n, avg(rs) AS ms, stddev_pop(rs) * stddev_pop(rr) AS dd FROM pi),
+pj AS (SELECT b, rs, list_reduce(list_prepend(i, range(1, {Y.SHUFFLE_ROUNDS + 1})), lambda x, r: CASE WHEN (({h} * {h}) % {m}) % 2 = 1 THEN {mate} ELSE x END) AS j FROM pi, (SELECT unnest(range(1, {reps + 1})) AS b)),
+pb AS (SELECT b, sum((pj.rs - ms) * pi.rr) AS xy FROM pj JOIN pi ON j = i, po GROUP BY 1),
+pv AS (SELECT any_value(ic) AS ic, any_value(n) AS n, (sum(CAST(abs(xy / n / dd) >= ic - 1e-9 AS INT)) + 1) / ({reps} + 1) AS p FROM pb, po)
+"""
+
+
+@query("A33", PAIRS + ranks_sql("") + shuffle_sql("rk", 100) + "SELECT round(ic, 6) AS abs_ic, round(p, 6) AS p_value, n FROM pv")
 def permutation_pvalue(spark, d):
     p = aligned(spark, d).withColumn("row_id", F.concat_ws("|", "asset", F.unix_seconds("ts")))
     return Y.permutation_pvalue(p, "lean", "ret", "row_id", 100).select(r6(F.col("ic")).alias("abs_ic"), r6(F.col("p_value")).alias("p_value"), "n")

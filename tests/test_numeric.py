@@ -208,3 +208,17 @@ def test_recent_mean_weighs_every_row(spark):
     got = recent_mean(rows, ["k"], ["id"], "v", 0.01, chunks=["piece"]).first()
     assert got["n"] == 2000 and abs(got["mean"] - mean) < 1e-9
     assert abs(recent_mean(rows.withColumn("v", rows.v * 0 + 1), ["k"], ["id"], "v", 0.01).first()["mean"] - 1) < 1e-9
+
+
+def test_shuffles_are_bijections_and_differ():
+    import numpy as np
+    for n in (1, 2, 3, 10, 997):
+        seen = set()
+        for b in range(1, 30):
+            p = Y.shuffled_place(np.arange(n), np.full(n, n), np.full(n, b))
+            assert sorted(p.tolist()) == list(range(n))
+            seen.add(tuple(p.tolist()))
+        assert len(seen) > (25 if n > 9 else 0)
+    sums = [int((np.arange(500) * Y.shuffled_place(np.arange(500), np.full(500, 500), np.full(500, b))).sum()) for b in range(300)]
+    want, sd = 500 * 249.5 ** 2, 500 * (500 ** 2 - 1) / 12 / 499 ** 0.5
+    assert abs(np.mean(sums) - want) < sd / 4 and 0.85 < np.std(sums) / sd < 1.15
