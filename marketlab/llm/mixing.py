@@ -79,12 +79,11 @@ def op6(spark, d):
 
 
 def stage(spark, docs: DataFrame, d: str) -> DataFrame:
-    """The mix of `docs`: each row as often as it is taken."""
-    from marketlab.llm.neardup import key
-
-    docs = docs.withColumn("_key", key())
-    plan = written(sampled(docs.select("doc_id", "_key", "source", word_count("text").alias("size"))).select("_key", "doc_id", "copies"))
+    """The mix of `docs`: each row as often as it is taken. Rows equal in all columns are interchangeable, others are taken by themselves."""
+    cols = [F.col(c) for c in docs.columns]
+    docs = docs.withColumn("_key", F.xxhash64(*cols, *[c.isNull() for c in cols]))
+    plan = written(sampled(docs.select("doc_id", "_key", "source", word_count("text").alias("size"))).select("_key", "copies"))
     taken = plan.groupBy("_key").agg(F.sum("copies").alias("copies")).where("copies > 0")
-    one = docs.dropDuplicates(["_key", "source"])
+    one = docs.dropDuplicates(["_key"])
     return one.join(taken, "_key").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(
         *[c for c in docs.columns if c != "_key"])
