@@ -43,8 +43,10 @@ def test_text_helpers(spark):
 
 def test_feed_items(spark):
     feed = "<rss>" + "".join(f"<item><title><![CDATA[Headline number {i} &amp; more]]></title></item>" for i in range(40)) + "<item><title>tiny</title></item></rss>"
-    x = D.feed_items(spark.createDataFrame([(1, feed)], "id int, body string"), "body")
-    assert x.count() == 30 and x.orderBy("item_no").first()["title"] == "Headline number 0 & more"
+    pages = spark.createDataFrame([(1, feed)], "id int, body string")
+    assert D.feed_items(pages, "body", limit=30).count() == 30
+    x = D.feed_items(pages, "body")
+    assert x.count() == 40 and x.orderBy("item_no").first()["title"] == "Headline number 0 & more"
 
 
 def test_bars_and_signals_from_files(spark, tmp_path):
