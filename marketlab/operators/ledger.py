@@ -287,15 +287,19 @@ def decimate(df: DataFrame, order, points: int = 800, chunks=()) -> DataFrame:
 def order_vwap(fills: DataFrame, orders: DataFrame, arrival: Sequence[str], ts: str = "ts", rows: int = SLICE_ROWS) -> DataFrame:
     """Fills once per exec_id, ignored after the order is full; VWAP, fees and status.
 
-    `orders` has intent_id and order_qty; `arrival` starts with `ts`. Repeats go by a map-side combined aggregate; the time line
-    of an order with more than `rows` fills is cut into slices.
+    `orders` has intent_id and order_qty; `arrival` starts with `ts`. The time line of an order with more than `rows` fills is cut
+    into slices, each led by what the slices before it hold.
     """
-    cols = [c for c in fills.columns if c not in ("intent_id", "exec_id")]
-    once = fills.groupBy("intent_id", "exec_id").agg(F.min_by(F.struct(*cols), F.struct(*arrival)).alias("_f")).select("intent_id", "exec_id", "_f.*")
+    first = F.row_number().over(W.partitionBy("intent_id", "exec_id").orderBy(*arrival))
+    once = fills.withColumn("_nth", first).where("_nth = 1").drop("_nth")
     bounds = time_slices(fills.select("intent_id", micros(ts).alias("_at")), ["intent_id"], rows)
-    once = once.join(F.broadcast(bounds), _same(["intent_id"]), "left").withColumn("_slice", _slice_of(micros(ts))).drop("_bounds", "_h0")
-    x = running(once, [*arrival, "exec_id"], [Run("_before", "sum", "qty", strict=True)], ["intent_id"], ["_slice"]).drop("_slice")
-    x = x.join(orders, "intent_id")
+    once = once.join(F.broadcast(bounds), _same(["intent_id"]), "left").withColumn("_slice", _slice_of(micros(ts)))
+    totals = once.where(F.col("_bounds").isNotNull()).groupBy("intent_id", "_slice").agg(F.sum("qty").alias("_q"))
+    ahead = F.sum("_q").over(W.partitionBy("intent_id").orderBy("_slice").rowsBetween(W.unboundedPreceding, -1))
+    lead = totals.select("intent_id", "_slice", F.lit(0).alias("_own"), ahead.alias("_q"))
+    line = once.drop("_bounds", "_h0").withColumns({"_own": F.lit(1), "_q": F.col("qty")}).unionByName(lead, allowMissingColumns=True)
+    way = W.partitionBy("intent_id", "_slice").orderBy("_own", *arrival, "exec_id").rowsBetween(W.unboundedPreceding, -1)
+    x = line.withColumn("_before", F.sum("_q").over(way)).where("_own = 1").drop("_own", "_q", "_slice").join(orders, "intent_id")
     x = x.where(F.coalesce("_before", F.lit(0.0)) + 1e-12 < F.col("order_qty"))
     g = x.groupBy("intent_id").agg(F.sum("qty").alias("filled_qty"), (F.sum(F.col("qty") * F.col("price")) / F.sum("qty")).alias("vwap"),
                                    F.sum("fee").alias("fees"), F.first("order_qty").alias("order_qty"), F.count(F.lit(1)).alias("n_fills"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from marketlab.functions.mathx import psi_term
 from marketlab.operators.folds import fold_rows
+from marketlab.operators.joins import _same, _slice_of, time_slices
 from marketlab.operators.scans import Run, pin, row_index, running, trailing_chunks
 from marketlab.operators.slices import FOLD_ROWS, page_hinkley_jump, page_hinkley_replay, sliced_fold
 
@@ -26,21 +27,18 @@ def net_lean(positions: DataFrame, rank_decay: float = 1.0, use_score: bool = Fa
     return g.where(F.col("_d") > 0).select(*keys, (F.col("_n") / F.col("_d")).alias("lean"))
 
 
-SLICE_VALUES, FINEST = 200_000, 1024
+SLICE_VALUES = 200_000
 
 
 def value_slices(counts: DataFrame, col: str, keys: Sequence[str], rows: int = SLICE_VALUES) -> DataFrame:
-    """Adds `_s`, a slice number that never decreases with the value, with about `rows` distinct values in each however skewed they are:
-    bounds come from a mergeable quantile sketch, their number from the count; exactness does not depend on them."""
-    keys = list(keys)
-    cuts = [i / FINEST for i in range(1, FINEST)]
-    step = F.greatest(F.lit(1), F.floor(F.lit(FINEST * rows) / F.col("_n"))).cast("int")
-    sketch = counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx(col, cuts, 20_000).alias("_q"))
-    sketch = sketch.select(*keys, F.filter("_q", lambda q, i: (i + 1) % step == 0).alias("_q"))
-    x = counts.join(sketch, keys) if keys else counts.crossJoin(F.broadcast(sketch))
-    steps = F.array(*[F.lit(FINEST >> k) for k in range(1, FINEST.bit_length())])
-    at = F.aggregate(steps, F.lit(0), lambda lo, s: F.when((lo + s <= F.size("_q")) & (F.get(F.col("_q"), lo + s - 1) <= F.col(col)), lo + s).otherwise(lo))
-    return x.withColumn("_s", at).drop("_q")
+    """Adds `_s`, a slice number that never decreases with the value, with about `rows` distinct values in each however skewed they are.
+
+    Bounds come from a mergeable quantile sketch of the keys with more values than that, their number from the count;
+    exactness does not depend on them.
+    """
+    bounds = time_slices(counts.select(*keys, F.col(col).alias("_at")), keys, rows)
+    x = counts.join(F.broadcast(bounds), _same(keys), "left").withColumn("_s", _slice_of(F.col(col)))
+    return x.drop("_bounds", *[f"_h{i}" for i in range(len(keys))])
 
 
 def average_ranks(df: DataFrame, col: str, keys: Sequence[str], name: str) -> DataFrame:
@@ -202,7 +200,17 @@ def psi_against(counted: DataFrame, cur: DataFrame, feature: str, value: str, bi
 def psi(ref: DataFrame, cur: DataFrame, feature: str, value: str, bins: int = 8, threshold: float = 0.25) -> DataFrame:
     """Population stability index per feature over the reference range; the last bin is open-ended,
     values below the range are dropped."""
-    return psi_against(psi_reference(ref, feature, value, bins), cur, feature, value, bins, threshold)
+    lim = ref.groupBy(feature).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count(F.lit(1)).alias("_nr"))
+    nc = cur.groupBy(feature).agg(F.count(F.lit(1)).alias("_nc"))
+    both = ref.select(feature, value, F.lit(1).alias("_ref")).unionByName(cur.select(feature, value, F.lit(0).alias("_ref")))
+    x = both.join(lim, feature).where(F.col(value) >= F.col("_lo"))
+    b = F.least(F.lit(bins - 1), F.floor((F.col(value) - F.col("_lo")) / F.greatest((F.col("_hi") - F.col("_lo")) / bins, F.lit(1e-300))))
+    h = x.groupBy(feature, b.alias("_b")).agg(F.sum("_ref").alias("_r"), F.sum(1 - F.col("_ref")).alias("_c"))
+    grid = lim.join(nc, feature).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    g = grid.join(h, [feature, "_b"], "left")
+    t = psi_term(F.coalesce("_r", F.lit(0)) / F.col("_nr"), F.coalesce("_c", F.lit(0)) / F.col("_nc"))
+    out = g.groupBy(feature).agg(F.when(F.max(F.col("_hi") - F.col("_lo")) < 1e-12, 0.0).otherwise(F.sum(t)).alias("psi"))
+    return out.withColumn("drifting", F.col("psi") > threshold)
 
 
 def rank_quantile(df: DataFrame, keys: Sequence[str], value: str, q: Column, name: str = "q") -> DataFrame:
