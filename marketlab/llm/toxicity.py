@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketlab.llm.common import load, query, written
+from marketlab.llm.common import load, lowest, query, written
 from marketlab.llm.neardup import one_permutation
 from marketlab.llm.similar import band_hashes
 from marketlab.llm.words import SET_MASK, U, Words, blocks, mix
@@ -197,9 +197,9 @@ def _bands(batches):
             wide = np.where(t.n > 5, bands.shape[1], 1)
             bands[short, 0] = mix(whole, 99).view(bands.dtype)
             keep = np.arange(bands.shape[1])[None] < wide[:, None]
-            yield pa.RecordBatch.from_arrays([*(b[c].slice(block.first, block.rows) for c in ("clean", "r")),
+            yield pa.RecordBatch.from_arrays([*(b[c].slice(block.first, block.rows) for c in ("doc_id", "r")),
                                               pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(wide)), pa.int32()), pa.array(bands[keep].view(np.int64)))],
-                                             names=["clean", "r", "bands"])
+                                             names=["doc_id", "r", "bands"])
 
 
 def _frequencies(batches):
@@ -216,12 +216,21 @@ def _frequencies(batches):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(word), k, np.int32)), pa.array(word.view(np.int64)), pa.array(a), pa.array(c)], names=["k", "term", "a", "c"])
 
 
-def distinct(rows: DataFrame) -> DataFrame:
-    """The rows (clean, r, text) without near copies: of rows that share a key the first by label, toxic before clean, and hash."""
-    keys = written(rows.mapInArrow(_bands, "clean int, r long, bands array<long>")).select("clean", "r", F.explode("bands").alias("band"))
+def distinct(docs: DataFrame, marks: DataFrame) -> tuple[DataFrame, dict[int, int]]:
+    """The rows (clean, r, text) of the marked documents without near copies, and the rows of each label before that.
+
+    Of rows that share a key the first by label, toxic before clean, and hash stays. Keys find the survivors, so the texts are
+    exchanged once; that join sorts both sides at every size, as it must beyond the size of a broadcast.
+    """
+    docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("r"))
+    signed = docs.mapInArrow(_bands, "doc_id long, r long, bands array<long>")
+    signed = written(signed.join(marks, "doc_id").select((1 - F.col("toxic")).alias("clean"), "r", "bands"))
+    count = {1 - r["clean"]: r["count"] for r in signed.groupBy("clean").count().collect()}
+    keys = signed.select("clean", "r", F.explode("bands").alias("band"))
     heads = keys.groupBy("band").agg(F.min(F.struct("clean", "r")).alias("head"))
     later = keys.join(heads, "band").where(F.struct("clean", "r") > F.col("head")).select("r").distinct()
-    return written(rows.join(later, "r", "left_anti").dropDuplicates(["r"]))
+    first = signed.select("clean", "r").distinct().join(later, "r", "left_anti")
+    return written(docs.select("r", "text").join(first.hint("merge"), "r").dropDuplicates(["r"])), count
 
 
 def offending(rows: DataFrame, n1: int, n0: int) -> list[np.ndarray]:
@@ -238,12 +247,9 @@ def offending(rows: DataFrame, n1: int, n0: int) -> list[np.ndarray]:
 def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """A model of the labelled rows that are not held out: terms marked over all of them, a chain fitted to the bounded sample in one task."""
     marks = labels.where(F.col("toxic").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    rows = written(docs.where("not held_out").join(marks, "doc_id").select(
-        (1 - F.col("toxic")).alias("clean"), F.xxhash64("doc_id", "text").alias("r"), "text"))
-    count = {1 - r["clean"]: r["count"] for r in rows.groupBy("clean").count().collect()}
+    rows, count = distinct(docs.where("not held_out"), marks)
     if set(count) != {0, 1}:
         return Model()
-    rows = distinct(rows)
     once = {1 - r["clean"]: r["count"] for r in rows.groupBy("clean").count().collect()}
     if set(once) != {0, 1}:
         return Model()
@@ -254,12 +260,12 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     def fit(batches):
         parts = [b for b in batches if b.num_rows]
         if parts:
-            table = pa.Table.from_batches(parts)
+            table = pa.Table.from_batches(parts).sort_by([("clean", "ascending"), ("r", "ascending")])
             model = Model().fit([t or "" for t in table["text"].to_pylist()], 1 - table["clean"].to_numpy(), terms, odds)
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
-    some = [rows.where(F.col("clean") == 1 - v).orderBy("r").limit(sample).select("text", "clean") for v in (1, 0)]
-    return pickle.loads(some[0].unionByName(some[1]).coalesce(1).mapInArrow(fit, "model binary").first()["model"])
+    some = [lowest(rows.where(F.col("clean") == 1 - v), "r", sample).select("text", "clean", "r") for v in (1, 0)]
+    return pickle.loads(some[0].unionByName(some[1]).repartition(1).mapInArrow(fit, "model binary").first()["model"])
 
 
 def scored(docs: DataFrame, labels: DataFrame, held_out, sample: int = SAMPLE) -> DataFrame:
