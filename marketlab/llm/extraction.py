@@ -1,7 +1,7 @@
 """Operator 5: main text of html pages by a linear-chain conditional random field over DOM leaf blocks.
 
 A page is cut into leaf blocks: the text between two tags of block elements, with the chain of its open elements. Scripts, styles,
-comments and the like hold no text. Features of a block are its ancestors' tags, the telling parts of their class, id and role names, and
+comments, drawings, option lists and the like hold no text; what media elements show in their stead is text of their block. Features of a block are its ancestors' tags, the telling parts of their class, id and role names, and
 its text: length, share of linked text, closing mark, place on the page. Two labels, main text or not; trained on labelled pages, decoded by
 Viterbi. The labelled pages are made up by `labelled_pages` (a few layouts with varied furniture, known labels) and, in `trained`,
 joined by a bounded sample of the table's own pages whose markup names the article, with words of that table.
@@ -14,58 +14,71 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketlab.llm.common import load, query
+from marketlab.llm.common import load, lowest, query
 
 SAMPLE, EPOCHS = 300, 4
-SILENT = {"script", "style", "noscript", "template", "svg", "iframe", "object", "canvas", "textarea", "title", "head", "select", "audio", "video"}
+SILENT = {"script", "style", "noscript", "template", "svg", "iframe", "textarea", "title", "head", "select"}
 IN_HEAD = {"base", "basefont", "bgsound", "head", "link", "meta", "noscript", "script", "style", "template", "title"}
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label",
-          "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img"}
+          "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img",
+          "object", "audio", "video", "canvas"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 ENDS_P = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header",
           "hr", "main", "nav", "ol", "pre", "section", "table", "ul"}
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|([^<]+|<)", re.S)
+#: Silent elements and what can't stand in them, so ends them where their end tag is missing.
+OUTSIDE = {"svg": ENDS_P | {"body", "p", "li", "dt", "dd"}, "select": {"article", "body", "main", "section", "p"}}
+TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|([^<]+|<)", re.S)
 NAMES = re.compile(r"(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 WORD = re.compile(r"[a-z]+")
 
 
 def leaf_blocks(page: str) -> list[tuple[str, frozenset, int]]:
-    """(text, marks of the open elements, characters inside links) of each leaf block, in page order."""
-    stack: list[tuple[str, tuple]] = []
-    out, text, linked, silent, in_link = [], [], 0, 0, 0
-    skip_to, marks = 0, frozenset()
+    """(text, telling marks of the open elements, characters inside links) of each leaf block, in page order.
+
+    The scan goes on behind the end tag of a raw element, so nothing inside one is read as markup. An element without text of
+    its own doesn't cut the block it stands in.
+    """
+    stack: list[tuple[str, list[str]]] = []
+    places: dict[str, list[int]] = defaultdict(list)
+    marks: Counter[str] = Counter()
+    out, text, linked, in_link, pos = [], [], 0, 0, 0
+    hidden: list[int] = []
 
     def close():
         nonlocal linked
         if text:
             own = " ".join(entities.unescape("".join(text)).split())
             if own:
-                out.append((own, marks, linked))
+                out.append((own, frozenset(marks), linked))
             text.clear()
         linked = 0
 
-    def renew():
-        nonlocal marks
-        marks = frozenset(m for _, ms in stack for m in ms)
-
-    for m in TOKEN.finditer(page):
-        if m.start() < skip_to:
-            continue
+    def pop():
+        tag, own = stack.pop()
+        places[tag].pop()
+        if tag in SILENT:
+            hidden.pop()
+        for m in own:
+            marks[m] -= 1
+            if not marks[m]:
+                del marks[m]
+
+    while m := TOKEN.match(page, pos):
+        pos = m.end()
         ending, tag, rest, plain = m.groups()
         if stack and stack[-1][0] == "head" and (plain.strip() if plain is not None else tag and not ending and tag.lower() not in IN_HEAD):
-            stack.pop()
-            silent -= 1
-            renew()
+            pop()
         if plain is not None:
-            if not silent:
+            if not hidden:
                 text.append(plain)
                 if in_link:
                     linked += len(plain.strip())
@@ -75,39 +88,41 @@ def leaf_blocks(page: str) -> list[tuple[str, frozenset, int]]:
         tag = tag.lower()
         if tag in INLINE:
             if tag == "br" or tag == "img":
-                text.append(" ") if not silent else None
-            elif tag == "a":
+                text.append(" ") if not hidden else None
+            elif tag == "a" and not hidden:
                 in_link = 0 if ending else 1
             continue
         if ending:
-            if any(t == tag for t, _ in stack):
-                close()
-                while stack:
-                    t, _ = stack.pop()
-                    silent -= t in SILENT
-                    if t == tag:
-                        break
-                in_link = 0
-                renew()
-            elif tag == "p":
+            if places[tag]:
+                if not hidden or places[tag][-1] < hidden[0]:
+                    close()
+                    in_link = 0
+                for _ in range(len(stack) - places[tag][-1]):
+                    pop()
+            elif tag == "p" and not hidden:
                 close()
             continue
-        close()
-        in_link = 0
+        for holder, others in OUTSIDE.items():
+            while places[holder] and tag in others and not places["foreignobject"]:
+                pop()
+        if not hidden and tag not in SILENT:
+            close()
+            in_link = 0
         ended = CLOSES.get(tag, set()) | ({"p"} if tag in ENDS_P else set())
         while stack and stack[-1][0] in ended:
-            silent -= stack.pop()[0] in SILENT
+            pop()
         if tag in VOID or rest.endswith("/") and tag not in RAW:
-            renew()
             continue
-        names = [n for g in NAMES.findall(rest) for n in WORD.findall("".join(g).lower())] if rest else []
-        stack.append((tag, (tag, *[f".{n}" for n in names])))
-        renew()
+        names = {n for g in NAMES.findall(rest) for n in WORD.findall("".join(g).lower())} & TELLING if rest else ()
+        own = [*({tag} & TAGS), *(f".{n}" for n in names)]
         if tag in SILENT:
-            silent += 1
-            if tag in RAW:
-                end = re.compile(rf"</{tag}\s*>", re.I).search(page, m.end())
-                skip_to = end.start() if end else len(page)
+            hidden.append(len(stack))
+        places[tag].append(len(stack))
+        stack.append((tag, own))
+        marks.update(own)
+        if tag in RAW:
+            end = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, pos)
+            pos = end.start() if end else len(page)
     close()
     return out
 
@@ -130,7 +145,7 @@ def features(blocks: list[tuple[str, frozenset, int]]) -> list[list[int]]:
     for i, (text, marks, linked) in enumerate(blocks):
         own = [FEATURES["always"], FEATURES[f"words:{min(7, (text.count(' ') + 1).bit_length() - 1)}"],
                FEATURES[f"link:{min(3, 4 * linked // max(1, len(text)))}"]]
-        for m in marks:
+        for m in sorted(marks):
             k = FEATURES.get(f"name:{m[1:]}" if m[0] == "." else f"tag:{m}")
             if k is not None:
                 own.append(k)
@@ -256,7 +271,7 @@ def trained(pages: DataFrame, sample: int = SAMPLE) -> Chain:
         blocks = leaf_blocks(page)
         data.append((features(blocks), [int(b[0] in main) for b in blocks]))
     own = pages.where(F.col("html").cast("string").rlike("(?i)<article")).select(F.xxhash64("page_id", "url").alias("h"), "html")
-    for r in own.orderBy("h", "html").limit(sample).collect():
+    for r in lowest(own, "h", sample).orderBy("h", "html").limit(sample).collect():
         blocks = leaf_blocks(r["html"])
         furniture = {"nav", "footer", "aside", "form", ".ad", ".comments", ".comment"}
         data.append((features(blocks), [int("article" in m and not m & furniture) for _, m, _ in blocks]))

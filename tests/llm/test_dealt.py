@@ -3,6 +3,7 @@
 import html
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -11,6 +12,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
+from marketlab.llm.common import lowest
 from marketlab.llm import divergence, extraction, hmm, mixing, multi_index, neardup, packing, paragraphs, similar, toxicity, urls
 from marketlab.llm.words import blocks
 
@@ -279,6 +281,28 @@ def test_pages_without_end_of_head():
     assert texts("<head><template><p>no</p></template><title>T</title></head><p>yes</p>") == ["yes"]
 
 
+def test_markup_inside_raw_and_unclosed_elements():
+    def texts(page):
+        return [x[0] for x in extraction.leaf_blocks(page)]
+    body = "<article><p>Some words in it.</p></article>"
+    for start in ('<script>var s="<!--";</script>', "<title>a <!-- b</title>", "<!-- a > b --!>", "<!--><!--->", "<svg><path d='x'>", "<select><option>a", "<script>a</script foo>",
+                  "<style><!-- p{} </style>", "<textarea><!-- </div></textarea>", "<svg><g><title>t</title></g></svg>"):
+        assert texts("<body>" + start + body) == ["Some words in it."], start
+    assert texts("<p>One <svg><path/></svg>two <script>x()</script>three <canvas>four</canvas> <object><b>five</b></object></p><p>six") == ["One two three four five", "six"]
+    assert texts("<p>a <select><option>b<option>c</select> d</p>") == ["a d"] and texts("<p>a<template><p>b</p></template> c</p>") == ["a c"]
+    assert texts("<svg><foreignObject><p>no</p></foreignObject></svg><p>yes</p><!-- open") == ["yes"]
+
+
+def test_deep_markup_in_linear_time():
+    spent = []
+    for n in (20_000, 80_000):
+        t = time.perf_counter()
+        page = "".join(f"<div class='content x{i}'>" for i in range(n)) + "text" + "</div>" * n + "<p>end"
+        assert [b[0] for b in extraction.leaf_blocks(page)] == ["text", "end"]
+        spent.append(time.perf_counter() - t)
+    assert spent[1] < 12 * spent[0] + 1
+
+
 def test_extraction_of_pages(spark):
     want = {}
     for r in spark.read.parquet(f"{D}/pages.parquet").collect():
@@ -358,6 +382,22 @@ def test_tokens_of_stretches_equal_whole_texts():
         assert tokenizer(t) == tokenizer.slow(t)
 
 
+def test_distinct_of_labelled_rows(spark):
+    base = [f"w{i} x{i} y{i} z{i} a{i} b{i} c{i}" for i in range(40)]
+    rows = [(i, t) for i, t in enumerate(base)] + [(0, base[0]), (100, base[1]), (101, base[2]), (102, base[39] + " more"), (103, None), (104, ""), (None, base[3]), (200, "unlabelled")]
+    marks = spark.createDataFrame([(i, i % 2) for i in [*range(40), 100, 101, 102, 103, 104]], "doc_id long, toxic int")
+    rows, count = toxicity.distinct(spark.createDataFrame(rows, "doc_id long, text string"), marks)
+    got = [(r["clean"], r["text"]) for r in rows.collect()]
+    assert count == {0: 20 + 1 + 3, 1: 20 + 2} and (1, base[1]) not in got and (0, base[1]) in got and (1, base[2]) not in got
+    assert set(base[:39]) <= {t for _, t in got} and len(got) == len(set(got))
+    assert all(got.count((0 if i == 2 else 1 - i % 2, base[i])) == 1 for i in range(39)) and "unlabelled" not in {t for _, t in got}
+
+
+def test_lowest(spark):
+    df = spark.createDataFrame([(i % 7, "x" * i) for i in range(50)], "h long, payload string")
+    assert sorted({r["h"] for r in lowest(df, "h", 10).collect()}) == [0, 1] and lowest(df.limit(0), "h", 5).count() == 0 and lowest(df, "h", 99).count() == 50
+
+
 def test_toxicity(spark, odd, none):
     d = "/root/testdata/sf0.01"
     rows = toxicity.op8(spark, d).collect()
