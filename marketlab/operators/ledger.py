@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marketlab.functions.mathx import wilson
 from marketlab.operators.joins import SLICE_ROWS, _same, _slice_of, asof, time_slices
-from marketlab.operators.scans import DAY, Run, micros, pin, running, seconds, time_chunk, time_pieces
+from marketlab.operators.scans import DAY, Run, micros, pin, row_index, running, seconds, time_chunk, time_pieces
 from marketlab.operators.slices import FOLD_ROWS, reservation_jump, reservation_replay, sliced_fold
 
 YEAR_SEC = 365.25 * 86400
@@ -186,12 +188,59 @@ def is_stop_exit() -> Column:
     return F.lower("exit_reason").rlike("stop|liquidation") & (F.col("pnl") < 0)
 
 
+def window_drops(v: np.ndarray, start: np.ndarray, stop: np.ndarray, frac: float) -> np.ndarray:
+    """Does the running sum of `v[start:stop]`, from 0, ever lose the share `frac` of its peak so far (of 1e-9 at least)?
+
+    With the share fixed a range is four numbers: its sum, best and worst prefix, and most of (1 - frac) * peak - sum. Two
+    neighbours combine without a look at their rows, so ranges of 1, 2, 4, ... rows are tabled one size at a time, and every window adds up the
+    sizes its length is made of: log(rows) passes over arrays for all windows. Beyond the whole peak the largest peak no longer
+    decides, so all windows walk row by row, side by side.
+    """
+    if frac <= 0:
+        return np.ones(len(start), bool)
+    if frac > 1:
+        total, peak, hit = (np.zeros(len(start), kind) for kind in (float, float, bool))
+        for k in range(int((stop - start).max(initial=0))):
+            live = np.flatnonzero(start + k < stop)
+            total[live] += v[start[live] + k]
+            peak = np.maximum(peak, total)
+            hit |= peak - total >= frac * np.maximum(peak, 1e-9)
+        return hit
+    solid = np.flatnonzero(v != 0)
+    nth = np.searchsorted(solid, start)
+    first = np.append(solid, len(v))[nth]
+    alive = first < stop
+    out = np.zeros(len(start), bool)
+    # a loss before any gain is unbounded against the least peak; after a gain the peak stays above 0
+    out[alive] = v[first[alive]] <= -frac * 1e-9
+    todo = np.flatnonzero(alive & ~out)
+    at, left = first[todo], (stop - first)[todo]
+
+    def joined(x, y):
+        (s1, b1, c1, w1), (s2, b2, c2, w2) = x, y
+        return np.stack([s1 + s2, np.maximum(b1, s1 + b2), np.minimum(c1, s1 + c2), np.maximum(np.maximum(w1, (1 - frac) * b1 - s1 - c2), w2 - frac * s1)])
+
+    table, total, begun = np.stack([v, v, v, -frac * v]), np.zeros((4, len(todo))), np.zeros(len(todo), bool)
+    width = 1
+    while len(todo) and width <= left.max():
+        odd = np.flatnonzero(left & width)
+        own = table[:, at[odd]]
+        total[:, odd] = np.where(begun[odd], joined(total[:, odd], own), own)
+        begun[odd] = True
+        at[odd] += width
+        table = joined(table[:, : max(0, table.shape[1] - width)], table[:, width:])
+        width *= 2
+    out[todo] = total[3] >= -1e-9
+    return out
+
+
 def protection_locks(trades: DataFrame, stop_limit=4, stop_look=3600, stop_lock=3600, low_limit=3, low_look=86400,
                      low_required=0.0, low_lock=21600, dd_limit=10, dd_look=43200, dd_frac=0.10, dd_lock=7200) -> DataFrame:
     """Locks in force after each closing time of each product: lock_until and reason, global or per pair.
 
-    A limit of 0 or less switches its lock off. Trades are summed per (product, closing time) first; look-back frames then run on time pieces.
-    The drawdown of a window is read from the cumulative pnl of its closing times.
+    A limit of 0 or less switches its lock off. Trades are summed per (product, closing time) first; look-back frames then run on time pieces
+    of a day (the longest look-back, if that is longer), so a task holds the distinct closing times of two of them. The cumulative pnl
+    of a window's closing times tells whether it lost the share `dd_frac` (`window_drops`).
     """
     base = F.abs(F.col("qty")) * F.col("entry")
     per = trades.groupBy("product", "closed").agg(F.count(F.lit(1)).alias("n"), F.sum("pnl").alias("pnl"), F.sum(base).alias("stake"),
@@ -206,24 +255,25 @@ def protection_locks(trades: DataFrame, stop_limit=4, stop_look=3600, stop_lock=
     ratio = F.when(F.col("_b") > 0, F.col("_p") / F.col("_b")).otherwise(0.0)
     pair = pair.select("product", "closed", "pair_n", ratio.alias("pair_ratio"))
     allp = per.groupBy("closed").agg(F.sum("n").alias("n"), F.sum("pnl").alias("pnl"), F.sum("stops").alias("stops"))
-    g = time_pieces(allp, "closed", max(stop_look, dd_look), 30 * DAY)
-    fs, fd = frame([], stop_look), frame([], dd_look)
-    g = g.withColumns({"stop_n": F.sum("stops").over(fs), "dd_n": F.sum("n").over(fd),
-                       "_pnls": F.collect_list(F.struct(F.unix_seconds("closed").alias("t"), "pnl")).over(fd)}).where(~F.col("_warm"))
-    zero = F.struct(F.lit(0.0).alias("cum"), F.lit(0.0).alias("peak"), F.lit(0.0).alias("worst"))
-
-    def step(a, v):
-        cum = a["cum"] + v["pnl"]
-        peak = F.greatest(a["peak"], cum)
-        return F.struct(cum.alias("cum"), peak.alias("peak"),
-                        F.greatest(a["worst"], (peak - cum) / F.greatest(F.abs(peak), F.lit(1e-9))).alias("worst"))
-
-    g = g.withColumn("dd_worst", F.aggregate(F.array_sort("_pnls"), zero, step, lambda a: a["worst"])).select(
-        "closed", "stop_n", "dd_n", "dd_worst")
-    x = pair.join(g, "closed")
+    g = time_pieces(allp.select(micros("closed").alias("_us"), "closed", "n", "pnl", "stops"), "closed", max(stop_look, dd_look)).drop("closed")
+
+    def looked_back(pdf):
+        pdf = pdf.assign(t=pdf["_us"] // 1_000_000).sort_values(["t", "pnl"], ignore_index=True)
+        t, own = pdf["t"].to_numpy(), ~pdf["_warm"].to_numpy()
+        end = np.searchsorted(t, t[own], side="right")
+
+        def within(column, look):
+            upto = np.concatenate([[0], np.cumsum(pdf[column].to_numpy())])
+            return upto[end] - upto[np.searchsorted(t, t[own] - look)]
+
+        dropped = window_drops(pdf["pnl"].to_numpy(float), np.searchsorted(t, t[own] - dd_look), end, dd_frac)
+        return pd.DataFrame({"_us": pdf["_us"][own], "stop_n": within("stops", stop_look), "dd_n": within("n", dd_look), "dropped": dropped})
+
+    g = g.groupBy("_piece").applyInPandas(looked_back, "_us long, stop_n long, dd_n long, dropped boolean")
+    x = pair.withColumn("_us", micros("closed")).join(g, "_us").drop("_us")
     t = F.unix_seconds("closed")
     stop = F.lit(stop_limit > 0) & (F.col("stop_n") >= stop_limit)
-    dd = F.lit(dd_limit > 0) & (F.col("dd_n") >= dd_limit) & (F.col("dd_worst") >= dd_frac)
+    dd = F.lit(dd_limit > 0) & (F.col("dd_n") >= dd_limit) & F.col("dropped")
     low = F.lit(low_limit > 0) & (F.col("pair_n") >= low_limit) & (F.col("pair_ratio") < low_required)
     return x.withColumns({
         "global_until": F.greatest(F.when(stop, t + stop_lock), F.when(dd, t + dd_lock)),
@@ -257,6 +307,14 @@ def risk_status(marks: DataFrame, kill=0.15, daily=0.05) -> DataFrame:
     return x.withColumn("kill_tripped", (F.col("drawdown") >= kill) & (F.coalesce("_ever", F.lit(0)) == 0)).drop("_ever", "_day")
 
 
+def loss_scale(trades: DataFrame, order, chunks=(), step: float = 0.2, least: float = 0.25) -> DataFrame:
+    """Losses in a row up to each trade (pnl of 0 or less counts as one) and the risk scale they leave."""
+    x = row_index(trades, order, (), chunks, "rn")
+    x = running(x, order, [Run("_won", "max", F.when(F.col("pnl") > 0, F.col("rn")))], (), chunks)
+    x = x.withColumn("consecutive_losses", F.col("rn") - F.coalesce("_won", F.lit(0)))
+    return x.withColumn("risk_scale", F.greatest(F.lit(least), F.least(F.lit(1.0), 1 - step * F.col("consecutive_losses")))).drop("_won")
+
+
 def risk_state(trend: Column, vol: Column, dd: Column, streak: Column) -> Column:
     """Regime x drawdown x loss-streak bucket."""
     return F.concat_ws("/", trend, vol, F.when(dd < 0.03, 0).when(dd < 0.08, 1).otherwise(2),

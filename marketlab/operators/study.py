@@ -213,6 +213,24 @@ def psi(ref: DataFrame, cur: DataFrame, feature: str, value: str, bins: int = 8,
     return out.withColumn("drifting", F.col("psi") > threshold)
 
 
+def drift_check(ref: DataFrame, cur: DataFrame, feature: str, value: str, bins: int = 8, threshold: float = 0.25,
+                least_ref: int = 120, least_cur: int = 80) -> DataFrame:
+    """One row with `ready`, `drifting`, `worst_feature` and `worst_psi`.
+
+    Not ready, so without a finding, while any feature has fewer than `least_ref` reference or `least_cur` current rows; no feature is the worst
+    where every index is 0. Of equal indices the smallest name counts.
+    """
+    counts = [x.groupBy(feature).agg(F.count(F.lit(1)).alias(n)) for x, n in ((ref, "_nr"), (cur, "_nc"))]
+    size = counts[0].join(counts[1], feature, "full_outer").agg(
+        F.coalesce(F.min(F.coalesce("_nr", F.lit(0))), F.lit(0)).alias("_nr"), F.coalesce(F.min(F.coalesce("_nc", F.lit(0))), F.lit(0)).alias("_nc"))
+    found = psi(ref, cur, feature, value, bins, threshold).where("psi > 0").agg(F.min(F.struct(-F.col("psi"), F.col(feature).alias("f"))).alias("_w"))
+    x = size.crossJoin(F.broadcast(found))
+    ready = (F.col("_nr") >= least_ref) & (F.col("_nc") >= least_cur)
+    worst = F.when(ready, -F.col("_w")["col1"])
+    return x.select(ready.alias("ready"), F.coalesce(worst > threshold, F.lit(False)).alias("drifting"), F.when(ready, F.col("_w.f")).alias("worst_feature"),
+                    F.coalesce(worst, F.lit(0.0)).alias("worst_psi"))
+
+
 def rank_quantile(df: DataFrame, keys: Sequence[str], value: str, q: Column, name: str = "q") -> DataFrame:
     """Linearly interpolated quantile at a fraction that may depend on the group (n is column `n`).
 
@@ -247,13 +265,19 @@ def stop_calibration(trades: DataFrame, keys, alpha=0.1, least: int = 30, defaul
     return x.withColumn("stop_mult", mult)
 
 
+def _clamped(c: str) -> Column:
+    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.when(F.col(c).isNotNull(), F.col(c).cast("double"))))
+
+
 def direction_conformal(points: DataFrame, query: DataFrame, key: str, align="align", favored="favored", h: float = 0.30,
-                        alpha: float = 0.1, window: int = 400, order=("ts",)) -> DataFrame:
+                        alpha: float = 0.1, window: int = 400, order=("ts",), least: int = 40) -> DataFrame:
     """Kernel estimate of P(long), conformal prediction set and veto for proposed directions.
 
-    Calibration uses the newest `window` points per key (the reference's rolling set), trimmed per task
-    before the shuffle, so the kernel meets at most window rows per point.
+    Calibration uses the newest `window` labelled points per key (a rolling set), trimmed per task before the shuffle, so the kernel meets at most
+    window rows per point. Alignments are clamped to [-1, 1]; points without one, or with another label than 1 and -1, are left out. Below
+    `least` points, or without an alignment, the gate abstains: both sides are in the set and nothing is vetoed.
     """
+    points = points.where(F.col(align).isNotNull() & F.col(favored).isin(1, -1)).withColumn(align, _clamped(align))
     w = W.partitionBy(key).orderBy(*[F.col(c).desc() for c in order])
     cal = points.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= window).drop("_r")
     cal = cal.groupBy(key).agg(F.collect_list(F.struct(F.col(align).cast("double").alias("a"), F.col(favored).alias("f"))).alias("_cal"))
@@ -266,10 +290,11 @@ def direction_conformal(points: DataFrame, query: DataFrame, key: str, align="al
     pts = cal.select(key, "_cal", F.explode("_cal").alias("_c")).withColumn("_p", p_long(F.col("_c.a")))
     sc = pts.select(key, F.when(F.col("_c.f") == 1, 1 - F.col("_p")).otherwise(F.col("_p")).alias("_score"))
     q = conformal_quantile(sc, [key], "_score", alpha)
-    x = query.join(cal, key).join(q, key).withColumn("p_long", p_long(F.col(align))).drop("_cal")
+    x = query.join(cal, key, "left").join(q, key, "left").withColumn("p_long", p_long(_clamped(align))).drop("_cal")
     thr = 1 - F.col("qhat")
-    x = x.withColumns({"_l": F.col("p_long") >= thr, "_s": (1 - F.col("p_long")) >= thr})
-    both = ~F.col("_l") & ~F.col("_s")
+    x = x.withColumn("ready", F.coalesce(F.col("n") >= least, F.lit(False))).drop("n")
+    x = x.withColumns({"_l": F.coalesce(F.col("p_long") >= thr, F.lit(False)), "_s": F.coalesce((1 - F.col("p_long")) >= thr, F.lit(False))})
+    both = ~F.col("ready") | (~F.col("_l") & ~F.col("_s"))
     x = x.withColumns({"in_long": F.col("_l") | both, "in_short": F.col("_s") | both})
     d = F.col("direction") > 0
     return x.withColumn("veto", F.when(d, ~F.col("in_long") & F.col("in_short")).otherwise(F.col("in_long") & ~F.col("in_short"))).drop("_l", "_s")

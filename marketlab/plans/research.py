@@ -130,15 +130,27 @@ def outcome_model(spark, d):
 FV = with_views("features_long")
 
 
-@query("A38 F14", FV + """, rf AS (SELECT * FROM features_long WHERE label < 5), cu AS (SELECT * FROM features_long WHERE label >= 5), lm AS (SELECT dim, min(value) AS lo, max(value) AS hi, count(*) AS n FROM rf GROUP BY 1), cn AS (SELECT dim, count(*) AS n FROM cu GROUP BY 1),
+PSI = FV + """, rf AS (SELECT * FROM features_long WHERE label < 5), cu AS (SELECT * FROM features_long WHERE label >= 5), lm AS (SELECT dim, min(value) AS lo, max(value) AS hi, count(*) AS n FROM rf GROUP BY 1), cn AS (SELECT dim, count(*) AS n FROM cu GROUP BY 1),
 b AS (SELECT dim, least(7, floor((value - lo) / ((hi - lo) / 8))) AS b, label < 5 AS isref FROM features_long JOIN lm USING (dim) WHERE value >= lo), h AS (SELECT dim, b, sum(CAST(isref AS INT)) AS r, sum(1 - CAST(isref AS INT)) AS c FROM b GROUP BY 1, 2),
 g AS (SELECT lm.dim, i AS b, lm.n AS nr, cn.n AS nc FROM lm JOIN cn USING (dim), range(8) t(i)), t AS (SELECT g.dim, greatest(1e-4, coalesce(r, 0) / nr) AS a, greatest(1e-4, coalesce(c, 0) / nc) AS q FROM g LEFT JOIN h ON g.dim = h.dim AND g.b = h.b)
-SELECT dim, round(sum((q - a) * ln(q / a)), 6) AS psi, sum((q - a) * ln(q / a)) > 0.25 AS drifting FROM t GROUP BY 1""")
+"""
+
+
+@query("A38 F14", PSI + """SELECT dim, round(sum((q - a) * ln(q / a)), 6) AS psi, sum((q - a) * ln(q / a)) > 0.25 AS drifting FROM t GROUP BY 1""")
 def psi_drift(spark, d):
     x = T.features_long(spark, d)
     return Y.psi(x.where("label < 5"), x.where("label >= 5"), "dim", "value").select("dim", r6(F.col("psi")).alias("psi"), "drifting")
 
 
+@query("A38 (worst feature)", PSI + """, p AS (SELECT dim, sum((q - a) * ln(q / a)) AS psi FROM t GROUP BY 1), sz AS (SELECT min(nr) >= 120 AND min(nc) >= 80 AS ready FROM (SELECT lm.n AS nr, cn.n AS nc FROM lm FULL JOIN cn USING (dim))),
+b1 AS (SELECT dim, psi FROM p WHERE psi > 0 ORDER BY psi DESC, dim LIMIT 1)
+SELECT ready, ready AND coalesce(psi, 0) > 0.25 AS drifting, CASE WHEN ready THEN dim END AS worst_feature, round(CASE WHEN ready THEN coalesce(psi, 0) ELSE 0 END, 6) AS worst_psi FROM sz LEFT JOIN b1 ON true""")
+def drift_check(spark, d):
+    x = T.features_long(spark, d)
+    y = Y.drift_check(x.where("label < 5"), x.where("label >= 5"), "dim", "value")
+    return y.select("ready", "drifting", "worst_feature", r6(F.col("worst_psi")).alias("worst_psi"))
+
+
 @query("A39", FV + """, s AS (SELECT label, abs(value) AS v, row_number() OVER (PARTITION BY label ORDER BY abs(value)) - 1 AS i, count(*) OVER (PARTITION BY label) AS n FROM features_long), p AS (SELECT *, least(1, 0.9 * (n + 1) / n) * (n - 1) AS p FROM s)
 SELECT label, any_value(n) AS n, round(max(CASE WHEN i = floor(p) THEN v END) * (1 - (any_value(p) - floor(any_value(p)))) + max(CASE WHEN i = ceil(p) THEN v END) * (any_value(p) - floor(any_value(p))), 6) AS qhat FROM p GROUP BY 1""")
 def conformal_quantile(spark, d):
@@ -161,7 +173,7 @@ DQ = with_views("decisions")
 PL = """(0.5 + sum(CASE WHEN c.f = 1 THEN exp(-power(({a} - c.a) / 0.3, 2)) ELSE 0 END)) / (1 + sum(exp(-power(({a} - c.a) / 0.3, 2))))"""
 
 
-@query("A40", DQ + f""", pt AS (SELECT product, ts, event_id, composite AS a, CASE WHEN confidence > 0.4 THEN 1 ELSE -1 END AS f, CASE WHEN action = 'enter' THEN 1 ELSE -1 END AS direction FROM decisions),
+@query("A40", DQ + f""", pt AS (SELECT product, ts, event_id, greatest(-1, least(1, composite)) AS a, CASE WHEN confidence > 0.4 THEN 1 ELSE -1 END AS f, CASE WHEN action = 'enter' THEN 1 ELSE -1 END AS direction FROM decisions),
 c AS (SELECT * FROM pt QUALIFY row_number() OVER (PARTITION BY product ORDER BY ts DESC, event_id DESC) <= 400),
 cp AS (SELECT x.product, x.event_id, x.f, {PL.format(a='x.a')} AS p FROM c x JOIN c ON c.product = x.product GROUP BY ALL), sc AS (SELECT product, CASE WHEN f = 1 THEN 1 - p ELSE p END AS s FROM cp),
 sr AS (SELECT *, row_number() OVER (PARTITION BY product ORDER BY s) - 1 AS i, count(*) OVER (PARTITION BY product) AS n FROM sc), sp AS (SELECT *, least(1, 0.9 * (n + 1) / n) * (n - 1) AS p FROM sr),

@@ -155,6 +155,14 @@ def risk_status(spark, d):
     return x.select(F.unix_seconds("ts").alias("ts"), r6(F.col("drawdown")).alias("drawdown"), r6(F.col("day_loss")).alias("day_loss"), "halted_today", "kill_tripped")
 
 
+@query("A54 (loss streak)", TR + f""", s AS (SELECT row_number() OVER (ORDER BY {OS}) AS rn, pnl FROM trades),
+t AS (SELECT rn, rn - coalesce(max(CASE WHEN pnl > 0 THEN rn END) OVER (ORDER BY rn), 0) AS consecutive_losses FROM s)
+SELECT rn, consecutive_losses, round(greatest(0.25, 1 - 0.2 * consecutive_losses), 6) AS risk_scale FROM t""")
+def loss_scale(spark, d):
+    x = G.loss_scale(T.trades(spark, d), ORD, T.TRADE_LEVELS)
+    return x.select("rn", "consecutive_losses", r6(F.col("risk_scale")).alias("risk_scale"))
+
+
 @query("A58 P28", EQ + """, s AS (SELECT *, CASE WHEN pnl > 0 THEN 'bull' ELSE 'bear' END || '/' || CASE WHEN n > 1 THEN 'high-vol' ELSE 'normal' END || '/' ||
   CASE WHEN drawdown < 0.03 THEN 0 WHEN drawdown < 0.08 THEN 1 ELSE 2 END || '/' || CASE WHEN n - wins = 0 THEN 0 WHEN n - wins <= 2 THEN 1 ELSE 2 END AS state, (n % 3) / 2 AS action FROM eq),
 l AS (SELECT *, lag(equity) OVER (ORDER BY ts) AS pe, lag(state) OVER (ORDER BY ts) AS ps, lag(action) OVER (ORDER BY ts) AS pa FROM s)

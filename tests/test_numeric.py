@@ -222,3 +222,59 @@ def test_shuffles_are_bijections_and_differ():
     sums = [int((np.arange(500) * Y.shuffled_place(np.arange(500), np.full(500, 500), np.full(500, b))).sum()) for b in range(300)]
     want, sd = 500 * 249.5 ** 2, 500 * (500 ** 2 - 1) / 12 / 499 ** 0.5
     assert abs(np.mean(sums) - want) < sd / 4 and 0.85 < np.std(sums) / sd < 1.15
+
+
+def test_window_drops_equal_a_walk():
+    import numpy as np
+    rng = np.random.default_rng(3)
+    for n, frac in ((0, 0.5), (1, 0.5), (300, 0.1), (300, 0.9), (300, 1.0), (300, 1.5), (64, 0.0)):
+        v = np.round(rng.normal(0.2, 3, n), 1) * (rng.random(n) < 0.8)
+        start = rng.integers(0, n + 1, 200)
+        stop = np.minimum(n, start + rng.integers(0, 80, 200))
+        want = []
+        for a, b in zip(start, stop):
+            cum = peak = worst = 0.0
+            near = False
+            for x in v[a:b]:
+                cum += x
+                peak = max(peak, cum)
+                ratio = (peak - cum) / max(abs(peak), 1e-9)
+                worst, near = max(worst, ratio), near or abs(ratio - frac) < 1e-6
+            want.append(None if near else worst >= frac)
+        got = G.window_drops(v, start, stop, frac)
+        assert all(w is None or w == g for w, g in zip(want, got)) and (frac <= 0 or want.count(None) < 50)
+
+
+def test_protection_locks_without_drawdowns(spark):
+    t = [("a", T0 + dt.timedelta(minutes=i), 1.0, 100.0, p, "target") for i, p in enumerate([5.0, -4.8, 0.0, 1.0] * 5)]
+    df = spark.createDataFrame(t, "product string, closed timestamp, qty double, entry double, pnl double, exit_reason string")
+    rows = {r["closed"]: r for r in G.protection_locks(df, dd_limit=2, dd_frac=0.9, low_limit=0).collect()}
+    assert rows[T0]["reason"] is None and len(rows) == 20
+    assert all(r["reason"] == "MaxDrawdown" for c, r in rows.items() if c > T0)
+    assert G.protection_locks(df.limit(0)).count() == 0
+
+
+def test_loss_scale(spark):
+    pnl = [1.0, -1.0, 0.0, -2.0, -1.0, -1.0, 3.0, -1.0]
+    df = spark.createDataFrame([(i, i // 3, p) for i, p in enumerate(pnl)], "i int, c int, pnl double")
+    got = [(r["consecutive_losses"], round(r["risk_scale"], 9)) for r in G.loss_scale(df, ["i"], ["c"]).orderBy("i").collect()]
+    assert got == [(0, 1.0), (1, 0.8), (2, 0.6), (3, 0.4), (4, 0.25), (5, 0.25), (0, 1.0), (1, 0.8)]
+
+
+def test_drift_check(spark):
+    def rows(n, shift):
+        return spark.createDataFrame([(f, float(i % 10) + shift * (f == "b")) for i in range(n) for f in "ab"], "f string, v double")
+    r = Y.drift_check(rows(200, 0), rows(100, 5), "f", "v").first()
+    assert (r["ready"], r["drifting"], r["worst_feature"]) == (True, True, "b") and r["worst_psi"] > 0.25
+    r = Y.drift_check(rows(200, 0), rows(70, 5), "f", "v").first()
+    assert (r["ready"], r["drifting"], r["worst_feature"], r["worst_psi"]) == (False, False, None, 0.0)
+    r = Y.drift_check(rows(200, 0).limit(0), rows(70, 5).limit(0), "f", "v").first()
+    assert (r["ready"], r["drifting"], r["worst_feature"], r["worst_psi"]) == (False, False, None, 0.0)
+
+
+def test_direction_gate_abstains(spark):
+    pts = spark.createDataFrame([("a", i, 1.5 if i % 2 else -1.0, 1 if i % 2 else -1) for i in range(60)] + [("b", i, 0.5, 1) for i in range(39)] + [("b", 99, None, 1)],
+                                "product string, ts int, align double, favored int")
+    q = spark.createDataFrame([("a", 1, 7.0, -1), ("a", 2, 1.0, 1), ("a", 3, None, -1), ("b", 4, 0.5, -1), ("c", 5, 0.9, -1)], "product string, id int, align double, direction int")
+    got = {r["id"]: (r["in_long"], r["in_short"], r["veto"]) for r in Y.direction_conformal(pts, q, "product").collect()}
+    assert got == {1: (True, False, True), 2: (True, False, False), 3: (True, True, False), 4: (True, True, False), 5: (True, True, False)}
