@@ -266,7 +266,7 @@ def stop_calibration(trades: DataFrame, keys, alpha=0.1, least: int = 30, defaul
 
 
 def _clamped(c: str) -> Column:
-    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.when(F.col(c).isNotNull(), F.col(c).cast("double"))))
+    return F.when(F.col(c).isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col(c).cast("double"))))
 
 
 def direction_conformal(points: DataFrame, query: DataFrame, key: str, align="align", favored="favored", h: float = 0.30,
