@@ -239,7 +239,7 @@ def protection_locks(trades: DataFrame, stop_limit=4, stop_look=3600, stop_lock=
     """Locks in force after each closing time of each product: lock_until and reason, global or per pair.
 
     A limit of 0 or less switches its lock off. Trades are summed per (product, closing time) first; look-back frames then run on time pieces
-    of a day (the longest look-back, if that is longer), so a task holds the distinct closing times of two of them. The cumulative pnl
+    of 30 days (the longest look-back, if that is longer), so a task holds the distinct closing times of two of them. The cumulative pnl
     of a window's closing times tells whether it lost the share `dd_frac` (`window_drops`).
     """
     base = F.abs(F.col("qty")) * F.col("entry")
@@ -255,7 +255,7 @@ def protection_locks(trades: DataFrame, stop_limit=4, stop_look=3600, stop_lock=
     ratio = F.when(F.col("_b") > 0, F.col("_p") / F.col("_b")).otherwise(0.0)
     pair = pair.select("product", "closed", "pair_n", ratio.alias("pair_ratio"))
     allp = per.groupBy("closed").agg(F.sum("n").alias("n"), F.sum("pnl").alias("pnl"), F.sum("stops").alias("stops"))
-    g = time_pieces(allp.select(micros("closed").alias("_us"), "closed", "n", "pnl", "stops"), "closed", max(stop_look, dd_look)).drop("closed")
+    g = time_pieces(allp.select(micros("closed").alias("_us"), "closed", "n", "pnl", "stops"), "closed", max(stop_look, dd_look), 30 * DAY).drop("closed")
 
     def looked_back(pdf):
         pdf = pdf.assign(t=pdf["_us"] // 1_000_000).sort_values(["t", "pnl"], ignore_index=True)
