@@ -33,7 +33,8 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def written(df: DataFrame) -> DataFrame:
     """`df` as a Parquet table in the shared folder: computed once, with a cut lineage, and lost executors don't matter.
 
-    The folder goes when the driver's JVM ends.
+    The folder goes when the driver's JVM ends. The driver's garbage is collected after the write: the plan is of no more use, and
+    Spark removes its shuffle files and broadcasts only when the driver has collected its handles.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/llm-{uuid.uuid4().hex}"
@@ -41,6 +42,7 @@ def written(df: DataFrame) -> DataFrame:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
