@@ -1,6 +1,6 @@
 """Operator 3: repeated paragraphs by MinHash bands, and repeated passages inside longer paragraphs.
 
-A paragraph is a line of at least `LEAST` words. Its five-word shingles are signed by 36 permutations in 12 bands of 3, so a pair at
+A paragraph is a line of at least `PARAGRAPH` words (shorter ones have too few shingles to be told from set phrases). Its five-word shingles are signed by 36 permutations in 12 bands of 3, so a pair at
 a similarity of 0.8 collides but for 2e-4. Colliding paragraphs are joined as stars and checked exactly, components take one
 paragraph each, the first by document and place (see `similar`).
 
@@ -26,7 +26,7 @@ from marketlab.llm.common import load, query, written
 from marketlab.llm.neardup import key, set_ids
 from marketlab.llm.words import U, Block, blocks, mix
 
-LEAST, SHINGLE, PLACES, ROWS, PERCENT = 50, 5, 36, 3, 80
+PARAGRAPH, LEAST, SHINGLE, PLACES, ROWS, PERCENT = 10, 50, 5, 36, 3, 80
 SPAN, REACH = 16, 35
 
 
@@ -81,7 +81,7 @@ def _units(batches):
             whole = block.words(True)
             inner, row, _ = lines(block)
             words = inner.words(True)
-            long = words.n >= LEAST
+            long = words.n >= PARAGRAPH
             pick = np.cumsum(long) - 1
             r, members = words.sets(SHINGLE) if inner.rows < 4096 else _many(words)
             mine = long[r]
@@ -186,8 +186,8 @@ def repeated(docs: DataFrame) -> DataFrame:
     whole = (named.join(places, "component").where("doc_id <> kept_doc_id or first <> kept_first")
              .select("doc_id", "key", "first", "words", "kept_doc_id", F.lit("paragraph").alias("kind")))
 
-    marks = units.where("n = 0").select("id", "doc_id", "key", "first")
-    shared = marks.groupBy("id").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last")).where("least < last").select("id")
+    marks = units.where("n = 0").select("id", "key", "first")
+    shared = marks.groupBy("id").agg(F.min("key").alias("least"), F.max("key").alias("last")).where("least < last").select("id")
     held = marks.join(shared, "id").groupBy("key").agg(F.collect_set("first").alias("anchors"))
     windows = written(docs.join(held, "key").select("doc_id", "key", "text", "anchors").mapInArrow(_windows, "doc_id long, key long, window long, first long"))
     heads = windows.groupBy("window").agg(F.min("doc_id").alias("kept_doc_id"), F.max("doc_id").alias("last")).where("kept_doc_id < last").drop("last")

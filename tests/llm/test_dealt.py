@@ -210,6 +210,31 @@ def test_repeated_passages(spark, odd, none):
     assert paragraphs.stage(spark, odd, D).count() == len(ODD)
 
 
+def test_paragraphs_match_brute_force(spark, docs):
+    """Every line of ten words on, against a comparison of all lines."""
+    units, sets, holders, links = [], [], {}, []
+    for doc in docs.collect():
+        first = 0
+        for line in (doc["text"] or "").split("\n"):
+            own = words(line, True)
+            if len(own) >= 10:
+                sets.append({tuple(own[i: i + 5]) for i in range(len(own) - 4)})
+                for s in sets[-1]:
+                    holders.setdefault(s, []).append(len(units))
+                units.append((doc["doc_id"], first, len(own)))
+            first += len(own)
+    for i, mine in enumerate(sets):
+        for j, n in Counter(j for s in mine for j in holders[s] if j < i).items():
+            if 100 * n >= 80 * (len(mine) + len(sets[j]) - n):
+                links.append((i, j))
+    groups = {}
+    for i, c in enumerate(components(len(units), links)):
+        groups.setdefault(c, []).append(units[i])
+    want = {(*u, min(g)[0]) for g in groups.values() for u in g if u != min(g)}
+    got = {(r["doc_id"], r["first"], r["words"], r["kept_doc_id"]) for r in paragraphs.repeated(docs).where("kind = 'paragraph'").collect()}
+    assert any(w < 50 for _, _, w, _ in want) and got == want
+
+
 def test_passages_whose_anchors_stand_in_earlier_documents(spark):
     rng = np.random.default_rng(9)
     rows, edited = [], []
