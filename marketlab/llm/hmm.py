@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketlab.llm.common import load, query, written
+from marketlab.llm.common import load, lowest, query, written
 from marketlab.llm.words import U, Lookup, Words, blocks, mix, per_row
 
 STATES, ENDINGS, OWN_SHARE, KNOWN_SHARE, SAMPLE, SEGMENT = 12, 512, 1 / 5000, 1e-6, 1500, 2048
@@ -187,7 +187,7 @@ def _stretches(column, segment: int) -> list[np.ndarray]:
 def trained(rows: DataFrame, voc: Vocabulary, states: int = STATES, rounds: int = 2, sample: int = SAMPLE):
     """Baum-Welch: a start on the sample's rows, then `rounds` passes over all training rows."""
     learn = rows.where("not held_out").select("uid", "seq")
-    some = learn.orderBy(F.xxhash64("uid")).limit(sample).select("seq").toArrow()["seq"]
+    some = lowest(learn.withColumn("u", F.xxhash64("uid")), "u", sample).orderBy("u", "uid").limit(sample).select("seq").toArrow()["seq"]
     seqs = [s[i: i + 256] for s in _stretches(some, 8 * SEGMENT) for i in range(0, len(s), 256)]
     rng = np.random.default_rng(3)
     emits = voc.share[:, None] * rng.gamma(0.5, 1, (voc.classes, states)) * 1000
