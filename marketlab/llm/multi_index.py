@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketlab.llm.common import load, query, written
+from marketlab.llm.common import load, lowest, query, written
 
 CENTROIDS, SAMPLE, ROUNDS, WANTED, SHARE, BLOCK, ASKS, K = 64, 20_000, 12, 22_000, 0.45, 2048, 4096, 10
 
@@ -87,7 +87,7 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = K, wanted: int = WANT
     whole = points.count()
     wanted, size = max(wanted, int(np.ceil(share * whole))), max(CENTROIDS, int(np.ceil(4 * whole ** 0.25)))
     groups = max(1, -(-points.where(F.col("vec_id") % every == 0).count() // asks))
-    some = points.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").toArrow()["v"].combine_chunks()
+    some = lowest(points.withColumn("u", F.xxhash64("vec_id")), "u", sample).orderBy("u", "vec_id").limit(sample).select("v").toArrow()["v"].combine_chunks()
     train = matrix(some if isinstance(some, pa.Array) else pa.array([], pa.list_(pa.float64())))
     half = train.shape[1] // 2
     books = [centroids(train[:, :half], size), centroids(train[:, half:], size)]
