@@ -145,6 +145,23 @@ def direction_bias(edges: DataFrame, gain=8.0, cap=0.25) -> DataFrame:
                     F.when(low > 0, clip((m[0] - m[1]) * gain * low, -cap, cap)).otherwise(0.0).alias("bias"))
 
 
+def adjusted(df: DataFrame, edges: DataFrame, regime="regime", composite="composite", confidence="confidence") -> DataFrame:
+    """Composites moved by their regime's bias (`edges` as `direction_bias` gives them), with `flipped` and `direction`.
+
+    A flip is a change of sign of a composite that isn't flat. A flat one without confidence that a bias gave a lean gets half the lean as
+    confidence, 1 at most. Regimes without a bias, and null ones, leave their rows as they are; a null composite has no direction.
+    """
+    x = df.join(edges.select(F.col(regime).alias("_r"), F.col("bias").alias("_b")), F.col(regime) == F.col("_r"), "left")
+    old, moved = F.col(composite), F.coalesce(F.col("_b"), F.lit(0.0)) != 0
+    x = x.withColumn("_new", F.when(moved, old + F.col("_b")).otherwise(old))
+    new = F.col("_new")
+    return x.withColumns({
+        "flipped": F.coalesce(moved & ((new > 0) != (old > 0)) & (F.abs(old) > 1e-9), F.lit(False)),
+        "direction": F.when(new > 0, 1).when(new.isNotNull(), -1),
+        confidence: F.when((F.col(confidence) == 0) & (new != 0), F.least(F.lit(1.0), F.abs(new) * 0.5)).otherwise(F.col(confidence)),
+        composite: new}).drop("_r", "_b", "_new")
+
+
 def throttle(a: DataFrame, max_factor=1.5, prior_std=0.01, floor=0.01) -> DataFrame:
     """Exit factor per (mechanism, regime, bucket): siblings in the regime as prior, else the whole mechanism."""
     x = pool_others(a, ["mechanism", "regime"], "near")

@@ -129,14 +129,33 @@ fm AS (SELECT {k}, i AS n, m FROM f QUALIFY row_number() OVER (PARTITION BY {k}
 """
 
 
-@query("A19", TR.replace("WITH ", "WITH RECURSIVE ", 1) + f""", dx AS (SELECT regime_at_entry AS regime, product, side, {RET} AS x, * EXCLUDE (product, side) FROM trades)"""
-       + FOLD_MEAN.format(k="regime, side", ok="o.regime, o.side", on="o.regime = f.regime AND o.side = f.side", a="0.2", src="dx", o=", ".join(T.TRADE_ORDER)) + """
-, p AS (SELECT regime, max(CASE WHEN side = 1 THEN m END) AS le, max(CASE WHEN side = -1 THEN m END) AS se, least(1, min(n) / 15.0) AS cf FROM fm GROUP BY 1)
-SELECT regime, round(le, 8) AS long_edge, round(se, 8) AS short_edge, round(greatest(-0.25, least(0.25, (le - se) * 8 * cf)), 8) AS bias FROM p""")
-def direction_edge(spark, d):
+EDGE = (TR.replace("WITH ", "WITH RECURSIVE ", 1) + f""", dx AS (SELECT regime_at_entry AS regime, product, side, {RET} AS x, * EXCLUDE (product, side) FROM trades)"""
+        + FOLD_MEAN.format(k="regime, side", ok="o.regime, o.side", on="o.regime = f.regime AND o.side = f.side", a="0.2", src="dx", o=", ".join(T.TRADE_ORDER)) + """
+, p AS (SELECT regime, max(CASE WHEN side = 1 THEN m END) AS le, max(CASE WHEN side = -1 THEN m END) AS se, least(1, min(n) / 15.0) AS cf FROM fm GROUP BY 1),
+bs AS (SELECT regime, le, se, greatest(-0.25, least(0.25, (le - se) * 8 * cf)) AS bias FROM p)
+""")
+
+
+def direction_edges(spark, d):
     x = T.trades(spark, d).withColumn("x", G.trade_return()).withColumn("regime", F.col("regime_at_entry"))
-    e = P.recent_mean(x, ["regime", "side"], T.TRADE_ORDER, "x", 0.2, chunks=T.TRADE_LEVELS)
-    return P.direction_bias(e).select("regime", *[r6(F.col(c), 8).alias(c) for c in ("long_edge", "short_edge", "bias")])
+    return P.direction_bias(P.recent_mean(x, ["regime", "side"], T.TRADE_ORDER, "x", 0.2, chunks=T.TRADE_LEVELS))
+
+
+@query("A19", EDGE + "SELECT regime, round(le, 8) AS long_edge, round(se, 8) AS short_edge, round(bias, 8) AS bias FROM bs")
+def direction_edge(spark, d):
+    return direction_edges(spark, d).select("regime", *[r6(F.col(c), 8).alias(c) for c in ("long_edge", "short_edge", "bias")])
+
+
+@query("A19 (adjust)", EDGE + """, c AS (SELECT regime, (o_custkey % 101 - 50) / 1000.0 AS old, bias FROM orders JOIN bs ON o_orderpriority = regime),
+a AS (SELECT *, old + bias AS new, CASE WHEN old = 0 THEN 0 ELSE 0.3 END AS conf FROM c)
+SELECT regime, CASE WHEN new > 0 THEN 1 ELSE -1 END AS direction, count(*) AS n, sum(CAST(bias <> 0 AND (new > 0) <> (old > 0) AND abs(old) > 1e-9 AS INT)) AS n_flipped,
+  round(avg(new), 8) AS composite, round(avg(CASE WHEN conf = 0 AND new <> 0 THEN least(1, abs(new) * 0.5) ELSE conf END), 8) AS confidence FROM a GROUP BY 1, 2""")
+def direction_adjust(spark, d):
+    old = (F.col("o_custkey") % 101 - 50) / 1000.0
+    calls = T.load(spark, d, "orders").select(F.col("o_orderpriority").alias("regime"), old.alias("composite"), F.when(old == 0, 0.0).otherwise(0.3).alias("confidence"))
+    x = P.adjusted(calls, direction_edges(spark, d))
+    return x.groupBy("regime", "direction").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("flipped").cast("int")).alias("n_flipped"),
+                                                *[r6(F.avg(c), 8).alias(c) for c in ("composite", "confidence")])
 
 
 STATES = JV.replace("WITH ", "WITH RECURSIVE ", 1) + """, ex AS (SELECT event_id, event_type AS product, ts, 100 + value AS price, CASE WHEN user_id % 2 = 0 THEN 1 ELSE -1 END AS side, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)

@@ -278,3 +278,12 @@ def test_direction_gate_abstains(spark):
     q = spark.createDataFrame([("a", 1, 7.0, -1), ("a", 2, 1.0, 1), ("a", 3, None, -1), ("b", 4, 0.5, -1), ("c", 5, 0.9, -1)], "product string, id int, align double, direction int")
     got = {r["id"]: (r["in_long"], r["in_short"], r["veto"]) for r in Y.direction_conformal(pts, q, "product").collect()}
     assert got == {1: (True, False, True), 2: (True, False, False), 3: (True, True, False), 4: (True, True, False), 5: (True, True, False)}
+
+
+def test_composites_move_by_their_regimes_bias(spark):
+    edges = spark.createDataFrame([("up", 0.05), ("none", 0.0)], "regime string, bias double")
+    calls = spark.createDataFrame([(1, "up", -0.02, 0.3), (2, "up", 0.0, 0.0), (3, "up", -0.2, 0.4), (4, "none", -0.01, 0.2), (5, "new", 0.1, 0.0), (6, None, 0.0, 0.0), (7, "up", None, 0.1)],
+                                  "id int, regime string, composite double, confidence double")
+    got = {r["id"]: (None if r["composite"] is None else round(r["composite"], 6), r["flipped"], r["direction"], round(r["confidence"], 6)) for r in P.adjusted(calls, edges).collect()}
+    assert got == {1: (0.03, True, 1, 0.3), 2: (0.05, False, 1, 0.025), 3: (-0.15, False, -1, 0.4), 4: (-0.01, False, -1, 0.2), 5: (0.1, False, 1, 0.05),
+                   6: (0.0, False, -1, 0.0), 7: (None, False, None, 0.1)}
