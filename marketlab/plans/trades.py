@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marketlab.functions.mathx import finite, r6, wilson
 from marketlab.operators import indicators as I
+from marketlab.operators import joins as J
 from marketlab.operators import ledger as G
 from marketlab.operators import scans as S
 from marketlab.plans.price import EPOCH, FEAT, PW, fr
@@ -215,6 +216,15 @@ def protection_locks(spark, d):
     return x.select("product", F.unix_seconds("closed").alias("ts"), "pair_n", r6(F.col("pair_ratio")).alias("pair_ratio"), "stop_n", "global_until", "pair_until", "reason")
 
 
+@query("W38 (cooldown)", TR + """, x AS (SELECT DISTINCT product, closed FROM trades)
+SELECT t.product, count(*) AS n, count(x.closed) AS n_after_exit, sum(CAST(coalesce(epoch(t.opened) - epoch(x.closed) < 14400, false) AS INT)) AS n_cooling
+FROM trades t ASOF LEFT JOIN x ON t.product = x.product AND t.opened >= x.closed GROUP BY 1""")
+def entry_cooldown(spark, d):
+    t = T.trades(spark, d)
+    x = J.cooldown(t.select("product", F.col("opened").alias("ts")), t.select("product", F.col("closed").alias("ts")), 14400)
+    return x.groupBy("product").agg(F.count(F.lit(1)).alias("n"), F.count("last_exit").alias("n_after_exit"), F.sum(F.col("cooling").cast("int")).alias("n_cooling"))
+
+
 @query("A57", """SELECT CAST(epoch_us(ts) AS BIGINT) AS ts, n_trailing, n_trailing > 15 AS over_cap FROM (SELECT DISTINCT ts, count(*) OVER (ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS n_trailing FROM events)""")
 def entry_rate(spark, d):
     x = G.trailing_count(T.load(spark, d, "events"), "ts", 3600)

@@ -215,3 +215,13 @@ def test_hot_keys_are_cut_into_even_slices(spark):
     bounds = b[0]["_bounds"]
     assert max(sizes.values()) <= 200 and all(x["s"] == sum(y <= x["_at"] for y in bounds) for x in cut.where("k = 'hot'").collect())
     assert {x["s"] for x in cut.where("k = 'cold'").collect()} == {0}
+
+
+def test_cooldown(spark):
+    at = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+    entries = spark.createDataFrame([(1, "a", at(50)), (2, "a", at(100)), (3, "a", at(999)), (4, "a", at(1000)), (5, "a", at(1100)), (6, "b", at(100)), (7, "a", None), (8, None, at(100))],
+                                    "id int, product string, ts timestamp")
+    exits = spark.createDataFrame([("a", at(100)), ("a", at(100)), ("a", at(1050)), ("a", None), ("c", at(90))], "product string, ts timestamp")
+    for rows in (2, 1_000_000):
+        got = {r["id"]: r["cooling"] for r in J.cooldown(entries, exits, 900, rows=rows).collect()}
+        assert got == {1: False, 2: True, 3: True, 4: False, 5: True, 6: False, 7: False, 8: False}
