@@ -424,3 +424,19 @@ def stance(trades: DataFrame, order, context: DataFrame) -> DataFrame:
     return x.withColumn("label", F.when(F.col("score") < 0.35, "passive").when(F.col("score") > 0.65, "aggressive").otherwise("neutral"))
 
 
+def equity_windows(marks: DataFrame, windows: dict[str, int], ts="ts", equity="equity") -> DataFrame:
+    """(lookback, points, first_equity, last_equity) of the samples within each look-back of the newest one.
+
+    Where fewer than two lie inside, the newest sample before the window joins them, if there is one. Samples without a time take no
+    part; no samples give no rows. All windows come from one map-side combined pass.
+    """
+    m = marks.select(F.col(ts).alias("_t"), F.col(equity).alias("_e")).where("_t is not null")
+    looks = F.array(*[F.struct(F.lit(k).alias("lookback"), F.lit(v).cast("bigint").alias("sec")) for k, v in windows.items()])
+    x = m.crossJoin(F.broadcast(m.agg(F.max("_t").alias("_now")))).withColumn("w", F.explode(looks))
+    inside = micros("_t") >= micros("_now") - F.col("w.sec") * 1_000_000
+    x = x.groupBy("w.lookback").agg(
+        F.count_if(inside).alias("_n"), F.min_by("_e", F.when(inside, F.col("_t"))).alias("_first"), F.max_by("_e", F.when(inside, F.col("_t"))).alias("_last"),
+        F.max_by("_e", F.when(~inside, F.col("_t"))).alias("_prior"), F.count_if(~inside).alias("_earlier"))
+    more = (F.col("_n") < 2) & (F.col("_earlier") > 0)
+    return x.select("lookback", (F.col("_n") + more.cast("int")).alias("points"), F.when(more, F.col("_prior")).otherwise(F.col("_first")).alias("first_equity"),
+                    F.col("_last").alias("last_equity"))

@@ -187,15 +187,12 @@ def equity_decimation(spark, d):
 WINDOWS = {"1h": 3600, "1d": 86400, "7d": 7 * 86400, "30d": 30 * 86400}
 
 
-@query("A66", EQ + f""", nw AS (SELECT max(ts) AS now FROM eq), lb(lookback, sec) AS (VALUES {', '.join(f"('{k}', {v})" for k, v in WINDOWS.items())})
-SELECT lookback, count(*) AS points, round(first(equity ORDER BY ts), 4) AS first_equity, round(last(equity ORDER BY ts), 4) AS last_equity FROM eq, nw, lb WHERE epoch(ts) >= epoch(now) - sec GROUP BY 1""")
+@query("A66", EQ + f""", nw AS (SELECT max(ts) AS now FROM eq), lb(lookback, sec) AS (VALUES {', '.join(f"('{k}', {v})" for k, v in WINDOWS.items())}),
+ew AS (SELECT lookback, ts, equity, epoch(ts) >= epoch(now) - sec AS inside FROM eq, nw, lb),
+ea AS (SELECT lookback, count(*) FILTER (inside) AS n, first(equity ORDER BY ts) FILTER (inside) AS fe, last(equity ORDER BY ts) FILTER (inside) AS le, last(equity ORDER BY ts) FILTER (NOT inside) AS pe FROM ew GROUP BY 1)
+SELECT lookback, n + CAST(n < 2 AND pe IS NOT NULL AS INT) AS points, round(CASE WHEN n < 2 AND pe IS NOT NULL THEN pe ELSE fe END, 4) AS first_equity, round(le, 4) AS last_equity FROM ea""")
 def equity_windows(spark, d):
-    m = marks(spark, d)
-    looks = F.array(*[F.struct(F.lit(k).alias("lookback"), F.lit(v).alias("sec")) for k, v in WINDOWS.items()])
-    x = m.crossJoin(F.broadcast(m.agg(F.max("ts").alias("now")))).withColumn("w", F.explode(looks))
-    x = x.where(F.unix_seconds("ts") >= F.unix_seconds("now") - F.col("w.sec"))
-    return x.groupBy("w.lookback").agg(F.count(F.lit(1)).alias("points"), r6(F.min_by("equity", "ts"), 4).alias("first_equity"),
-                                       r6(F.max_by("equity", "ts"), 4).alias("last_equity"))
+    return G.equity_windows(marks(spark, d), WINDOWS).select("lookback", "points", *[r6(F.col(c), 4).alias(c) for c in ("first_equity", "last_equity")])
 
 
 LOCKS = TR + """, per AS (SELECT product, closed AS ts, count(*) AS n, sum(pnl) AS pnl, sum(abs(qty) * entry) AS stake, sum(CAST(exit_reason LIKE '%stop%' AND pnl < 0 AS INT)) AS stops FROM trades GROUP BY 1, 2),

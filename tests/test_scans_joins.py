@@ -225,3 +225,11 @@ def test_cooldown(spark):
     for rows in (2, 1_000_000):
         got = {r["id"]: r["cooling"] for r in J.cooldown(entries, exits, 900, rows=rows).collect()}
         assert got == {1: False, 2: True, 3: True, 4: False, 5: True, 6: False, 7: False, 8: False}
+
+
+def test_short_equity_windows_take_the_sample_before(spark):
+    marks = spark.createDataFrame([(T0 + dt.timedelta(hours=h), float(h)) for h in (0, 5, 9, 30)] + [(None, 7.0)], "ts timestamp, equity double")
+    got = {tuple(r) for r in G.equity_windows(marks, {"1h": 3600, "1d": 86400, "2d": 172800}).collect()}
+    assert got == {("1h", 2, 9.0, 30.0), ("1d", 2, 9.0, 30.0), ("2d", 4, 0.0, 30.0)}
+    assert {tuple(r) for r in G.equity_windows(marks.limit(0), {"1h": 3600}).collect()} == set()
+    assert {tuple(r) for r in G.equity_windows(marks.where("equity = 5"), {"1h": 3600}).collect()} == {("1h", 1, 5.0, 5.0)}
