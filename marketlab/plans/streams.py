@@ -17,10 +17,11 @@ from marketlab.streaming import ops as O
 
 
 def events_stream(spark, d, name="events"):
-    """One given table as a file stream with the table's own schema."""
+    """One given table, a file or a folder of files, as a file stream with the table's own schema."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    schema = spark.read.parquet(f"{d}/{name}.parquet").schema
-    s = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
+    path = f"{d}/{name}.parquet"
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    s = reader.parquet(path) if O.is_folder(spark, path) else reader.option("pathGlobFilter", f"{name}.parquet").parquet(d)
     return s.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in s.columns else s
 
 

@@ -150,6 +150,11 @@ def _folder(spark, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+def is_folder(spark, path: str) -> bool:
+    fs, p = _folder(spark, path)
+    return fs.getFileStatus(p).isDirectory()
+
+
 def _numbered(spark, path: str, name: str) -> list[int]:
     fs, p = _folder(spark, path)
     names = [s.getPath().getName() for s in (fs.listStatus(p) if fs.exists(p) else [])]

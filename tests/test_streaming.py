@@ -152,3 +152,15 @@ def test_labels_mature_or_are_abandoned(spark, tmp_path, cuts):
             raw = near[0][2] / p0 - 1 if near else None
             want[i] = ("scored", pytest.approx(raw), pytest.approx(-raw)) if near else ("abandon", None, None)
     assert got == want and ("abandon", None, None) in want.values()
+
+
+def test_streams_read_tables_that_are_folders(spark, tmp_path):
+    from marketlab.plans.streams import events_stream
+
+    t = spark.createDataFrame(ticks(12), SCHEMA)
+    t.repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    (tmp_path / "one").mkdir()
+    t.toPandas().to_parquet(tmp_path / "one/events.parquet")
+    for name, folder in (("a", tmp_path), ("b", tmp_path / "one")):
+        O.run_to_files(events_stream(spark, str(folder)).select("event_id"), str(tmp_path / name))
+        assert sorted(r[0] for r in spark.read.parquet(str(tmp_path / name / "data")).collect()) == list(range(12))
