@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from marketlab.functions.mathx import wilson
 from marketlab.operators.joins import SLICE_ROWS, _same, _slice_of, asof, time_slices
-from marketlab.operators.scans import DAY, Run, micros, pin, row_index, running, seconds, time_chunk, time_pieces
+from marketlab.operators.scans import DAY, HOUR, Run, micros, pin, row_index, running, seconds, time_chunk, time_pieces
 from marketlab.operators.slices import FOLD_ROWS, reservation_jump, reservation_replay, sliced_fold
 
 YEAR_SEC = 365.25 * 86400
@@ -282,12 +282,19 @@ def protection_locks(trades: DataFrame, stop_limit=4, stop_look=3600, stop_lock=
 
 
 def trailing_count(df: DataFrame, ts: str, window_sec: int, keys=()) -> DataFrame:
-    """Rows in the trailing window at each distinct time, from per-time counts on time pieces."""
+    """Rows in the trailing window at each distinct time.
+
+    The rows of a time come in at it and go out a microsecond after the window, so one running sum along both holds the
+    count: a row is looked at twice, however many lie in a window. Rows without a time don't count.
+    """
     keys = list(keys)
-    per = df.groupBy(*keys, ts).agg(F.count(F.lit(1)).alias("_n"))
-    x = time_pieces(per, ts, window_sec)
-    f = W.partitionBy(*keys, "_piece").orderBy(micros(ts)).rangeBetween(-window_sec * 1_000_000, 0)
-    return x.withColumn("n_trailing", F.sum("_n").over(f)).where(~F.col("_warm")).drop("_warm", "_piece", "_n")
+    per = df.where(F.col(ts).isNotNull()).groupBy(*keys, ts).agg(F.count(F.lit(1)).alias("_n"))
+    moves = F.array(F.struct((micros(ts) + window_sec * 1_000_000 + 1).alias("_us"), F.lit(0).alias("_in"), (-F.col("_n")).alias("_n")),
+                    F.struct(micros(ts).alias("_us"), F.lit(1).alias("_in"), F.col("_n")))
+    x = per.select(*keys, ts, F.explode(moves).alias("_m")).select(*keys, ts, "_m.*")
+    x = x.withColumns({"_day": F.floor(F.col("_us") / (DAY * 1_000_000)), "_hour": F.floor(F.col("_us") / (HOUR * 1_000_000))})
+    x = running(x, ["_us", "_in"], [Run("n_trailing", "sum", "_n")], keys, ["_day", "_hour"])
+    return x.where("_in = 1").select(*keys, ts, "n_trailing")
 
 
 def equity_marks(trades: DataFrame, start_cash: float, ts="closed") -> DataFrame:

@@ -233,3 +233,16 @@ def test_short_equity_windows_take_the_sample_before(spark):
     assert got == {("1h", 2, 9.0, 30.0), ("1d", 2, 9.0, 30.0), ("2d", 4, 0.0, 30.0)}
     assert {tuple(r) for r in G.equity_windows(marks.limit(0), {"1h": 3600}).collect()} == set()
     assert {tuple(r) for r in G.equity_windows(marks.where("equity = 5"), {"1h": 3600}).collect()} == {("1h", 1, 5.0, 5.0)}
+
+
+def test_trailing_counts_keep_no_window_of_rows(spark):
+    r = random.Random(5)
+    at = [None if i % 40 == 0 else 1_700_000_000_000_000 + r.choice([0, 1, 59_999_999, 60_000_000, 60_000_001, 86_400_000_000]) + r.randrange(90) * 1_000_000 for i in range(400)]
+    rows = [(r.choice("ab"), t) for t in at]
+    df = spark.createDataFrame(rows, "k string, us bigint").select("k", F.timestamp_micros("us").alias("ts"))
+    x = G.trailing_count(df, "ts", 60, ["k"])
+    want = {(k, t): sum(k2 == k and t2 is not None and t - 60_000_000 <= t2 <= t for k2, t2 in rows) for k, t in rows if t is not None}
+    got = {(o["k"], o["us"]): o["n_trailing"] for o in x.select("k", F.unix_micros("ts").alias("us"), "n_trailing").collect()}
+    assert got == want and x.count() == len(want)
+    # a moving frame adds up each window anew, which grows as the square of the rows in it
+    assert "RangeFrame" not in x._jdf.queryExecution().optimizedPlan().toString()
