@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -110,28 +111,91 @@ def dedupe(events: DataFrame, key: str, late: str = "1 day") -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
 
 
+MATURING = np.dtype([("at", "<i8"), ("us", "<i8"), ("id", "<i8"), ("value", "<f8"), ("direction", "<i4"), ("nulls", "<i4")])
+
+
+def _distinct(rows: np.ndarray) -> np.ndarray:
+    return np.frombuffer(np.unique(rows.view(f"V{MATURING.itemsize}")).tobytes(), MATURING)
+
+
+def _nearest_price(signals: np.ndarray, prices: np.ndarray, tol: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index of the price nearest to each signal's `at`, the earlier one on ties, and whether it is closer than `tol`; prices ascend by `at`."""
+    if not len(prices):
+        return np.zeros(len(signals), int), np.zeros(len(signals), bool)
+    after = np.searchsorted(prices["at"], signals["at"])
+    left, right = np.maximum(after - 1, 0), np.minimum(after, len(prices) - 1)
+    gap = np.abs(prices["at"][[left, right]] - signals["at"])
+    return np.where(gap[0] <= gap[1], left, right), gap.min(axis=0) < tol
+
+
 def mature_stream(signals: DataFrame, ticks: DataFrame, horizon_sec: int, tolerance_sec: int = 600, late: str = "10 minutes") -> DataFrame:
     """The price nearest to signal time + horizon, strictly closer than the tolerance, the earlier one on ties; null if there is none.
 
-    Both streams meet by product and time bucket of the tolerance's width, prices in their own and both neighbouring buckets, so a busy
-    product is spread over its buckets and a signal meets each price near it once. State lives for horizon plus tolerance.
-    Signals carry event_id, product, ts, direction and p0; ticks product, ts, price and event_id.
+    Both streams meet by product and time bucket of six tolerances, prices near an edge in both buckets, so a busy product is spread over
+    its buckets. A bucket's state holds its open signals and one price an instant (that of the smallest
+    event_id), and a signal finds its price by halving, so the work grows with the rows, not with the pairs in reach. A signal leaves
+    once the watermark has passed horizon plus tolerance, a bucket's prices once no signal can come any more.
+    Signals carry event_id, product, ts, direction and p0; ticks product, ts, price and event_id; ids and directions are integers.
     """
-    width, tol = tolerance_sec, tolerance_sec * 1_000_000
-    s = signals.withWatermark("ts", late).withColumn("_b", F.floor((F.unix_seconds("ts") + horizon_sec) / width))
-    b = F.floor(F.unix_seconds("ts") / width)
-    p = ticks.withWatermark("ts", late).select(F.col("product").alias("_p"), F.col("ts").alias("_pt"), F.col("price").alias("_price"), F.col("event_id").alias("_pid"),
-                                               F.explode(F.array(b - 1, b, b + 1)).alias("_pb"))
-    due = F.col("ts") + F.expr(f"interval {horizon_sec} seconds")
-    near = F.expr(f"interval {tolerance_sec} seconds")
-    on = (F.col("product") == F.col("_p")) & (F.col("_b") == F.col("_pb")) & (F.col("_pt") > due - near) & (F.col("_pt") < due + near)
-    x = s.join(p, on, "leftOuter")
-    away = F.unix_micros("_pt") - F.unix_micros("ts") - horizon_sec * 1_000_000
-    x = x.select("event_id", "product", "ts", "direction", "p0", "_price", F.when(F.abs(away) < tol, F.struct(F.abs(away).alias("d"), away.alias("s"), "_pid")).alias("_rank"))
-    x = x.groupBy("event_id", "product", "ts", "direction", "p0").agg(F.min_by("_price", "_rank").alias("_price"))
-    raw = F.col("_price") / F.col("p0") - 1
-    return x.select("event_id", "product", "ts", raw.alias("fwd_return_raw"), (raw * F.col("direction")).alias("fwd_return_aligned"),
-                    F.when(F.col("_price").isNull(), "abandon").otherwise("scored").alias("state"))
+    width, tol, wait = 6 * tolerance_sec, tolerance_sec * 1_000_000, (horizon_sec + tolerance_sec) * 1000
+    us = F.unix_micros("ts")
+
+    def flat(x, at, value, direction, own):
+        columns = ["event_id", value, *([direction] if direction else [])]
+        nulls = sum((F.col(c).isNull().cast("int") * (1 << i) for i, c in enumerate(columns)), F.lit(0))
+        return x.select("product", "ts", own.alias("_b"), at.alias("at"), us.alias("us"), F.coalesce(F.col("event_id").cast("bigint"), F.lit(0)).alias("id"),
+                        F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("value"), F.coalesce(F.col(direction).cast("int"), F.lit(0)).alias("direction") if direction
+                        else F.lit(0).alias("direction"), nulls.alias("nulls"), F.lit(direction is None).alias("is_price"))
+
+    s = signals.withWatermark("ts", late).where(F.col("ts").isNotNull())
+    p = ticks.withWatermark("ts", late).where(F.col("ts").isNotNull() & F.col("product").isNotNull())
+
+    def slot(at):
+        return F.floor(at / (width * 1_000_000))
+
+    due_at = us + horizon_sec * 1_000_000
+    both = flat(s, due_at, "p0", "direction", slot(due_at)).unionByName(
+        flat(p, us, "price", None, F.explode(F.array_distinct(F.array(slot(us - tol), slot(us + tol))))))
+
+    def bucket(key, frames, state):
+        held = state.get if state.exists else (b"", b"")
+        parts = [[np.frombuffer(bytes(held[0]), MATURING)], [np.frombuffer(bytes(held[1]), MATURING)]]
+        for pdf in frames:
+            rows = np.empty(len(pdf), MATURING)
+            for c in MATURING.names:
+                rows[c] = pdf[c].to_numpy()
+            is_price = pdf["is_price"].to_numpy(bool)
+            parts[0].append(rows[~is_price])
+            parts[1].append(rows[is_price])
+        open_, prices = _distinct(np.concatenate(parts[0])), np.concatenate(parts[1])
+        # one price an instant: the smallest event_id, null first
+        prices = prices[np.lexsort((prices["id"], -(prices["nulls"] & 1), prices["at"]))]
+        prices = prices[np.flatnonzero(np.diff(prices["at"], prepend=prices["at"][:1] - 1))]
+        mark = state.getCurrentWatermarkMs()
+        due = open_["us"] // 1000 + wait
+        ripe = open_[due < mark]
+        if len(ripe):
+            at, found = _nearest_price(ripe, prices, tol)
+            hit = prices[at] if len(prices) else np.zeros(len(ripe), MATURING)
+            yield pd.DataFrame({"event_id": ripe["id"], "product": key[0], "us": ripe["us"], "direction": ripe["direction"], "p0": ripe["value"], "nulls": ripe["nulls"],
+                                "price": hit["value"], "found": found & (hit["nulls"] & 2 == 0)})
+        open_, due = open_[due >= mark], due[due >= mark]
+        closed = ((int(key[1]) + 1) * width - horizon_sec) * 1000
+        if len(open_) or closed > mark:
+            state.update((open_.tobytes(), prices.tobytes()))
+            state.setTimeoutTimestamp(int(max(mark, due.min() if len(open_) else closed)))
+        elif state.exists:
+            state.remove()
+
+    x = both.groupBy("product", "_b").applyInPandasWithState(
+        bucket, "event_id long, product string, us long, direction int, p0 double, nulls int, price double, found boolean", "signals binary, prices binary", "append", "EventTimeTimeout")
+
+    def known(c, bit):
+        return F.when(F.col("nulls").bitwiseAND(bit) == 0, F.col(c))
+
+    raw = F.when(F.col("found"), F.col("price")) / known("p0", 2) - 1
+    return x.select(known("event_id", 1).alias("event_id"), "product", F.timestamp_micros("us").alias("ts"), raw.alias("fwd_return_raw"),
+                    (raw * known("direction", 4)).alias("fwd_return_aligned"), F.when(F.col("found"), "scored").otherwise("abandon").alias("state"))
 
 
 def drift_sink(reference: DataFrame, feature: str, value: str, path: str) -> Callable[[DataFrame, int], None]:

@@ -166,3 +166,26 @@ def test_streams_read_tables_that_are_folders(spark, tmp_path):
     for name, folder in (("a", tmp_path), ("b", tmp_path / "one")):
         O.run_to_files(events_stream(spark, str(folder)).select("event_id"), str(tmp_path / name))
         assert sorted(r[0] for r in spark.read.parquet(str(tmp_path / name / "data")).collect()) == list(range(12))
+
+
+def test_labels_of_crowded_times_grow_with_the_rows(spark, tmp_path):
+    """20,000 signals and prices within a minute are 400 million pairs in reach; nulls, repeats and ties as before."""
+    at = [T0 + dt.timedelta(microseconds=3000 * i) for i in range(20_000)]
+    t = [(i, "a", u, 100.0 + i, 1) for i, u in enumerate(at)]
+    due = T0 + dt.timedelta(seconds=1800)
+    t += [(100_000 + i, "a", due + dt.timedelta(microseconds=6000 * i), float(1 + i), 1) for i in range(10_000)]
+    t += [(5, "a", at[5], 105.0, 1), (99_999, "a", due, 7.0, 1), (None, "a", due + dt.timedelta(microseconds=6000), None, 1), (200_000, None, at[9], 1.0, 1), (300_000, "b", at[9], 1.0, 1),
+          (900_000, "a", T0 + dt.timedelta(hours=5), 1.0, 1)]
+    s = feed(spark, str(tmp_path / "in"), [t[:15_000], t[15_000:]])
+    sig = s.where("event_id < 20000 or event_id >= 200000").select("event_id", "product", "ts", F.lit(1).alias("direction"), F.col("price").alias("p0"))
+    x = O.mature_stream(sig, s, 1800)
+    assert "Join" not in x._jdf.queryExecution().analyzed().toString()
+    O.run_to_files(x, str(tmp_path / "out"))
+    rows = spark.read.parquet(str(tmp_path / "out/data")).collect()
+    got = {r["event_id"]: (r["state"], r["fwd_return_raw"]) for r in rows}
+    assert len(got) == len(rows) == 20_002
+    assert got.pop(200_000) == got.pop(300_000) == ("abandon", None)
+    for i, (state, raw) in got.items():
+        # signals between two prices are as near to both: the earlier one; at the first due time the smaller id, at the second the null one
+        price = None if i in (2, 3) else 7.0 if i < 2 else float(1 + i // 2)
+        assert (state, raw) == (("abandon", None) if price is None else ("scored", pytest.approx(price / (100.0 + i) - 1)))
