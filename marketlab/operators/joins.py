@@ -183,12 +183,13 @@ def in_windows(left: DataFrame, events: DataFrame, before: Column, after: Column
     return x.withColumns({flag: F.coalesce(F.col("_open") >= micros(ts), F.lit(False)), nxt: F.col("_next.ts")}).drop("_all", "_open", "_next")
 
 
-def cooldown(entries: DataFrame, exits: DataFrame, seconds: int, key="product", ts: str = "ts", rows: int = SLICE_ROWS) -> DataFrame:
+def cooldown(entries: DataFrame, exits: DataFrame, seconds: int, key="product", ts: str = "ts", rows: int = SLICE_ROWS // 4) -> DataFrame:
     """Each entry with its key's last exit at or before it (`last_exit`, null if none) and whether less than `seconds` have passed (`cooling`).
 
-    Times are in the column `ts` of both sides; nulls there find no exit and don't cool.
+    Times are in the column `ts` of both sides; nulls there find no exit and don't cool. Only the time of an exit counts, so exits of
+    one key and time are one row.
     """
-    x = asof(entries, exits, key, ts, rows=rows, name="_exit")
+    x = asof(entries, exits.select(*as_list(key), ts).distinct(), key, ts, rows=rows, name="_exit")
     since = micros(ts) - micros("_exit.ts")
     return x.withColumns({"last_exit": F.col("_exit.ts"), "cooling": F.coalesce(since < seconds * 1_000_000, F.lit(False))}).drop("_exit")
 
