@@ -38,7 +38,8 @@ def equity_path(df: DataFrame, value: str, order: Sequence[str], keys=(), chunks
     w = (W.partitionBy(*part) if part else W.partitionBy(F.lit(0))).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     local = df.withColumns({"_s": F.sum(value).over(w), "pos": F.row_number().over(w)}).withColumn("_m", F.max("_s").over(w))
     if chunks:
-        total = local.groupBy(*part).agg(F.sum(value).alias("_sum"), F.max("_m").alias("_top"))
+        # each scan of the totals reads them once per level, so they are computed once
+        total = pin(local.groupBy(*part).agg(F.sum(value).alias("_sum"), F.max("_m").alias("_top")))
         c = running(total, chunks, [Run("_base", "sum", "_sum", strict=True)], keys, chunks[:-1])
         c = c.withColumn("_base", F.coalesce("_base", F.lit(0.0)))
         c = running(c, chunks, [Run("_high", "max", F.col("_base") + F.col("_top"), strict=True)], keys, chunks[:-1])

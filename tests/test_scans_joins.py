@@ -246,3 +246,17 @@ def test_trailing_counts_keep_no_window_of_rows(spark):
     assert got == want and x.count() == len(want)
     # a moving frame adds up each window anew, which grows as the square of the rows in it
     assert "RangeFrame" not in x._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_equity_path_computes_its_rows_once_for_all_chunk_totals(spark):
+    r = random.Random(2)
+    rows = [(i, i // 4, i // 16, i // 64, float(r.randrange(-9, 10))) for i in range(300)]
+    x = G.equity_path(spark.createDataFrame(rows, "t int, c int, b int, a int, v double"), "v", ["t"], (), ["a", "b", "c"], 5.0)
+    total, peak, want = 5.0, 5.0, {}
+    for t, *_, v in rows:
+        total += v
+        peak = max(peak, total)
+        want[t] = (total, peak)
+    assert {o["t"]: (o["equity"], o["peak"]) for o in x.collect()} == want
+    # once for the rows themselves; the totals are a table of their own
+    assert x._jdf.queryExecution().optimizedPlan().toString().count("row_number") + x._jdf.queryExecution().optimizedPlan().toString().count("sum(v") <= 3
