@@ -27,6 +27,7 @@ from marketlab.llm.similar import band_hashes
 from marketlab.llm.words import SET_MASK, U, Words, blocks, mix
 
 SAMPLE, BITS, RATIO, LEAST, EVIDENCE, EPOCHS = 3000, 17, 30.0, 3, 12.0, 4
+STRETCH = 500_000  # tokens scored at once
 _b = np.arange(256)
 INNER = (_b >= 0x80) | ((_b >= 48) & (_b < 58)) | ((_b | 32 >= 97) & (_b | 32 < 123))
 PREFIXES = (4, 5, 6, 7, 8)  # bytes
@@ -203,17 +204,33 @@ def _bands(batches):
 
 
 def _frequencies(batches):
-    """Per batch the number of toxic and of clean texts that hold a term."""
+    """Per stretch of some 8 MB of text the number of toxic and of clean texts that hold a term."""
     for b in batches:
-        for block in blocks(b["text"], 8 << 20):
+        found = [[] for _ in range(TERMS)]
+        for block in blocks(b["text"]):
             toxic = b["clean"].slice(block.first, block.rows).to_numpy() == 0
             t = Tokens(block)
             for k, h in enumerate(t.terms()):
                 pair = np.unique(((t.row.astype(U) << U(52)) | h)[h > 0])
-                word, code = np.unique(pair & SET_MASK, return_inverse=True)
                 bad = toxic[(pair >> U(52)).astype(np.int64)]
-                a, c = np.bincount(code[bad], minlength=len(word)), np.bincount(code[~bad], minlength=len(word))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(word), k, np.int32)), pa.array(word.view(np.int64)), pa.array(a), pa.array(c)], names=["k", "term", "a", "c"])
+                found[k].append(_totals(pair & SET_MASK, bad, ~bad))
+            if len(found[0]) == 8:
+                yield from _counted(found)
+                found = [[] for _ in range(TERMS)]
+        yield from _counted(found)
+
+
+def _totals(word: np.ndarray, a: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each word once, with the sums of its `a` and `c`."""
+    word, code = np.unique(word, return_inverse=True)
+    return word, *(np.bincount(code, x, len(word)).astype(np.int64) for x in (a, c))
+
+
+def _counted(found: list[list]):
+    for k, parts in enumerate(found):
+        if parts:
+            word, a, c = _totals(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(word), k, np.int32)), pa.array(word.view(np.int64)), pa.array(a), pa.array(c)], names=["k", "term", "a", "c"])
 
 
 def distinct(docs: DataFrame, marks: DataFrame) -> tuple[DataFrame, dict[int, int]]:
@@ -268,6 +285,44 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return pickle.loads(some[0].unionByName(some[1]).repartition(1).mapInArrow(fit, "model binary").first()["model"])
 
 
+def _judged(model: Model):
+    """Scores and spans of each row, in stretches of some `STRETCH` tokens: a task's memory doesn't follow the size of Spark's batches."""
+    def one(b, at, p_of):
+        row = np.concatenate([x[0] for x in at])
+        sizes = np.bincount(row, minlength=b.num_rows)
+        p, _ = marginals(np.concatenate(p_of).astype(float), np.cumsum(sizes) - sizes, sizes, model.move)
+        x = model.inputs(p, row, b.num_rows)
+        score = 1 / (1 + np.exp(-np.clip(x @ model.coef, -30, 30))) if model.ready else np.zeros(b.num_rows)
+        hot = np.flatnonzero(p > 0.5)
+        spans = [[] for _ in range(b.num_rows)]
+        start, end = (np.concatenate([z[i] for z in at]) for i in (1, 2))
+        for i in hot.tolist():
+            own = spans[row[i]]
+            if own and i > 0 and p[i - 1] > 0.5 and row[i - 1] == row[i]:
+                own[-1]["end"] = int(end[i])
+            else:
+                own.append({"start": int(start[i]), "end": int(end[i])})
+        return pa.RecordBatch.from_arrays(
+            [b["doc_id"], b["held_out"], b["key"], pa.array(score), pa.array((score >= 0.5).astype(np.int32)),
+             pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))],
+            names=["doc_id", "held_out", "key", "score", "predicted", "spans"])
+
+    def run(batches):
+        for b in batches:
+            first, at, p_of = 0, [], []
+            for block in blocks(b["text"]):
+                t = Tokens(block)
+                lead = np.cumsum((block.data & 0xC0) != 0x80) if len(block.data) else np.zeros(0, np.int64)
+                at.append(((t.row + block.first - first).astype(np.int32), *_points(t, block, lead)))
+                p_of.append(model.scores(t.features(model.terms)).astype(np.float32))
+                last = block.first + block.rows
+                if last == b.num_rows or sum(map(len, p_of)) >= STRETCH:
+                    yield one(b.slice(first, last - first), at, p_of)
+                    first, at, p_of = last, [], []
+
+    return run
+
+
 def scored(docs: DataFrame, labels: DataFrame, held_out, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, held_out, key, score, predicted, spans) of each row of `docs`; `key` is the hash of id and text."""
     from marketlab.llm.neardup import key
@@ -276,34 +331,7 @@ def scored(docs: DataFrame, labels: DataFrame, held_out, sample: int = SAMPLE) -
                        F.col("text").cast("string").alias("text"), key().alias("key"))
     model = trained(docs, labels, sample)
 
-    def run(batches):
-        for b in batches:
-            at, p_of = [], []
-            for block in blocks(b["text"], 2 << 20):
-                t = Tokens(block)
-                lead = np.cumsum((block.data & 0xC0) != 0x80) if len(block.data) else np.zeros(0, np.int64)
-                at.append(((t.row + block.first).astype(np.int32), *_points(t, block, lead)))
-                p_of.append(model.scores(t.features(model.terms)).astype(np.float32))
-            row = np.concatenate([x[0] for x in at]) if at else np.zeros(0, np.int32)
-            sizes = np.bincount(row, minlength=b.num_rows)
-            p, _ = marginals(np.concatenate(p_of).astype(float) if at else np.zeros(0), np.cumsum(sizes) - sizes, sizes, model.move)
-            x = model.inputs(p, row, b.num_rows)
-            score = 1 / (1 + np.exp(-np.clip(x @ model.coef, -30, 30))) if model.ready else np.zeros(b.num_rows)
-            hot = np.flatnonzero(p > 0.5)
-            spans = [[] for _ in range(b.num_rows)]
-            start, end = (np.concatenate([z[i] for z in at]) if at else np.zeros(0) for i in (1, 2))
-            for i in hot.tolist():
-                own = spans[row[i]]
-                if own and i > 0 and p[i - 1] > 0.5 and row[i - 1] == row[i]:
-                    own[-1]["end"] = int(end[i])
-                else:
-                    own.append({"start": int(start[i]), "end": int(end[i])})
-            yield pa.RecordBatch.from_arrays(
-                [b["doc_id"], b["held_out"], b["key"], pa.array(score), pa.array((score >= 0.5).astype(np.int32)),
-                 pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))],
-                names=["doc_id", "held_out", "key", "score", "predicted", "spans"])
-
-    return docs.mapInArrow(run, "doc_id long, held_out boolean, key long, score double, predicted int, spans array<struct<start: int, end: int>>")
+    return docs.mapInArrow(_judged(model), "doc_id long, held_out boolean, key long, score double, predicted int, spans array<struct<start: int, end: int>>")
 
 
 def _points(t: Tokens, block, lead: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
