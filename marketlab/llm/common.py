@@ -30,20 +30,35 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame) -> DataFrame:
+def folder(spark: SparkSession) -> str:
+    """A new place for a table in the shared folder."""
+    return f"{shared_folder(spark)}/llm-{uuid.uuid4().hex}"
+
+
+def _located(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def written(df: DataFrame, path: str | None = None) -> DataFrame:
     """`df` as a Parquet table in the shared folder: computed once, with a cut lineage, and lost executors don't matter.
 
-    The folder goes when the driver's JVM ends.
+    It goes when the driver's JVM ends, or with `dropped` if its place is given.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/llm-{uuid.uuid4().hex}"
+    path = path or folder(spark)
     df.write.option("compression", "zstd").parquet(path)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    store, target = _located(spark, path)
+    store.deleteOnExit(target)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(spark: SparkSession, path: str) -> None:
+    """Delete the table `written` at `path`, which no later plan may read."""
+    store, target = _located(spark, path)
+    store.delete(target, True)
+
+
 def lowest(df: DataFrame, by: str, n: int) -> DataFrame:
     """The rows of `df` up to the `n`-th smallest value of the column `by`, ties included.
 

@@ -88,7 +88,7 @@ def near_duplicates(docs: DataFrame, k: int = 2, percent: int = 80) -> DataFrame
     def texts(ids: DataFrame) -> DataFrame:
         return ids.join(classes.select("id", "key"), "id").join(docs.select("key", "text"), "key").select("id", "text").dropDuplicates(["id"])
 
-    found = similar.linked(classes, BINS, percent, k, texts)
+    found = similar.linked(classes, similar.shared_buckets(classes), BINS, percent, k, texts)
     real = feats.where("n > 0").select("doc_id", "key", "n", "id")
     least = (real.groupBy("id").agg(F.min("doc_id").alias("least")).join(found, "id", "left")
              .withColumn("node", F.coalesce("component", "id")))

@@ -18,11 +18,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketlab.llm import similar
-from marketlab.llm.common import load, query, written
+from marketlab.llm.common import dropped, folder, load, query, written
 from marketlab.llm.neardup import key, set_ids
 from marketlab.llm.words import U, Block, blocks, mix
 
@@ -113,43 +113,47 @@ def _many(words) -> tuple[np.ndarray, np.ndarray]:
     return row[new], h[new]
 
 
-def _take_line(batches):
-    for b in batches:
-        own = [_line(t, f) for t, f in zip(b["text"].to_pylist(), b["first"].to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([b["id"], pa.array(own, pa.string())], names=["id", "text"])
-
-
-def _line(text: str, first: int) -> str:
-    """The line whose first word is word number `first` of the text."""
-    seen = 0
-    for line in text.split("\n"):
-        if seen == first and line.strip(" \t\v\f\r"):
-            return line
-        seen += len([w for w in line.translate(_GAPS).split(" ") if w])
-    return ""
+_GAPS = str.maketrans("\t\n\v\f\r", "     ")
 
 
-_GAPS = str.maketrans("\t\n\v\f\r", "     ")
+def _marked(lists) -> tuple[np.ndarray, pa.Array]:
+    """Row and first word, packed, of each element of a list column, and these elements."""
+    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    owner, flat = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False)), lists.flatten()
+    first = flat.field("first") if pa.types.is_struct(flat.type) else flat
+    return (owner.astype(np.int64) << 40) | first.to_numpy(), flat
 
 
-def _windows(batches):
-    """Hash and first word of each window of LEAST words whose anchor is among `anchors`, first words of blocks."""
+def _parts(batches):
+    """Of each document the hash and first word of each window of LEAST words whose anchor is among `anchors`, first words of blocks,
+    and `id` and text of the lines that begin at the first words of `lines`."""
     for b in batches:
-        lists = b["anchors"].combine_chunks() if isinstance(b["anchors"], pa.ChunkedArray) else b["anchors"]
-        owner = np.repeat(np.arange(b.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
-        marked = (owner.astype(np.int64) << 40) | lists.flatten().to_numpy()
+        anchor_at, _ = _marked(b["anchors"])
+        line_at, line = _marked(b["lines"])
+        order = np.argsort(line_at)
         for block in blocks(b["text"]):
             w = block.words(True)
             at, _, begin, picked = window_anchors(w)
             row, anchor = w.row[begin], at[picked]
-            use = np.isin(((row + block.first) << 40) | (anchor - w.first[row]), marked)
+            use = np.isin(((row + block.first) << 40) | (anchor - w.first[row]), anchor_at)
             begin, row = begin[use], row[use]
             h = np.zeros(len(begin), U)
             for j in range(LEAST):
                 h = h * U(0xD6E8FEB86659FD93) + w.hash[begin + j]
-            mine = pa.array(row + block.first)
-            yield pa.RecordBatch.from_arrays([*(b[c].take(mine) for c in ("doc_id", "key")), pa.array(mix(h, 5).view(np.int64)), pa.array(begin - w.first[row])],
-                                             names=["doc_id", "key", "window", "first"])
+            mine, n = pa.array(row + block.first), len(begin)
+            yield pa.RecordBatch.from_arrays([*(b[c].take(mine) for c in ("doc_id", "key")), pa.array(mix(h, 5).view(np.int64)), pa.array(begin - w.first[row]),
+                                              pa.nulls(n, pa.int64()), pa.nulls(n, pa.string())], names=PART)
+            start, end = block.spans(block.data != 10)
+            row, word = block.row_of(start), np.searchsorted(w.start, start)
+            place = ((row + block.first) << 40) | (word - w.first[row])
+            own = np.flatnonzero(np.isin(place, line_at) & (np.searchsorted(w.start, end) > word))
+            ids = line.take(pa.array(order[np.searchsorted(line_at, place[own], sorter=order)])).field("id")
+            text = [block.data[x:y].tobytes().decode() for x, y in zip(start[own], end[own], strict=True)]
+            none = pa.nulls(len(own), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, none, none, ids, pa.array(text, pa.string())], names=PART)
+
+
+PART = ["doc_id", "key", "window", "first", "id", "text"]
 
 
 def _runs(batches):
@@ -168,16 +172,32 @@ def _runs(batches):
 def repeated(docs: DataFrame) -> DataFrame:
     """(doc_id, key, first, words, kept_doc_id, kind): each repeated stretch of a document, from word `first` on, kept in another one."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), key().alias("key")).where("doc_id is not null")
+    spark, whole_units, whole_classes = docs.sparkSession, folder(docs.sparkSession), folder(docs.sparkSession)
     units = written(docs.select("doc_id", "key", "text").mapInArrow(
-        _units, "doc_id long, key long, id long, n long, bands array<long>, sig binary, first long, words long"))
+        _units, "doc_id long, key long, id long, n long, bands array<long>, sig binary, first long, words long"), whole_units)
+    classes = written(units.where("n > 0").groupBy("id").agg(*[F.first(c).alias(c) for c in ("n", "key", "first", "bands", "sig")]), whole_classes)
+    # from here on bands and signatures stand in the classes only
+    units = written(units.drop("bands", "sig"))
+    dropped(spark, whole_units)
     paragraphs = units.where("n > 0")
-    classes = written(paragraphs.groupBy("id").agg(*[F.first(c).alias(c) for c in ("n", "doc_id", "key", "first", "bands", "sig")]))
+    members = similar.shared_buckets(classes)
+
+    # documents cross one exchange, for their candidate lines and for their windows
+    lines_of = classes.select("id", "key", "first").join(members.select("id").distinct(), "id", "left_semi")
+    marks = units.where("n = 0").select("id", "key", "first")
+    anchor = Window.partitionBy("id")
+    shared = marks.withColumns({"least": F.min("key").over(anchor), "last": F.max("key").over(anchor)}).where("least < last")
+    places = (shared.select("key", F.col("first").alias("anchor"), F.lit(None).cast("struct<first: long, id: long>").alias("line"))
+              .unionAll(lines_of.select("key", F.lit(None).cast("long"), F.struct("first", "id"))))
+    held = places.groupBy("key").agg(F.collect_set("anchor").alias("anchors"), F.collect_list("line").alias("lines"))
+    parts = written(docs.join(held, "key").select("doc_id", "key", "text", "anchors", "lines").mapInArrow(
+        _parts, "doc_id long, key long, window long, first long, id long, text string"))
 
     def texts(ids: DataFrame) -> DataFrame:
-        return (ids.join(classes.select("id", "key", "first"), "id").join(docs.select("key", "text"), "key").select("id", "text", "first")
-                .mapInArrow(_take_line, "id long, text string").dropDuplicates(["id"]))
+        return ids.join(parts.where("id is not null").select("id", "text").dropDuplicates(["id"]), "id")
 
-    found = similar.linked(classes, PLACES, PERCENT, SHINGLE, texts)
+    found = similar.linked(classes, members, PLACES, PERCENT, SHINGLE, texts)
+    dropped(spark, whole_classes)
     named = (paragraphs.select("doc_id", "key", "id", "first", "words").join(found, "id", "left")
              .withColumn("component", F.coalesce("component", "id")).drop("id"))
     heads = (named.groupBy("component").agg(F.min("doc_id").alias("kept_doc_id"), F.count(F.lit(1)).alias("size")).where("size > 1"))
@@ -186,12 +206,9 @@ def repeated(docs: DataFrame) -> DataFrame:
     whole = (named.join(places, "component").where("doc_id <> kept_doc_id or first <> kept_first")
              .select("doc_id", "key", "first", "words", "kept_doc_id", F.lit("paragraph").alias("kind")))
 
-    marks = units.where("n = 0").select("id", "key", "first")
-    shared = marks.groupBy("id").agg(F.min("key").alias("least"), F.max("key").alias("last")).where("least < last").select("id")
-    held = marks.join(shared, "id").groupBy("key").agg(F.collect_set("first").alias("anchors"))
-    windows = written(docs.join(held, "key").select("doc_id", "key", "text", "anchors").mapInArrow(_windows, "doc_id long, key long, window long, first long"))
-    heads = windows.groupBy("window").agg(F.min("doc_id").alias("kept_doc_id"), F.max("doc_id").alias("last")).where("kept_doc_id < last").drop("last")
-    inside = (windows.join(heads, "window").where("doc_id <> kept_doc_id").groupBy("doc_id", "key", "kept_doc_id").agg(F.sort_array(F.collect_set("first")).alias("firsts"))
+    windows = parts.where("window is not null").select("doc_id", "key", "window", "first")
+    kept = windows.withColumn("kept_doc_id", F.min("doc_id").over(Window.partitionBy("window"))).where("doc_id <> kept_doc_id")
+    inside = (kept.groupBy("doc_id", "key", "kept_doc_id").agg(F.sort_array(F.collect_set("first")).alias("firsts"))
               .mapInArrow(_runs, "doc_id long, key long, first long, words long, kept_doc_id long").withColumn("kind", F.lit("passage")))
     return whole.unionByName(inside).distinct()
 

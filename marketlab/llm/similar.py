@@ -21,7 +21,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketlab.llm.common import written
@@ -96,11 +96,18 @@ def checked(pairs: DataFrame, classes: DataFrame, places: int, percent: int, k:
             .select("a", "b", "a_text", "b_text").mapInArrow(same, "a long, b long").distinct())
 
 
-def linked(classes: DataFrame, places: int, percent: int, k: int, texts: Callable[[DataFrame], DataFrame], side: int = 500) -> DataFrame:
-    """(id, component) of every linked id; `texts` gives (id, text) for a table of ids."""
+def shared_buckets(classes: DataFrame) -> DataFrame:
+    """(id, n, bucket, lo, hi): the members of each bucket of several ids, with its smallest and its largest id.
+
+    A band of every class crosses one exchange; most stand alone in their bucket and end there.
+    """
+    whole = Window.partitionBy("bucket")
     rows = classes.select("id", "n", F.explode("bands").alias("bucket"))
-    star = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("size > 1")
-    members = written(rows.join(star.select("bucket", "lo", "hi"), "bucket"))
+    return written(rows.withColumns({"lo": F.min("id").over(whole), "hi": F.max("id").over(whole)}).where("lo < hi"))
+
+
+def linked(classes: DataFrame, members: DataFrame, places: int, percent: int, k: int, texts: Callable[[DataFrame], DataFrame], side: int = 500) -> DataFrame:
+    """(id, component) of every linked id; `members` are the `shared_buckets` of the classes, `texts` gives (id, text) for a table of ids."""
     pairs = (members.select("id", F.explode(F.array("lo", "hi")).alias("to")).where("id <> to")
              .select(F.least("id", "to").alias("a"), F.greatest("id", "to").alias("b")).distinct())
     sizes = classes.select("id", "n")
