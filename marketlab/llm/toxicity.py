@@ -128,18 +128,18 @@ class Model:
     def scores(self, features: np.ndarray) -> np.ndarray:
         return sum((self.w[j][features[:, j]] for j in range(TABLES)), np.zeros(len(features))).astype(np.float64)
 
-    def fit(self, texts: list[str], toxic: np.ndarray, terms: list[np.ndarray], odds: float = 0.0) -> Model:
+    def fit(self, texts: pa.Array, toxic: np.ndarray, terms: list[np.ndarray], odds: float = 0.0) -> Model:
         """Fit to texts that are no copies of each other; `odds` is the log odds of label 1 in the sample beyond those of all labelled rows."""
         self.terms = terms
-        rows, feats = [], []
-        for b in blocks(pa.array(texts, pa.large_string())):
+        n = sum(int(np.count_nonzero(np.diff(INNER[b.data], prepend=False, append=False))) // 2 + b.rows for b in blocks(texts))
+        row, feat, at = np.empty(n, np.int32), np.empty((n, TABLES), np.int32), 0  # n: as many tokens at most
+        for b in blocks(texts):
             t = Tokens(b)
-            rows.append(t.row + b.first)
-            feats.append(t.features(terms))
-        row, feat = np.concatenate(rows), np.concatenate(feats)
-        del feats
+            to = at + len(t.row)
+            row[at: to], feat[at: to], at = t.row + b.first, t.features(terms), to
+        row, feat = row[:at], feat[:at]
         sizes = np.bincount(row, minlength=len(texts))
-        label = ((feat[:, -1] == 1) & (toxic[row] == 1)).astype(float)
+        label = (feat[:, -1] == 1) & (toxic[row] == 1)
         # stretches of 256 tokens
         first, size = [], []
         begin = np.cumsum(sizes) - sizes
@@ -154,7 +154,7 @@ class Model:
                 take = np.concatenate([np.arange(f, f + n) for f, n in zip(first[some], size[some], strict=True)])
                 begin_at = np.cumsum(size[some]) - size[some]
                 p, moves = marginals(self.scores(feat[take]), begin_at, size[some], self.move, True)
-                y = label[take]
+                y = label[take].astype(float)
                 for j in range(TABLES):
                     grad = np.bincount(feat[take, j], y - p, 1 << BITS) - 1e-4 * self.w[j]
                     sums[j] += grad * grad
@@ -167,8 +167,13 @@ class Model:
                 grad = seen_moves - moves
                 move_sums += grad * grad
                 self.move += 0.1 * grad / np.sqrt(move_sums)
-        p, _ = marginals(self.scores(feat), begin, sizes, self.move)
-        x = self.inputs(p, row, len(texts))
+        x = np.zeros((len(texts), 3))
+        edge = np.append(begin, at)
+        cut = np.unique([0, *np.searchsorted(begin, np.arange(0, at, STRETCH)), len(texts)])
+        for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+            mine = slice(edge[lo], edge[hi])
+            p, _ = marginals(self.scores(feat[mine]), begin[lo:hi] - begin[lo], sizes[lo:hi], self.move)
+            x[lo:hi] = self.inputs(p, row[mine] - lo, hi - lo)
         self.coef, y = np.zeros(3), toxic.astype(float)
         for _ in range(25):
             q = 1 / (1 + np.exp(-np.clip(x @ self.coef, -30, 30)))
@@ -261,6 +266,19 @@ def offending(rows: DataFrame, n1: int, n0: int) -> list[np.ndarray]:
     return [np.array(sorted(r["term"] for r in found if r["k"] == k), np.int64).view(U) for k in range(TERMS)]
 
 
+def _fitted(terms: list[np.ndarray], odds: float):
+    """The one model of all rows (text, clean, r), pickled."""
+    def fit(batches):
+        parts = [b for b in batches if b.num_rows]
+        if parts:
+            table = pa.Table.from_batches(parts).sort_by([("clean", "ascending"), ("r", "ascending")])
+            del parts
+            model = Model().fit(table["text"].cast(pa.large_string()).combine_chunks(), 1 - table["clean"].to_numpy(), terms, odds)
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    return fit
+
+
 def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """A model of the labelled rows that are not held out: terms marked over all of them, a chain fitted to the bounded sample in one task."""
     marks = labels.where(F.col("toxic").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
@@ -274,15 +292,8 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     taken = {v: min(n, sample) for v, n in once.items()}
     odds = float(np.log(taken[1] / count[1]) - np.log(taken[0] / count[0]))
 
-    def fit(batches):
-        parts = [b for b in batches if b.num_rows]
-        if parts:
-            table = pa.Table.from_batches(parts).sort_by([("clean", "ascending"), ("r", "ascending")])
-            model = Model().fit([t or "" for t in table["text"].to_pylist()], 1 - table["clean"].to_numpy(), terms, odds)
-            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
-
     some = [lowest(rows.where(F.col("clean") == 1 - v), "r", sample).select("text", "clean", "r") for v in (1, 0)]
-    return pickle.loads(some[0].unionByName(some[1]).repartition(1).mapInArrow(fit, "model binary").first()["model"])
+    return pickle.loads(some[0].unionByName(some[1]).repartition(1).mapInArrow(_fitted(terms, odds), "model binary").first()["model"])
 
 
 def _judged(model: Model):

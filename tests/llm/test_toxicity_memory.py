@@ -1,5 +1,6 @@
 """Memory of a task in toxicity does not follow the size of Spark's batches."""
 
+import pickle
 import tracemalloc
 
 import numpy as np
@@ -52,3 +53,25 @@ def test_scores_of_a_large_batch(batch):
     assert got["doc_id"].to_pylist() == batch["doc_id"].to_pylist()
     alone = [pa.Table.from_batches(toxicity._judged(model)([batch.slice(i, 1)])).to_pylist()[0] for i in (0, 700, 1499, 1500, 1501, 1502)]
     assert [got.slice(r["doc_id"], 1).to_pylist()[0] for r in alone] == alone
+
+
+def test_fit_of_large_samples(batch, monkeypatch):
+    labels = batch["clean"].to_numpy()
+    rows = pa.RecordBatch.from_arrays([batch["text"], batch["clean"], batch["doc_id"]], names=["text", "clean", "r"])
+    known = [np.unique(h[h > 0])[::37] for h in toxicity.Tokens(next(blocks(batch["text"].slice(0, 20)))).terms()]
+    monkeypatch.setattr(toxicity, "EPOCHS", 1)
+    out, mb = peak(lambda: list(toxicity._fitted(known, 0.5)([rows])))
+    tokens = 1500 * 1500 + 3
+    assert mb < tokens * (toxicity.TABLES * 4 + 4) / 1e6 + 110  # features and rows, and stretches beside them
+    one = pickle.loads(out[0]["model"][0].as_py())
+    monkeypatch.setattr(toxicity, "STRETCH", 10**9)
+    order = np.lexsort((np.arange(len(labels)), labels))
+    two = toxicity.Model().fit(batch["text"].take(pa.array(order)), 1 - labels[order], known, 0.5)
+    assert one.ready and np.array_equal(one.w, two.w) and np.array_equal(one.coef, two.coef)
+
+
+def test_fit_of_texts_without_tokens_and_of_one_long_text(monkeypatch):
+    monkeypatch.setattr(toxicity, "STRETCH", 50)
+    none = [np.zeros(0, np.uint64)] * toxicity.TERMS
+    assert toxicity.Model().fit(pa.array(["", None, " . "]), np.array([0, 1, 1]), none).ready
+    assert toxicity.Model().fit(pa.array(["a b", "", "word " * 400]), np.array([0, 1, 1]), none).ready
