@@ -29,7 +29,7 @@ def targets(sizes: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
     come) over the prefixes of that order; a target is the smaller of the cap and level * weight.
     """
     src = sizes.withColumns({"gone": F.col("source").isNull().cast("int"), "lead": F.coalesce(F.substring("source", 1, 2), F.lit(""))})
-    src = scans.row_index(src, ["gone", "source"], chunks=["gone", "lead"], name="place")
+    src = written(scans.row_index(src, ["gone", "source"], chunks=["gone", "lead"], name="place"))
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), ((F.col("place") - 1) % len(weights) + 1).cast("int"))
     src = src.withColumn("weight", w).withColumn("cap", (most * F.col("source_size")).cast("double"))
     src = src.withColumn("fill", F.col("cap") / F.col("weight")).withColumn("slice", F.floor(F.log2(1 + F.col("fill")) * 16))
@@ -41,9 +41,14 @@ def targets(sizes: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
 
 
 def sampled(docs: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
-    """`docs` (doc_id, source, size) with source_size, target and the number of `copies` the mix takes of each row."""
-    sizes = docs.groupBy("source").agg(F.sum("size").alias("source_size"))
-    goal = targets(sizes, weights, most).withColumnRenamed("source", "_source")
+    """`docs` (doc_id, source, size) with source_size, target and the number of `copies` the mix takes of each row.
+
+    Rows, sizes and targets are tables of their own: a scan reads its input once per level, so one plan over all of them repeats
+    each step many times over, and the driver keeps every state of it.
+    """
+    docs = written(docs)
+    sizes = written(docs.groupBy("source").agg(F.sum("size").alias("source_size")))
+    goal = written(targets(sizes, weights, most).withColumnRenamed("source", "_source"))
     rows = docs.withColumns({"_coarse": F.floor(F.col("size") / 64), "_slice": F.floor(F.col("doc_id") / 4096)})
     rows = scans.row_index(rows, ["size", "doc_id"], ["source"], ["_coarse", "size", "_slice"], "_at")
     rows = rows.join(goal, rows["source"].eqNullSafe(goal["_source"])).drop("_source")

@@ -21,3 +21,20 @@ def test_rows_of_one_id_and_text_in_several_sources(spark):
     assert got.columns == docs.columns
     assert Counter(tuple(r) for r in got.collect()) == +want
     assert mixing.stage(spark, docs.where(F.lit(False)), "").count() == 0
+
+
+def test_plans_stay_small(spark, monkeypatch):
+    """The driver keeps every state of a plan: rows, sizes and targets are tables, not repeated in each level of each scan."""
+    plans, write = [], mixing.written
+
+    def exchanges(df):
+        return df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+
+    def watched(df, path=None):
+        plans.append(exchanges(df))
+        return write(df, path)
+
+    monkeypatch.setattr(mixing, "written", watched)
+    docs = spark.createDataFrame([(i, "ab"[i % 2], "w " * i) for i in range(20)], "doc_id long, source string, text string")
+    plans.append(exchanges(mixing.stage(spark, docs, "")))
+    assert max(plans) <= 20
