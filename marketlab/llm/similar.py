@@ -21,7 +21,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from marketlab.llm.common import written
@@ -31,28 +31,30 @@ from marketlab.llm.words import U, blocks, mix
 def components(links: DataFrame) -> DataFrame:
     """(id, component) of every id in `links` (a, b): the smallest id it is connected with.
 
-    Alternates large and small stars, each a join on pre-aggregated minima, until every id hangs on one root; every round is
-    a table in the shared folder. No links give an empty table.
+    Alternates large and small stars, each a window over the edges of an id, until every id hangs on one root; every round is
+    a table in the shared folder and notes whether the round before it had ended the work, so no query of its own asks for that.
+    No links give an empty table.
     """
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    while not _is_flat(edges):
-        both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        edges = written(large.join(low, "u").select(F.explode(F.array(
-            F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-            .select("e.*").where("u <> v").distinct())
+    ended = edges.isEmpty()
+    while not ended:
+        seen = Observation()
+        edges = written(_round(edges, seen))
+        ended = not seen.get["open"]
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionAll(
         edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
-def _is_flat(edges: DataFrame) -> bool:
-    """Whether every `u` has one `v` and no `v` is a `u`."""
-    marks = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("root")).unionAll(
-        edges.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("root")))
-    each = marks.groupBy("x").agg(F.sum("up").alias("up"), F.max("root").alias("root"))
-    return each.where("up > 1 or (up > 0 and root > 0)").isEmpty()
+def _round(edges: DataFrame, seen: Observation) -> DataFrame:
+    """A large and a small star over distinct `edges` (u > v); `seen` gets as `open` whether any id with a smaller neighbour had another one."""
+    whole = Window.partitionBy("u")
+    both = edges.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*")
+    each = both.withColumns({"m": F.min("v").over(whole), "near": F.count(F.lit(1)).over(whole)}).observe(
+        seen, F.max(((F.col("m") < F.col("u")) & (F.col("near") > 1)).cast("int")).alias("open"))
+    large = each.where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
+    return (large.withColumn("m", F.min("v").over(whole)).select(F.explode(F.array(
+        F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        .select("e.*").where("u <> v").distinct())
 
 
 def _in_reach(n, m, percent: int):
@@ -106,15 +108,18 @@ def shared_buckets(classes: DataFrame) -> DataFrame:
     return written(rows.withColumns({"lo": F.min("id").over(whole), "hi": F.max("id").over(whole)}).where("lo < hi"))
 
 
+def _stars(members: DataFrame, percent: int) -> DataFrame:
+    """(a, b): each member of a bucket with the smallest and with the largest one, where their sizes allow the similarity."""
+    whole = Window.partitionBy("bucket")
+    sized = members.withColumns({"lo_n": F.min_by("n", "id").over(whole), "hi_n": F.max_by("n", "id").over(whole)})
+    ends = F.explode(F.array(F.struct(F.col("lo").alias("to"), F.col("lo_n").alias("to_n")), F.struct(F.col("hi").alias("to"), F.col("hi_n").alias("to_n"))))
+    return (sized.select("id", "n", ends.alias("end")).select("id", "n", "end.*").where("id <> to").where(_in_reach(F.col("n"), F.col("to_n"), percent))
+            .select(F.least("id", "to").alias("a"), F.greatest("id", "to").alias("b")).distinct())
+
+
 def linked(classes: DataFrame, members: DataFrame, places: int, percent: int, k: int, texts: Callable[[DataFrame], DataFrame], side: int = 500) -> DataFrame:
     """(id, component) of every linked id; `members` are the `shared_buckets` of the classes, `texts` gives (id, text) for a table of ids."""
-    pairs = (members.select("id", F.explode(F.array("lo", "hi")).alias("to")).where("id <> to")
-             .select(F.least("id", "to").alias("a"), F.greatest("id", "to").alias("b")).distinct())
-    sizes = classes.select("id", "n")
-    pairs = (pairs.join(sizes.select(F.col("id").alias("a"), F.col("n").alias("a_n")), "a")
-             .join(sizes.select(F.col("id").alias("b"), F.col("n").alias("b_n")), "b")
-             .where(_in_reach(F.col("a_n"), F.col("b_n"), percent)).select("a", "b"))
-    links = written(checked(pairs, classes, places, percent, k, texts))
+    links = written(checked(_stars(members, percent), classes, places, percent, k, texts))
     found = written(components(links))
     named = members.select("id", "n", "bucket").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     rest = written(_split(named))
@@ -131,8 +136,8 @@ def linked(classes: DataFrame, members: DataFrame, places: int, percent: int, k:
 
 def _split(rows: DataFrame) -> DataFrame:
     """Rows of the buckets that hold several components, with the bucket's `head`."""
-    heads = rows.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.min("id").alias("head"))
-    return rows.drop("head").join(heads.where("c0 <> c1").select("bucket", "head"), "bucket")
+    whole = Window.partitionBy("bucket")
+    return rows.withColumns({"c0": F.min("component").over(whole), "c1": F.max("component").over(whole), "head": F.min("id").over(whole)}).where("c0 <> c1").drop("c0", "c1")
 
 
 def _members(k: int):
